@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import minhash, mixing
 
 
 def queries() -> dict:
     return {
         "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
+        "op8_mixing": mixing.op8_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_minhash_near_dedup": minhash.OP2_SQL,
+        "op8_mixing": mixing.OP8_SQL,
     }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing
+from . import decontaminate, minhash, mixing
 
 
 def queries() -> dict:
     return {
         "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
+        "op4_decontamination": decontaminate.op4_decontamination,
         "op8_mixing": mixing.op8_mixing,
     }
 
@@ -15,5 +16,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_minhash_near_dedup": minhash.OP2_SQL,
+        "op4_decontamination": decontaminate.OP4_SQL,
         "op8_mixing": mixing.OP8_SQL,
     }

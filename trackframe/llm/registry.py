@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, mixing
+from . import decontaminate, minhash, mixing, quality
 
 
 def queries() -> dict:
     return {
         "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
         "op4_decontamination": decontaminate.op4_decontamination,
+        "op5_quality_classifier": quality.op5_quality_classifier,
         "op8_mixing": mixing.op8_mixing,
     }
 

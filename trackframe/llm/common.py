@@ -5,11 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Leaders taken from one candidate bucket in a round of the exact link search.
-LEADERS_PER_ROUND = 16
+LEADERS_PER_ROUND = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +41,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def save_seen(df: DataFrame, name: str, *sums) -> tuple[DataFrame, list]:
+    """save(), with aggregates of the rows taken while they are written."""
+    seen = Observation()
+    done = save(df.observe(seen, *[x.alias(f"s{i}") for i, x in enumerate(sums)]), name)
+    got = seen.get
+    return done, [got[f"s{i}"] for i in range(len(sums))]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,16 +65,10 @@ def components(edges: DataFrame) -> DataFrame:
     an edge; comp is the smallest id of the component. All state stays distributed; each
     round is written to the shared folder, so a lost executor costs one round at most.
     """
-    e = save(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(),
-        "edges",
+    sums = F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    e, seen = save_seen(
+        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", *sums
     )
-
-    def mark(df):
-        r = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return tuple(r)
-
-    seen = mark(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -79,8 +81,7 @@ def components(edges: DataFrame) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        e = save(small, "edges")
-        now = mark(e)
+        e, now = save_seen(small, "edges", *sums)
         if now == seen:
             break
         seen = now
@@ -121,8 +122,7 @@ def link_components(members: DataFrame, sets: DataFrame, num: int = 80, den: int
     lead = members.groupBy("key").agg(F.min("id").alias("leader"))
     starred = members.join(lead, "key").where("id <> leader")
     tested = save(starred.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = save(_verified(tested, sets, num, den), "links")
-    comp = components(links)
+    comp = components(_verified(tested, sets, num, den))
     rest = starred.select("key", "id")
     while True:
         named = rest.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("c"))
@@ -133,12 +133,13 @@ def link_components(members: DataFrame, sets: DataFrame, num: int = 80, den: int
             .agg(F.count("*").alias("cs"), F.max_by("c", "n").alias("main"))
             .where("cs > 1")
         )
-        active = save(named.join(per.select("key", "main"), "key"), "active")
-        if active.isEmpty():
+        active, (n,) = save_seen(named.join(per.select("key", "main"), "key"), "active", F.count(F.lit(1)))
+        if not n:
             return comp
         strays = active.where("c <> main")
         rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        leaders = save(strays.withColumn("r", rank).where(f"r <= {LEADERS_PER_ROUND}").select("key", F.col("id").alias("leader"), F.col("c").alias("lc")), "leaders")
+        leaders = strays.withColumn("r", rank).where(f"r <= {LEADERS_PER_ROUND}").select("key", F.col("id").alias("leader"), F.col("c").alias("lc"))
+        leaders = save(leaders, "leaders")
         pairs = (
             active.join(leaders, "key")
             .where("c <> lc")
@@ -148,6 +149,12 @@ def link_components(members: DataFrame, sets: DataFrame, num: int = 80, den: int
         )
         pairs = save(pairs, "pairs")
         tested = tested.unionByName(pairs)
-        links = save(links.unionByName(_verified(pairs, sets, num, den)), "links")
-        comp = components(links)
+        # new links join components: only the graph of components is solved again
+        new = _verified(pairs, sets, num, den)
+        a, b = comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
+        new = save(new.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "links")
+        over = components(new.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("id").alias("comp"), F.col("comp").alias("over"))
+        ends = new.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("ca").alias("comp")), F.struct(F.col("b").alias("id"), F.col("cb").alias("comp")))).alias("x"))
+        nodes = comp.unionByName(ends.select("x.id", "x.comp")).distinct()
+        comp = save(nodes.join(over, "comp", "left").select("id", F.coalesce("over", "comp").alias("comp")), "components")
         rest = active.select("key", "id").join(leaders.select("key", F.col("leader").alias("id")), ["key", "id"], "left_anti")

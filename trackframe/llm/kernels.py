@@ -67,6 +67,12 @@ def windows(s: np.ndarray, k: int) -> np.ndarray:
     return mix((s[k:] - s[:-k]) * ipw[:n])
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (for integers a sort is much faster than np.unique's hashing)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """Values as UTF-8 bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
@@ -138,7 +144,7 @@ def doc_shingles(parts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
         for v in h[first[d] : first[d + 1]]:
             x = mix(x ^ v, 99)
         key, at = np.append(key, mix(x, int(count[d]))), np.append(at, d)
-    both = np.unique((at.astype(U) << U(54)) | (key >> U(10)))
+    both = distinct((at.astype(U) << U(54)) | (key >> U(10)))
     bounds = np.searchsorted(both >> U(54), np.arange(len(parts) + 1, dtype=U))
     return both & U((1 << 54) - 1), bounds
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, mixing, quality
+from . import decontaminate, lines, minhash, mixing, quality
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_quality_classifier": quality.op5_quality_classifier,
+        "op6_line_dedup": lines.op6_line_dedup,
         "op8_mixing": mixing.op8_mixing,
     }
 

@@ -10,7 +10,7 @@ fair sample of the whole mix and the sums are the quotas. A shard then takes the
 disjoint run of each source's permuted blocks and orders its blocks by a hash.
 
 Running word numbers come from two levels: windows inside small hash ranges of a source
-(65,536 at most for one source), and a prefix sum over the ranges' totals. So no task holds a
+(4,096 at most for one source), and a prefix sum over the ranges' totals. So no task holds a
 whole source, even one with a third of all rows. Trees and quotas are tables of (shard,
 source); they hold no documents.
 
@@ -54,7 +54,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     left = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
     total = F.sum("source_size").over(Window.partitionBy())
     s = s.withColumn("level", (total * F.lit(float(share)) - before) / left)
-    level = F.min(F.when(F.col("cap") > F.col("w") * F.col("level"), F.col("level"))).over(Window.partitionBy())
+    place = F.struct((F.col("cap") / F.col("w")).alias("ratio"), F.col("key").alias("k"), F.col("level").alias("level"))
+    level = F.min(F.when(F.col("cap") > F.col("w") * F.col("level"), place)).over(Window.partitionBy())["level"]
     return s.withColumn("l", level).select(
         "key", "source_size", F.when(F.col("l").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("w") * F.col("l"))).alias("target")
     )
@@ -68,7 +69,7 @@ def numbered(docs: DataFrame) -> DataFrame:
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("m"),
     ).withColumn("key", source_key())
-    return d.withColumn("range", F.substring("m", 1, 4))
+    return d.withColumn("range", F.substring("m", 1, 3))
 
 
 def offsets(d: DataFrame) -> DataFrame:
@@ -258,8 +259,7 @@ l AS (
     / sum(w) OVER (ORDER BY cap / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM w),
 t AS (
   SELECT source, source_size,
-    CASE WHEN min(level) FILTER (cap > w * level) OVER () IS NULL THEN cap::DOUBLE
-      ELSE least(cap::DOUBLE, w * min(level) FILTER (cap > w * level) OVER ()) END AS target FROM l),
+    coalesce(least(cap::DOUBLE, w * (SELECT level FROM l WHERE cap > w * level ORDER BY cap / w, r LIMIT 1)), cap::DOUBLE) AS target FROM l),
 o AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS take,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY m, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a

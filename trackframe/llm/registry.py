@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, minhash, mixing, quality
+from . import decontaminate, lines, minhash, mixing, quality, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc": warc.op1_warc,
         "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_quality_classifier": quality.op5_quality_classifier,
@@ -17,6 +18,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc": warc.OP1_SQL,
         "op2_minhash_near_dedup": minhash.OP2_SQL,
         "op4_decontamination": decontaminate.OP4_SQL,
         "op8_mixing": mixing.OP8_SQL,

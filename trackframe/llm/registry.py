@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, minhash, mixing, quality, warc
+from . import decontaminate, html_text, lines, minhash, mixing, quality, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_quality_classifier": quality.op5_quality_classifier,
         "op6_line_dedup": lines.op6_line_dedup,
         "op8_mixing": mixing.op8_mixing,
+        "op9_html_extraction": html_text.op9_html_extraction,
     }
 
 

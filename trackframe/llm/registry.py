@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, lines, minhash, mixing, quality, warc
+from . import ann, decontaminate, html_text, lines, minhash, mixing, quality, tokens, warc
 
 
 def queries() -> dict:
@@ -12,8 +12,10 @@ def queries() -> dict:
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_quality_classifier": quality.op5_quality_classifier,
         "op6_line_dedup": lines.op6_line_dedup,
+        "op7_ann": ann.op7_ann,
         "op8_mixing": mixing.op8_mixing,
         "op9_html_extraction": html_text.op9_html_extraction,
+        "op10_token_counts": tokens.op10_token_counts,
     }
 
 

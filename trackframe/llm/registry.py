@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, html_text, lines, minhash, mixing, quality, tokens, warc
+from . import ann, decontaminate, html_text, lines, minhash, mixing, quality, substrings, tokens, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
         "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
+        "op3_suffix_array_dedup": substrings.op3_suffix_array_dedup,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_quality_classifier": quality.op5_quality_classifier,
         "op6_line_dedup": lines.op6_line_dedup,
@@ -23,6 +24,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": warc.OP1_SQL,
         "op2_minhash_near_dedup": minhash.OP2_SQL,
+        "op3_suffix_array_dedup": substrings.OP3_SQL,
         "op4_decontamination": decontaminate.OP4_SQL,
         "op8_mixing": mixing.OP8_SQL,
     }

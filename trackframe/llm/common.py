@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,19 +107,95 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     )
 
 
+#: Clusters of candidates up to these sizes are solved in one task's memory.
+CLUSTER, CLUSTER_VALUES = 16384, 6_000_000
+
+
+def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Labels of the components of the sets under den * |both| >= num * |either|.
+
+    A breadth-first search: each set reached is compared with all sets not yet reached, by
+    marks over the cluster's different values."""
+    size = np.fromiter((len(x) for x in sets), dtype=np.int64, count=len(sets))
+    _, values = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.cumsum(size) - size
+    mark = np.zeros(int(values.max(initial=-1)) + 1, dtype=bool)
+    label = np.full(len(sets), -1)
+    open_ = np.arange(len(sets))
+    own, cut = values, at
+    while len(open_):
+        first = open_[0]
+        label[first] = first
+        queue, keep = [first], open_ != first
+        while queue:
+            if keep.sum() <= 0.7 * len(keep):
+                open_, own = open_[keep], own[np.repeat(keep, size[open_])]
+                cut = np.cumsum(size[open_]) - size[open_]
+                keep = np.ones(len(open_), dtype=bool)
+            if not len(open_):
+                break
+            u = queue.pop()
+            mine = values[at[u] : at[u] + size[u]]
+            mark[mine] = True
+            both = np.add.reduceat(mark[own].astype(np.int64), cut)
+            mark[mine] = False
+            near = keep & (den * both >= num * (size[open_] + size[u] - both))
+            keep &= ~near
+            label[open_[near]] = first
+            queue += open_[near].tolist()
+        open_, own = open_[keep], own[np.repeat(keep, size[open_])]
+        cut = np.cumsum(size[open_]) - size[open_]
+    return label
+
+
+def _solved(num: int, den: int):
+    def run(t: pa.Table) -> pa.Table:
+        ids = t.column("id").to_numpy()
+        lists = t.column("s").combine_chunks()
+        flat, cut = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        label = linked([flat[a:b] for a, b in zip(cut[:-1], cut[1:])], num, den)
+        _, group, n = np.unique(label, return_inverse=True, return_counts=True)
+        least = np.full(len(n), np.iinfo(np.int64).max)
+        np.minimum.at(least, group, ids)
+        keep = n[group] > 1
+        return pa.table({"id": ids[keep], "comp": least[group][keep]})
+
+    return run
+
+
 def link_components(members: DataFrame, sets: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """Components of the graph of verified links between members of shared buckets.
 
     members: distinct (key, id): the candidate buckets with two ids or more.
     sets: (id, s array<long>): the full set of every id in members.
 
+    Buckets that overlap form clusters of candidates. A cluster of bounded size goes to one
+    task, which finds its components by comparing full sets (each shipped once). Larger clusters,
+    such as one of a third of all rows, are solved by links_by_rounds over all executors.
+    Returns (id, comp) for ids with a link; comp is the smallest id linked.
+    """
+    lead = members.groupBy("key").agg(F.min("id").alias("leader"))
+    cluster = components(members.join(lead, "key").select(F.col("leader").alias("a"), F.col("id").alias("b")))
+    held = cluster.join(sets, "id").select("id", F.col("comp").alias("cluster"), "s")
+    size = held.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("s")).alias("v"))
+    size, (n_large,) = save_seen(size.withColumn("large", (F.col("n") > CLUSTER) | (F.col("v") > CLUSTER_VALUES)), "clusters", F.count_if("large"))
+    small = held.join(size.where("not large").select("cluster"), "cluster", "left_semi") if n_large else held
+    found = save(small.groupBy("cluster").applyInArrow(_solved(num, den), "id long, comp long"), "linked")
+    if not n_large:
+        return found
+    ids = cluster.join(size.where("large"), F.col("comp") == F.col("cluster"), "left_semi").select("id")
+    return found.unionByName(links_by_rounds(members.join(ids, "id", "left_semi").select("key", "id"), sets, num, den))
+
+
+def links_by_rounds(members: DataFrame, sets: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """As link_components, without any group in one task.
+
     A bucket's pairs are never all emitted. First each bucket's smallest id is compared with
     the others (a star). Buckets whose ids are then in one component are done; in the others
     up to LEADERS_PER_ROUND ids outside the largest component are compared with all ids of
     other components and then leave the bucket. This repeats until every bucket has one
     component left, so no link that could join two components is lost, whatever the size of
     a bucket, and a bucket of n copies costs n comparisons.
-    Returns (id, comp) for ids with a link.
     """
     lead = members.groupBy("key").agg(F.min("id").alias("leader"))
     starred = members.join(lead, "key").where("id <> leader")

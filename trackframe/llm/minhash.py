@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import kernels as K
-from .common import link_components, save, shuffle_width, table
+from .common import link_components, save, save_seen, shuffle_width, table
 
+#: Candidate ids that may be broadcast (a few MB).
+BROADCAST_IDS = 200_000
 _PASS = "doc_id long, n long, h long, bucket int, kind tinyint, blob binary"
 
 
@@ -109,7 +111,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     # the text of one document for each set that is in a shared bucket
     wanted = members.select(F.col("id").alias("h")).distinct()
     picked = named.where("h is not null").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("lost"))
-    ids = picked.where("doc_id is not null").select("doc_id").distinct()
+    ids, (n_ids,) = save_seen(picked.where("doc_id is not null").select("doc_id").distinct(), "candidates", F.count(F.lit(1)))
+    if n_ids <= BROADCAST_IDS:  # else both sides are shuffled
+        ids = F.broadcast(ids)
     found = docs.join(ids, "doc_id", "left_semi").select("text")
     if not picked.where("doc_id is null").isEmpty():  # sets that only documents without an id have
         found = found.unionByName(docs.where("doc_id is null").select("text"))

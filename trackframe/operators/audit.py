@@ -25,7 +25,7 @@ def partition_check(whole: DataFrame, parts: Sequence[DataFrame], key: str) -> D
     for t in tagged[1:]:
         both = both.unionByName(t)
     per = both.groupBy(key).agg(F.sum("w").alias("w"), F.sum("p").alias("p"))
-    return per.agg(F.count_if("w > 0 and p = 0").alias("missing"), F.count_if("w = 0 and p > 0").alias("unexpected"), F.count_if("p > 1").alias("repeated"))
+    return per.agg(*[F.count_if(F.expr(c)).alias(n) for n, c in (("missing", "w > 0 and p = 0"), ("unexpected", "w = 0 and p > 0"), ("repeated", "p > 1"))])
 
 
 def inventory_diff(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:

@@ -107,6 +107,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     )
 
 
+#: Rows of ids that may be broadcast (a few MB).
+BROADCAST_IDS = 200_000
 #: Clusters of candidates up to these sizes are solved in one task's memory.
 CLUSTER, CLUSTER_VALUES = 16384, 6_000_000
 
@@ -150,8 +152,8 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 
 def _solved(num: int, den: int):
     def run(t: pa.Table) -> pa.Table:
-        ids = t.column("id").to_numpy()
-        lists = t.column("s").combine_chunks()
+        ids, at = np.unique(t.column("id").to_numpy(), return_index=True)
+        lists = t.column("s").take(pa.array(at)).combine_chunks()
         flat, cut = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         label = linked([flat[a:b] for a, b in zip(cut[:-1], cut[1:])], num, den)
         _, group, n = np.unique(label, return_inverse=True, return_counts=True)
@@ -167,7 +169,8 @@ def link_components(members: DataFrame, sets: DataFrame, num: int = 80, den: int
     """Components of the graph of verified links between members of shared buckets.
 
     members: distinct (key, id): the candidate buckets with two ids or more.
-    sets: (id, s array<long>): the full set of every id in members.
+    sets: (id, n, s array<long>): the full set of every id in members, of n values; rows may
+    repeat, and there may be more.
 
     Buckets that overlap form clusters of candidates. A cluster of bounded size goes to one
     task, which finds its components by comparing full sets (each shipped once). Larger clusters,
@@ -176,15 +179,20 @@ def link_components(members: DataFrame, sets: DataFrame, num: int = 80, den: int
     """
     lead = members.groupBy("key").agg(F.min("id").alias("leader"))
     cluster = components(members.join(lead, "key").select(F.col("leader").alias("a"), F.col("id").alias("b")))
-    held = cluster.join(sets, "id").select("id", F.col("comp").alias("cluster"), "s")
-    size = held.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("s")).alias("v"))
-    size, (n_large,) = save_seen(size.withColumn("large", (F.col("n") > CLUSTER) | (F.col("v") > CLUSTER_VALUES)), "clusters", F.count_if("large"))
-    small = held.join(size.where("not large").select("cluster"), "cluster", "left_semi") if n_large else held
+    cluster, (n_ids,) = save_seen(cluster.select("id", F.col("comp").alias("cluster")), "clusters", F.count(F.lit(1)))
+    known = F.broadcast(cluster) if n_ids <= BROADCAST_IDS else cluster  # else both sides are shuffled
+    sizes = sets.select("id", "n").join(known, "id").groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("v"))
+    sizes, (n_large,) = save_seen(sizes.withColumn("large", (F.col("m") > CLUSTER) | (F.col("v") > CLUSTER_VALUES)), "sizes", F.count_if("large"))
+    if n_large:
+        cluster = cluster.join(sizes.where("large").select("cluster", "large"), "cluster", "left")
+        ids = cluster.where("large").select("id")
+        known = cluster.where("large is null").select("id", "cluster")
+    small = sets.join(known, "id").select("cluster", "id", "s")
     found = save(small.groupBy("cluster").applyInArrow(_solved(num, den), "id long, comp long"), "linked")
     if not n_large:
         return found
-    ids = cluster.join(size.where("large"), F.col("comp") == F.col("cluster"), "left_semi").select("id")
-    return found.unionByName(links_by_rounds(members.join(ids, "id", "left_semi").select("key", "id"), sets, num, den))
+    wide = sets.join(ids, "id", "left_semi").select("id", "s").dropDuplicates(["id"])
+    return found.unionByName(links_by_rounds(members.join(ids, "id", "left_semi").select("key", "id"), wide, num, den))
 
 
 def links_by_rounds(members: DataFrame, sets: DataFrame, num: int = 80, den: int = 100) -> DataFrame:

@@ -22,10 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import kernels as K
-from .common import link_components, save, save_seen, shuffle_width, table
+from .common import BROADCAST_IDS, link_components, save, save_seen, shuffle_width, table
 
-#: Candidate ids that may be broadcast (a few MB).
-BROADCAST_IDS = 200_000
 _PASS = "doc_id long, n long, h long, bucket int, kind tinyint, blob binary"
 
 
@@ -71,7 +69,7 @@ def _sets(k: int):
                 n = np.diff(bounds)
                 flat = pa.array(x.view(np.int64))
                 s = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), flat)
-                yield pa.record_batch([pa.array(K.set_ids(x, bounds).view(np.int64), mask=n == 0), s], names=["id", "s"])
+                yield pa.record_batch([pa.array(K.set_ids(x, bounds).view(np.int64), mask=n == 0), pa.array(n), s], names=["id", "n", "s"])
 
     return run
 
@@ -117,7 +115,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     found = docs.join(ids, "doc_id", "left_semi").select("text")
     if not picked.where("doc_id is null").isEmpty():  # sets that only documents without an id have
         found = found.unionByName(docs.where("doc_id is null").select("text"))
-    sets = save(found.mapInArrow(_sets(shingle), "id long, s array<long>").join(wanted, F.col("id") == F.col("h"), "left_semi").dropDuplicates(["id"]), "sets")
+    sets = save(found.mapInArrow(_sets(shingle), "id long, n long, s array<long>"), "sets")
     comp = link_components(members, sets, num, den)
     nodes = named.join(comp.withColumnRenamed("id", "h"), "h", "left").withColumn("c", F.coalesce("comp", "h"))
     least = nodes.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))

@@ -150,12 +150,16 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return label
 
 
-def _solved(num: int, den: int):
+def arrays(lists: pa.Array) -> list[np.ndarray]:
+    flat, cut = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return [flat[a:b] for a, b in zip(cut[:-1], cut[1:])]
+
+
+def _solved(num: int, den: int, unpack):
     def run(t: pa.Table) -> pa.Table:
         ids, at = np.unique(t.column("id").to_numpy(), return_index=True)
-        lists = t.column("s").take(pa.array(at)).combine_chunks()
-        flat, cut = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        label = linked([flat[a:b] for a, b in zip(cut[:-1], cut[1:])], num, den)
+        column = t.column("s").take(pa.array(at))
+        label = linked(unpack(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column), num, den)
         _, group, n = np.unique(label, return_inverse=True, return_counts=True)
         least = np.full(len(n), np.iinfo(np.int64).max)
         np.minimum.at(least, group, ids)
@@ -165,12 +169,21 @@ def _solved(num: int, den: int):
     return run
 
 
-def link_components(members: DataFrame, sets: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+def _as_arrays(unpack):
+    def run(batches):
+        for batch in batches:
+            got = unpack(batch.column("s"))
+            yield pa.record_batch([batch.column("id"), pa.array([x.view(np.int64) for x in got], pa.list_(pa.int64()))], names=["id", "s"])
+
+    return run
+
+
+def link_components(members: DataFrame, sets: DataFrame, num: int = 80, den: int = 100, unpack=arrays) -> DataFrame:
     """Components of the graph of verified links between members of shared buckets.
 
     members: distinct (key, id): the candidate buckets with two ids or more.
-    sets: (id, n, s array<long>): the full set of every id in members, of n values; rows may
-    repeat, and there may be more.
+    sets: (id, n, s): the full set of every id in members, of about n values; rows may repeat, and there
+    may be more. unpack turns an Arrow array of s into arrays of different 64-bit values.
 
     Buckets that overlap form clusters of candidates. A cluster of bounded size goes to one
     task, which finds its components by comparing full sets (each shipped once). Larger clusters,
@@ -188,10 +201,11 @@ def link_components(members: DataFrame, sets: DataFrame, num: int = 80, den: int
         ids = cluster.where("large").select("id")
         known = cluster.where("large is null").select("id", "cluster")
     small = sets.join(known, "id").select("cluster", "id", "s")
-    found = save(small.groupBy("cluster").applyInArrow(_solved(num, den), "id long, comp long"), "linked")
+    found = save(small.groupBy("cluster").applyInArrow(_solved(num, den, unpack), "id long, comp long"), "linked")
     if not n_large:
         return found
     wide = sets.join(ids, "id", "left_semi").select("id", "s").dropDuplicates(["id"])
+    wide = wide.mapInArrow(_as_arrays(unpack), "id long, s array<long>") if unpack is not arrays else wide
     return found.unionByName(links_by_rounds(members.join(ids, "id", "left_semi").select("key", "id"), wide, num, den))
 
 

@@ -265,29 +265,31 @@ def read(directory: DataFrame, folder: str) -> DataFrame:
     return r.where("record_type = 'response'").unionByName(revisits.select("page_id", "url", F.col("b").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"))
 
 
-def _finder(folder: str, shared):
-    @functools.lru_cache(maxsize=64)
-    def directory(path):
-        store, _ = _store(folder)
-        with store.open_input_file(path + ".dir") as f:
-            rows = [x.split("\t") for x in f.read().decode().split("\n")]
-        return [r[0] for r in rows], [(int(r[1]), int(r[2])) for r in rows]
-
-    @functools.lru_cache(maxsize=64)
-    def block(path, offset, length):
-        lines = _block_lines(_range(folder, path, offset, length))
-        return [x[0] for x in lines], lines
+@functools.lru_cache(maxsize=64)
+def _directory(folder: str, path: str):
+    store, _ = _store(folder)
+    with store.open_input_file(path + ".dir") as f:
+        rows = [x.split("\t") for x in f.read().decode().split("\n")]
+    return [r[0] for r in rows], [(int(r[1]), int(r[2])) for r in rows]
+
+
+@functools.lru_cache(maxsize=64)
+def _block(folder: str, path: str, offset: int, length: int):
+    lines = _block_lines(_range(folder, path, offset, length))
+    return [x[0] for x in lines], lines
 
+
+def _finder(folder: str, shared):
     def captures(key):
         firsts, paths = shared.value
         for f in range(max(0, bisect.bisect_left(firsts, key) - 1), len(paths)):
             if firsts[f] > key:
                 return
-            keys, places = directory(paths[f])
+            keys, places = _directory(folder, paths[f])
             for b in range(max(0, bisect.bisect_left(keys, key) - 1), len(keys)):
                 if keys[b] > key:
                     break
-                own, lines = block(paths[f], *places[b])
+                own, lines = _block(folder, paths[f], *places[b])
                 yield from lines[bisect.bisect_left(own, key) : bisect.bisect_right(own, key)]
 
     def run(batches):

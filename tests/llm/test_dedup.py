@@ -170,6 +170,7 @@ def test_substring_dedup_is_that_of_brute_force(spark, tmp_path, monkeypatch):
     rows += [rows[10], rows[11]]
     frame(spark, rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     for chunk, shard in ((substrings.CHUNK, substrings.SHARD), (700, 60)):
+        monkeypatch.setattr(substrings, "PART", min(chunk, 64) if chunk == 700 else substrings.PART)
         monkeypatch.setattr(substrings, "CHUNK", chunk)
         monkeypatch.setattr(substrings, "SHARD", shard)
         got = substrings.op3_suffix_array_dedup(spark, str(tmp_path)).collect()

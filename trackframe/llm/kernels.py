@@ -10,7 +10,7 @@ FULL = U(0xFFFFFFFFFFFFFFFF)
 _ODD = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 #: Bytes of text worked on at once; a longer document is one piece.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 _tables: dict[str, np.ndarray] = {}
 

@@ -32,7 +32,7 @@ def _sketches(k: int, n_bands: int, rows: int, n_buckets: int):
         salt = 0
         for batch in batches:
             ids, texts = batch.column(0), K.texts(batch.column(1))
-            for i, j in K.pieces([len(t) for t in texts], limit=8 << 20):
+            for i, j in K.pieces([len(t) for t in texts], limit=4 << 20):
                 x, bounds = K.doc_shingles(texts[i:j], k)
                 h = K.set_ids(x, bounds)
                 n = np.diff(bounds)

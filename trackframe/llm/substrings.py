@@ -42,6 +42,8 @@ from .common import save, shuffle_width, table
 
 LENGTH = 50
 CHUNK = 2 << 20
+#: Window starts hashed at once.
+PART = 1 << 18
 #: Window starts of one shard.
 SHARD = 1 << 20
 #: Bytes of text for a bucket.
@@ -106,8 +108,8 @@ class Runs:
         np.add.at(can, self.starts[:-1][long], 1)
         np.add.at(can, self.starts[1:][long] - length + 1, -1)
         can = np.cumsum(can, dtype=np.int8).astype(bool)
-        for x in range(0, max(0, len(text) - length + 1), CHUNK):
-            part = self._part(text[x : x + CHUNK + length - 1], can[x : x + CHUNK], k, length)
+        for x in range(0, max(0, len(text) - length + 1), PART):
+            part = self._part(text[x : x + PART + length - 1], can[x : x + PART], k, length)
             parts.append([x + part[0], x + part[1], *part[2:]])
         if parts:
             lo, hi, fp, content = (np.concatenate(p) for p in zip(*parts))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import save, shuffle_width, table
+from .common import BROADCAST_IDS, save, save_seen, shuffle_width, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template".split())
@@ -300,13 +300,17 @@ def _differenced(batches):
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and main text of every row of pages (page_id, url, html)."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = save(p.mapInArrow(_parsed, _PARSED), "parsed")
-    marked = parsed.where("marked").select("page_id", "url", F.array_join("lines", "\n\n").alias("text"))
-    open_hosts = parsed.where("not marked and host is not null").select("host").distinct()
-    alone = parsed.where("not marked and host is null").select("page_id", "url", F.array_join("lines", "\n\n").alias("text"))
-    rows = parsed.join(open_hosts, "host", "left_semi").select("host", "path", "page_id", "url", "marked", F.when(~F.col("marked"), F.col("lines")).alias("lines"), "hashes")
+    open_ = ~F.col("marked") & F.col("host").isNotNull()
+    parsed, (n_open,) = save_seen(p.mapInArrow(_parsed, _PARSED), "parsed", F.count_if(open_))
+    done = parsed.where(~open_).select("page_id", "url", F.array_join("lines", "\n\n").alias("text"))
+    if not n_open:
+        return done
+    hosts, (n_hosts,) = save_seen(parsed.where(open_).select("host").distinct(), "hosts", F.count(F.lit(1)))
+    if n_hosts <= BROADCAST_IDS:  # else both sides are shuffled
+        hosts = F.broadcast(hosts)
+    rows = parsed.select("host", "path", "page_id", "marked", F.when(open_, F.col("url")).alias("url"), F.when(open_, F.col("lines")).alias("lines"), "hashes").join(hosts, "host", "left_semi")
     found = neighbours(rows, ["host", "path", "page_id"], "hashes").where("not marked").select("page_id", "url", "host", "path", "lines", "hashes", "before", "after")
-    return marked.unionByName(alone).unionByName(found.mapInArrow(_differenced, "page_id long, url string, text string"))
+    return done.unionByName(found.mapInArrow(_differenced, "page_id long, url string, text string"))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

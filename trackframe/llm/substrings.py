@@ -142,7 +142,8 @@ class Runs:
         new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
         first = np.flatnonzero(new)
         lo, hi = at[first], at[np.append(first[1:], len(at)) - 1]
-        return lo, hi, h[anchor[first]], K.span(s, lo, hi + length)
+        # anchors are minima, so their hashes are small: mixed again, they spread over all buckets
+        return lo, hi, K.mix(h[anchor[first]], 7), K.span(s, lo, hi + length)
 
     def anchors(self):
         """Hashes of the chunk's different anchors, and which of them two documents here hold."""

@@ -49,7 +49,8 @@ def first_uncovered(spans: DataFrame, intervals: DataFrame, by: Sequence[str], s
     reach = F.greatest(F.coalesce(F.max("__b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col(span_start)), F.col(span_start))
     j = j.withColumn("__gap", F.when(F.col("__a") > reach, reach))
     found = j.groupBy(*keys).agg(F.min("__gap").alias("__gap"), F.max("__b").alias("__reach"))
-    first = F.coalesce("__gap", F.when(F.col("__reach") <= F.col(span_end), F.col("__reach")))
+    none = F.col("__reach").isNull()  # no interval at all
+    first = F.when(none, F.col(span_start)).otherwise(F.coalesce("__gap", F.when(F.col("__reach") <= F.col(span_end), F.col("__reach"))))
     found = found.select(*keys, first.alias("first_uncovered"), F.lit(True).alias("__seen"))
     return spans.join(found, keys, "left").withColumn("first_uncovered", F.when(F.col("__seen"), F.col("first_uncovered")).otherwise(F.col(span_start))).drop("__seen")
 

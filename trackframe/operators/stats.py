@@ -14,7 +14,7 @@ from ..functions import metrics as M
 
 def seed_then_match_mean(results: DataFrame, by: Sequence[str], match: str, value: str) -> DataFrame:
     """Mean over seeds in each match, then the equal mean over matches."""
-    return results.groupBy(*by, match).agg(F.avg(value).alias("m")).groupBy(*by).agg(F.avg("m").alias("mean"), F.count("*").alias("n_matches"))
+    return results.groupBy(*by, match).agg(F.avg(value).alias("__m")).groupBy(*by).agg(F.avg("__m").alias("mean"), F.count("*").alias("n_matches"))
 
 
 def seed_dispersion(results: DataFrame, by: Sequence[str], match: str, value: str) -> DataFrame:

@@ -294,7 +294,7 @@ def population_sre(spark, d):
     return scoring.target_errors(_lagged(spark, d), "target", "prediction", "truth").withColumns(r6("sre"))
 
 
-@query("SELECT r_regionkey AS target, round(abs(r_regionkey - 2.0), 6) AS sre FROM region")
+@query("SELECT r_regionkey AS target, round(abs(r_regionkey - 2.0::DOUBLE), 6) AS sre FROM region")
 def sre_zero_variance(spark, d):
     r = table(spark, d, "region").select(F.col("r_regionkey").alias("target"), F.col("r_regionkey").cast("double").alias("truth"), F.lit(2.0).alias("p"))
     return scoring.target_errors(r, "target", "p", "truth").select("target", F.round("sre", 6).alias("sre"))

@@ -24,7 +24,7 @@ def random_walk(spark: SparkSession, windows: int, players: int = 22, slots: int
 
 def match_frames(spark: SparkSession, matches: int, start: int = 100, frames: int = 100, players: int = 16, seed: int = 3) -> DataFrame:
     """Raw 10 Hz frames in the native shape, two teams, period 1."""
-    f = spark.range(matches).select((F.col("id") + 1).alias("match_id"), F.explode(F.sequence(F.lit(start), F.lit(start + frames - 1))).cast("long").alias("frame"))
+    f = spark.range(matches).select((F.col("id") + 1).alias("match_id"), F.explode(F.sequence(F.lit(start).cast("long"), F.lit(start + frames - 1).cast("long"))).alias("frame"))
 
     def at(salt, i):
         return (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "match_id", i), F.lit(2000)) - 1000) / 50.0

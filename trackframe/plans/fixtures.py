@@ -54,7 +54,8 @@ def gappy_players(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scene_points(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
+    # one shuffle serves the numbering, the scenes and the windows: all keep the order key
+    li = table(spark, d, "lineitem").repartition("l_orderkey")
     order = Window.partitionBy("l_orderkey", "l_linestatus").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate")
     keep = 1 - F.col("l_discount")
     return li.select(

@@ -452,7 +452,8 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+p AS (SELECT doc_id, b, substr(h, 2000 * b + 1, 2098) AS p FROM (SELECT doc_id, h, unnest(range(0, (length(h) // 2 + 999) // 1000)) AS b FROM d)),
+w AS (SELECT doc_id, 1000 * b + i AS i, md5(substr(p, 2 * i + 1, 100)) AS k FROM (SELECT doc_id, b, p, unnest(range(0, least(1000, length(p) // 2 - 49))) AS i FROM p)),
 f AS (SELECT k, min(doc_id) AS m FROM w GROUP BY k),
 g AS (SELECT w.doc_id, i FROM w JOIN f USING (k) WHERE m < w.doc_id),
 s AS (SELECT doc_id, i, CASE WHEN i > lag(i + 50) OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE 0 END AS gap FROM g),

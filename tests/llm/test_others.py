@@ -232,11 +232,13 @@ def test_draws_are_hypergeometric(spark):
 
 def test_shards_hold_the_mix(spark):
     rows = [(i, "w " * (i % 50), "ab"[i % 2]) for i in range(300)]
-    docs, slices = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=64, levels=3)
-    p = docs.select("key", "doc_id", F.explode("pieces").alias("p")).select("key", "doc_id", "p.*")
-    j = p.join(slices, ["key", "block"])
-    assert j.count() == p.count() and j.select("shard").distinct().count() == 8
-    assert j.groupBy("key", "block").agg(F.sum("n").alias("n")).where("n > 64").count() == 0
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    j = mixing.shard_rows(df, block=64, levels=3).toPandas()
+    assert set(j.shard) == set(range(8))
+    assert j.groupby(["key", "block"]).n.sum().max() <= 64 and (j.groupby(["key", "block"]).shard.nunique() == 1).all()
+    want = {r.doc_id: r.taken for r in mixing.digest(df).collect() if r.taken}
+    assert j.groupby("doc_id").n.sum().to_dict() == want
+    assert all((g.position.diff().dropna() >= 0).all() for _, g in j.groupby("shard"))
 
 
 # --- pages ---

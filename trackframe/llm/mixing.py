@@ -203,6 +203,15 @@ def mix(docs: DataFrame, block: int = BLOCK, levels: int | None = None, shard_wo
     return d.join(t, "key").select("doc_id", "source", "key", "size", "source_size", "target", pieces(block).alias("pieces")), slices
 
 
+def shard_rows(docs: DataFrame, block: int = BLOCK, levels: int | None = None, shard_words: int = 1 << 22) -> DataFrame:
+    """The mix as shards: shard, position, key, block, doc_id, start, n, each shard's blocks in the
+    order of their positions (a seeded local shuffle), a block's documents together."""
+    documents, slices = mix(docs, block, levels, shard_words)
+    parts = documents.select("key", "doc_id", F.explode("pieces").alias("p")).select("key", "doc_id", "p.*")
+    rows = parts.join(slices, ["key", "block"]).select("shard", "position", "key", "block", "doc_id", "start", "n")
+    return rows.repartition("shard").sortWithinPartitions("shard", "position", "key", "block", "doc_id", "start")
+
+
 def pieces(block: int) -> Column:
     """The parts of a document in the blocks of its source, for each pass over the source.
 

@@ -80,7 +80,7 @@ def results(spark: SparkSession, d: str) -> DataFrame:
 
 def phases(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    day = F.floor(F.unix_timestamp("o_orderdate") / 86400)
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01")).cast("long")
     return o.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), day.alias("s"), (day + 30).alias("e"), F.year("o_orderdate").alias("period"))
 
 

@@ -572,6 +572,28 @@ def names_and_blob_ids(spark, d):
     return r.select("r_regionkey", S.plain_name(F.concat("r_name", F.lit("-A.b"))).alias("name"), S.blob_id(F.encode("r_name", "UTF-8")).alias("blob"))
 
 
+@query(sql("sp") + """, g AS (SELECT player_id, idx AS ordinal, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY player_id ORDER BY idx) AS l FROM sp)
+SELECT player_id, count(CASE WHEN t - l <= 0 THEN 1 END) = 0 AS increasing, max(t) <= 1705276800000000 AS causal FROM g GROUP BY player_id""")
+def origin_causality(spark, d):
+    p = X.sample_players(spark, d).select("player_id", F.col("idx").alias("ordinal"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.unix_micros(F.lit("2024-01-15 00:00:00").cast("timestamp")).alias("origin"))
+    return sequences.origin_times_valid(p, ["player_id"], "t", "origin")
+
+
+@query("SELECT len(list_distinct(json_keys(props))) AS n_keys, count(*) AS n, count(CASE WHEN list_sort(json_keys(props)) = ['k'] THEN 1 END) AS closed FROM events GROUP BY ALL")
+def closed_key_check(spark, d):
+    e = table(spark, d, "events")
+    return e.groupBy(F.size(F.array_distinct(F.json_object_keys("props"))).cast("long").alias("n_keys")).agg(F.count("*").alias("n"), F.count_if(S.closed_keys("props", ["k"])).alias("closed"))
+
+
+@query("""WITH a AS (SELECT l_orderkey % 50 AS g, list_sort(list_distinct(list(l_suppkey) FILTER (l_linestatus = 'O'))) AS o, list_sort(list_distinct(list(l_suppkey) FILTER (l_linestatus = 'F'))) AS f FROM lineitem WHERE l_quantity > 48 GROUP BY ALL)
+SELECT g, len(list_filter(o, lambda x: NOT list_contains(f, x))) + len(list_filter(f, lambda x: NOT list_contains(o, x))) AS n_changed FROM a WHERE o IS NOT NULL AND f IS NOT NULL""")
+def roster_symmetric_difference(spark, d):
+    li = table(spark, d, "lineitem").where("l_quantity > 48")
+    a = li.groupBy((F.col("l_orderkey") % 50).alias("g")).agg(*[F.collect_set(F.when(F.col("l_linestatus") == v, F.col("l_suppkey"))).alias(n) for n, v in (("o", "O"), ("f", "F"))])
+    both = a.where((F.size("o") > 0) & (F.size("f") > 0))
+    return both.select("g", (F.size(F.array_except("o", "f")) + F.size(F.array_except("f", "o"))).cast("long").alias("n_changed"))
+
+
 # --- operators without a SQL form ---
 
 

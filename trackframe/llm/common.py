@@ -51,7 +51,15 @@ def save_seen(df: DataFrame, name: str, *sums) -> tuple[DataFrame, list]:
     return done, [got[f"s{i}"] for i in range(len(sums))]
 
 
+#: Rows of an Arrow batch; Spark's default of 10,000 makes batches of long texts large.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus. Unless the session has a setting of its own, Arrow batches get small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -75,7 +75,7 @@ def distinct(x: np.ndarray) -> np.ndarray:
 
 def texts(column: pa.Array) -> list[bytes]:
     """Values as UTF-8 bytes; null is empty."""
-    return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
 def pieces(sizes: list[int], limit: int = PIECE, count: int = 1023):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import save, table
+from .common import BROADCAST_IDS, save, save_seen, table
 
 FOLDS = 5
 CUT = 0.3
@@ -193,6 +193,9 @@ def _accepted(shared, cut):
 def keep_accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go."""
     labels = table(spark, sf_dir, "labels")
-    labelled = docs.join(labels.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
+    ids, (n_ids,) = save_seen(labels.select(F.col("doc_id").alias("__id")).distinct(), "labelled", F.count(F.lit(1)))
+    if n_ids <= BROADCAST_IDS:  # else both sides are shuffled
+        ids = F.broadcast(ids)
+    labelled = docs.join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
     model = fit(labelled.select("doc_id", "text").mapInArrow(_stats, _DDL), labels)
     return docs.mapInArrow(_accepted(spark.sparkContext.broadcast(model), CUT), docs.schema)

@@ -119,6 +119,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     comp = link_components(members, sets, num, den)
     nodes = named.join(comp.withColumnRenamed("id", "h"), "h", "left").withColumn("c", F.coalesce("comp", "h"))
     least = nodes.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    least = save(least, "least")  # written, so that Spark can split a skewed side of the join
     return nodes.join(least, "c", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),

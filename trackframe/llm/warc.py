@@ -145,6 +145,7 @@ def write(pages: DataFrame, folder: str, smallest: int = SMALLEST) -> DataFrame:
     p = p.withColumn("digest", F.sha2("html", 256))
     again = p.where(F.octet_length("html") >= smallest).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     again = again.where("n > 1 and first is not null").select("digest", "first")
+    again = save(again, "again")  # written, so that Spark can split a skewed side of the join
     p = p.join(again, "digest", "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
     return save(p.mapInArrow(_writer(folder), _CAPTURE), "captures")
 

@@ -174,6 +174,35 @@ def test_search_ties_and_few(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("id") == 0).count() == 0
 
 
+def test_copies_do_not_fill_the_list(spark):
+    """Thousands of copies of one vector, which is at true rank 21 to 40 of the queries."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 64))
+    x[:60] = x[0] + 0.05 * rng.normal(size=(60, 64))  # the queries, which are no candidates of note
+    x[:60] /= 10
+    near = np.argsort(-(x @ x[0]))[24:26]
+    x = np.concatenate([x, np.repeat(x[near].mean(axis=0)[None], 8000, axis=0)]).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4), F.col("id") < 60).toPandas()
+    assert len(got) == 60 * 20
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        s = x.astype(np.float64) @ x[q].astype(np.float64)
+        s[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(len(s)), -s))[:20]) & set(g.vec_id))
+    assert hits / len(got) >= 0.95
+
+
+def test_copies_and_repeated_rows(spark):
+    """Copies give their smallest ids; no row of the query itself counts, and each repeated row does."""
+    one, other = [1.0, 0.0, 0.0, 1.0], [0.9, 0.0, 0.0, 1.0]
+    rows = [(7, one)] * 30 + [(i, one) for i in range(8, 13)] + [(i, other) for i in range(20, 900)] + [(900, other)] * 2
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") == 900).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [7] * 20
+    got = ann.search(spark.createDataFrame(rows[29:], "vec_id long, embedding array<float>"), F.col("id") == 7).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [8, 9, 10, 11, 12, *range(20, 35)]
+
+
 # --- mixing ---
 
 

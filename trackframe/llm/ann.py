@@ -4,8 +4,9 @@ A quantiser splits vectors into pairs of coordinates with 16 centres each. It is
 a bounded sample under the score-aware loss, which weighs the part of the residual parallel
 to the vector ``eta`` times: centres solve the coupled weighted least squares, codes go down
 by coordinate descent. All vectors are encoded; every query block scans every block of codes
-through look-up tables, the best ``rerank`` of a block are scored exactly in double
-precision on the original vectors, and the best of all blocks stay.
+through look-up tables, all vectors of the best ``rerank`` different codes of a block are scored
+exactly in double precision on the originals, and the best of all blocks stay. Copies of a vector
+are one place of that list, however many they are.
 
 Queries and vectors form a grid of cells of bounded size: vectors are dealt to blocks by a hash of
 their id, so equal vectors spread. What is collected is the sample (SAMPLE vectors about) only.
@@ -144,34 +145,73 @@ def _coded(shared):
 _FOUND = "query_id long, vec_id long, score double"
 
 
+def _numbers(keys: list[bytes]) -> np.ndarray:
+    """Numbers from 0 in order of first appearance; equal keys share one."""
+    seen: dict[bytes, int] = {}
+    return np.array([seen.setdefault(x, len(seen)) for x in keys], dtype=np.int64)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (sizes[0] places), then those of starts[1] and so on."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal numbers (0 or more)."""
+    starts = np.flatnonzero(np.diff(x, prepend=-1))
+    return starts, np.diff(starts, append=len(x))
+
+
 def _cell(shared, k: int, rerank: int):
     def run(t: pa.Table) -> pa.Table:
         q, d = t.filter(pc.field("is_query")), t.filter(~pc.field("is_query"))
         if not len(q) or not len(d):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        d = d.sort_by("id")
         qi, di = q.column("id").to_numpy(), d.column("id").to_numpy()
-        qv, dv = _matrix(q.column("v").combine_chunks()), _matrix(d.column("v").combine_chunks())
-        codes = np.frombuffer(b"".join(d.column("codes").to_pylist()), dtype=np.uint8).reshape(len(d), -1).T.copy()
+        qv, dv = _matrix(q.column("v").combine_chunks()), _matrix(d.column("v").combine_chunks()) + 0.0  # no -0.0
+        keys = d.column("codes").to_pylist()
+        code, vec = _numbers(keys), _numbers([c + x.tobytes() for c, x in zip(keys, dv)])
+        order = np.lexsort((di, vec, code))
+        di, code, vec = di[order], code[order], vec[order]
+        # copies are one vector, and vectors of one code are scored once: codes hold vectors, vectors hold rows
+        v_at, v_rows = _runs(vec)
+        c_at, c_vecs = _runs(code[v_at])
+        distinct = dv[order[v_at]]
+        codes = np.frombuffer(b"".join(keys[order[i]] for i in v_at[c_at]), dtype=np.uint8).reshape(len(c_at), -1).T.copy()
+        v_of, c_of = np.repeat(np.arange(len(v_at)), v_rows), np.repeat(np.arange(len(c_at)), c_vecs)
+        # so many rows of a vector hold k besides those of any one id
+        same = np.flatnonzero(np.concatenate([[True], (v_of[1:] != v_of[:-1]) | (di[1:] != di[:-1])]))
+        v_most = np.minimum(v_rows, k + np.diff(same, append=len(di)).max())
+        n = min(rerank, len(c_at))
         out = []
         for at in range(0, len(qi), 64):
             tables = shared.value.tables(qv[at : at + 64])
-            s = np.zeros((len(tables), len(di)), dtype=np.float32)
+            s = np.zeros((len(tables), len(c_at)), dtype=np.float32)
             for j in range(len(codes)):
                 s += np.take(tables[:, j], codes[j], axis=1)
-            s[qi[at : at + 64][:, None] == di[None]] = -np.inf
-            n = min(rerank, len(di))
-            # ties at the border go to smaller ids: vectors are in order of their ids
-            near = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < len(di) else np.broadcast_to(np.arange(n), s.shape)
-            for row, places in enumerate(near):
-                border = s[row, places].min()
-                if n < len(di) and (s[row] == border).sum() > (s[row, places] == border).sum():
-                    over = np.flatnonzero(s[row] > border)
-                    places = np.concatenate([over, np.flatnonzero(s[row] == border)[: n - len(over)]])
-                places = places[s[row, places] > -np.inf]
-                exact = dv[places] @ qv[at + row]
-                best = np.lexsort((di[places], -exact))[:k]
-                out.append((np.full(len(best), qi[at + row]), di[places][best], exact[best]))
+            own = []  # vectors that only the query itself has
+            for row in range(len(s)):
+                mine, rows = np.unique(v_of[di == qi[at + row]], return_counts=True)
+                mine = mine[rows == v_rows[mine]]
+                own.append(mine)
+                if len(mine):
+                    held, vecs = np.unique(c_of[mine], return_counts=True)
+                    s[row, held[vecs == c_vecs[held]]] = -np.inf
+            border = np.partition(s, len(c_at) - n, axis=1)[:, len(c_at) - n]
+            for row in range(len(s)):
+                near = np.flatnonzero((s[row] >= border[row]) & (s[row] > -np.inf))
+                places = _ranges(c_at[near], c_vecs[near])
+                if len(own[row]):
+                    places = places[~np.isin(places, own[row])]
+                exact = distinct[places] @ qv[at + row]
+                if len(exact) > k:
+                    good = exact >= np.partition(exact, len(exact) - k)[len(exact) - k]
+                    places, exact = places[good], exact[good]
+                rows, score = _ranges(v_at[places], v_most[places]), np.repeat(exact, v_most[places])
+                ids = di[rows]
+                ids, score = ids[ids != qi[at + row]], score[ids != qi[at + row]]
+                best = np.lexsort((ids, -score))[:k]
+                out.append((np.full(len(best), qi[at + row]), ids[best], score[best]))
         a, b, c = (np.concatenate(x) for x in zip(*out))
         return pa.table({"query_id": a, "vec_id": b, "score": c})
 

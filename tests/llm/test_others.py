@@ -285,6 +285,20 @@ def test_article_blocks():
     assert html_text.blocks("<p>plain<script>a</script> text") == (["plain text"], False)
 
 
+def test_names_do_not_cost_the_article():
+    for wrap in ('div class="content-sidebar-wrap"', "div class='has-sidebar'", "div id=no-nav", 'div class="sidebar"', "form", 'div class="modal" role="dialog"'):
+        for inner in ("<article><p>Story</article>", "<main><p>Story</main>", '<div role="main" class="comments"><p>Story</div>'):
+            assert html_text.blocks(f"<p>Top<{wrap}><p>Menu</p>{inner}</{wrap.split()[0]}>") == (["Story"], True), (wrap, inner)
+    kept = '<h2 id="search">A</h2><section id="related-work"><p>B</section><p class="social-policy">C</p><p data-id="nav" data-role="ad" title="x id=nav">D</p>'
+    assert html_text.blocks(f"<article>{kept}</article>") == (["A", "B", "C", "D"], True)
+    assert html_text.blocks(f"<main><header><h1>T</h1></header>{kept}</main>") == (["T", "A", "B", "C", "D"], True)
+    gone = '<div class="x share">s</div><div class="ad">a</div><div role="navigation">n</div><section id="comments"><article>first</article></section>'
+    assert html_text.blocks(f"<article><p>A</p>{gone}</article>") == (["A"], True)
+    # comments and teasers are not the page's article
+    assert html_text.blocks('<p>Story<section id="comments"><article>first</article></section><aside><article>more</article></aside>') == (["Story"], False)
+    assert html_text.blocks('<div class="cookie-notice">c</div><div class="nav-bar">n</div><div class="has-sidebar"><p>Story</div>') == (["Story"], False)
+
+
 def test_common_subsequences():
     r = np.random.default_rng(0)
     for _ in range(60):

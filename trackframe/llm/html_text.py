@@ -40,7 +40,7 @@ BLOCKS = frozenset(
 )
 #: Elements whose text is never part of an article.
 LEFT_OUT = frozenset("head nav footer aside form dialog menu search button select option datalist object svg math canvas audio video".split()) | RAW
-#: Parts of class names, ids and roles that say the same.
+#: Classes, ids and roles that say the same.
 NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie "
     "cookies disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification "
@@ -48,27 +48,62 @@ NAMES = frozenset(
     "toolbar widget".split()
 )
 _TAG = re.compile(r"""<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|[!?/][^>]*>)""")
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Words that may stand beside them outside of articles (cookie-notice, nav-bar).
+FILL = frozenset("bar box buttons links list site slot".split())
+#: Those of reader comments, which may be articles in turn; and elements that hold teasers, but no page's article.
+COMMENTS = frozenset("comment comments disqus replies reply respond".split())
+BESIDE = frozenset("aside nav footer menu".split())
+CONTAINERS = frozenset("div section ol ul".split())
+_ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _left_out(name: str, attrs: str, in_article: bool) -> bool:
+def _tokens(attrs: str) -> list[tuple[str, str]]:
+    """(attribute, token) of class, id and role."""
+    if "=" not in attrs:
+        return []
+    found = [(k.lower(), a or b or c) for k, a, b, c in _ATTR.findall(attrs)]
+    return [(k, x) for k, v in found if k in ("class", "id", "role") for x in v.split()]
+
+
+def _left_out(name: str, tokens: list[tuple[str, str]], in_article: bool) -> bool:
     if name in LEFT_OUT or name == "header" and not in_article:
         return True
-    if "=" not in attrs or name in ("html", "body", "article", "main"):
+    if name in ("html", "body", "article", "main"):
         return False
-    for _, a, b, c in _ATTR.findall(attrs):
-        parts = [p.lower() for p in _PART.findall(a or b or c)]
-        if not NAMES.isdisjoint(parts) or not in_article and "header" in parts:
+    for key, token in tokens:
+        if in_article:  # an id there is an anchor, but for the comments below the text
+            if token.lower() in NAMES if key != "id" else name in CONTAINERS and token.lower() in COMMENTS:
+                return True
+            continue
+        words = {p.lower() for p in _PART.findall(token)}
+        known = words & (NAMES | {"header"})
+        if known and words - known <= FILL:
             return True
     return False
 
 
+def _firm(name: str, tokens: list[tuple[str, str]]) -> bool:
+    """Whether articles inside are no sign that an element that is left out holds the page's article."""
+    return name in BESIDE or any(not COMMENTS.isdisjoint(p.lower() for p in _PART.findall(x)) for _, x in tokens)
+
+
 def blocks(page: str) -> tuple[list[str], bool]:
     """The page's blocks outside of elements that are left out; and whether they are those of a
-    marked article."""
+    marked article. An element around the marked article is not left out."""
+    found, marked, wraps = _pass(page, frozenset())
+    if not marked and wraps:
+        found, marked, _ = _pass(page, frozenset(wraps))
+    return found, marked
+
+
+def _pass(page: str, lifted: frozenset[int]) -> tuple[list[str], bool, set[int]]:
+    """blocks, without leaving out the elements that start at the places lifted; and the places of
+    those left out around an article."""
     article, main, rest = [], [], []
+    wraps: set[int] = set()
     stack: list[tuple[str, int]] = []
+    out: list[tuple[int, bool]] = []  # place of each open element left out, and whether it is firm
     skip = inside = inner = 0  # open elements left out, of article, of main
     piece: list[str] = []
 
@@ -82,7 +117,9 @@ def blocks(page: str) -> tuple[list[str], bool]:
     def pop():
         nonlocal skip, inside, inner
         _, kind = stack.pop()
-        skip -= kind == 1
+        if kind == 1:
+            skip -= 1
+            out.pop()
         inside -= kind == 2
         inner -= kind == 3
 
@@ -154,23 +191,26 @@ def blocks(page: str) -> tuple[list[str], bool]:
             continue
         if name in VOID or attrs.endswith("/") and name not in BLOCKS:
             continue
-        kind = 0
-        if _left_out(name, attrs, bool(inside)):
-            kind = 1
-        elif name == "article":
+        kind, tokens = 0, _tokens(attrs)
+        if name == "article":
             kind = 2
-        elif name == "main" or "role" in attrs and any(k.lower() == "role" and "main" in (a, b, c) for k, a, b, c in _ATTR.findall(attrs)):
+        elif name == "main" or ("role", "main") in tokens:
             kind = 3
+        elif lt not in lifted and _left_out(name, tokens, bool(inside or inner)):
+            kind = 1
+            out.append((lt, _firm(name, tokens)))
+        if kind > 1 and (kind == 3 or not any(firm for _, firm in out)):
+            wraps.update(place for place, _ in out)
         stack.append((name, kind))
         skip += kind == 1
         inside += kind == 2
         inner += kind == 3
     flush()
     if article:
-        return article, True
+        return article, True, wraps
     if main:
-        return main, True
-    return rest, False
+        return main, True, wraps
+    return rest, False, wraps
 
 
 def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -328,6 +328,40 @@ def test_differencing_deletes_shared_lines(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_neighbours_are_those_of_brute_force(spark):
+    r = random.Random(4)
+    rows = []
+    for host in "abc":
+        n = 0
+        while n < 120:  # runs of up to a partition and more
+            run, group = r.choice([1, 1, 2, 90]), r.randrange(3)
+            rows += [(host, f"/{n + i:04d}", len(rows) + i, group, [group, group]) for i in range(run)]
+            n += run
+    df = spark.createDataFrame(rows, "host string, path string, page_id long, list long, hashes array<long>").repartition(3)
+    got = html_text.neighbours(df, ["host", "path", "page_id"], ["host", "list"], "hashes").collect()
+    assert len(got) == len(rows)
+    place = {x[2]: i for i, x in enumerate(rows)}
+    for x in got:
+        i = place[x.page_id]
+        before = [y[2] for y in rows[:i] if (y[0], y[3]) != (x.host, x.list)]
+        after = [y[2] for y in rows[i:] if (y[0], y[3]) != (x.host, x.list)]
+        assert (x.before and x.before.page_id) == (before[-1] if before else None)
+        assert (x.after and x.after.page_id) == (after[0] if after else None)
+
+
+def test_differencing_among_copies_and_marked_pages(spark):
+    page = "<div><p>Top of site</p>{}<p>Story {} one</p>{}<p>Bottom of site</p></div>"
+    rows = [(i, f"http://h.com/a/{i:04d}", page.format("", 1, "")) for i in range(300)] + [(400, "http://h.com/b", page.format("", 2, ""))]
+    rows += [(500, "http://m.com/1", page.format("<article>", 5, "</article>")), (501, "http://m.com/2", page.format("", 5, "")), (502, "http://m.com/3", page.format("", 6, ""))]
+    rows += [(600, "http://n.com/1", page.format("<article>", 7, "</article>")), (601, "http://n.com/2", page.format("", 7, ""))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    assert len(got) == len(rows)
+    assert {got[i] for i in range(300)} == {"Story 1 one"} and got[400] == "Story 2 one"
+    assert [got[i] for i in (500, 501, 502)] == ["Story 5 one", "Story 5 one", "Story 6 one"]
+    assert got[600] == got[601] == "Story 7 one"
+
+
 # --- token counts ---
 
 

@@ -4,18 +4,20 @@ A page's markup becomes text blocks ("lines"). Elements that are never part of a
 (menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader
 comments) are left out. If the page marks its article (article, main or role=main), the
 blocks inside are its text. Otherwise the page is differenced with the page of the same host
-whose URL path is nearest: lines are aligned by longest common subsequence, and shared lines,
-the site's template, are deleted.
+and of other lines whose URL path is nearest: lines are aligned by longest common subsequence, and
+shared lines, the site's template, are deleted. A marked page lends its lines outside of the article:
+those in it are no template, and an equal article of an unmarked page stays.
 
 Differencing alone can't tell: menus and adverts differ from page to page while articles are
 copied within a host, so it is kept to lines that no element marks as article.
 
 Neighbours in path order are found with a range partitioning and the boundary rows of each
-partition, so a host with a third of all pages is many tasks.
+partition, so a host with a third of all pages is many tasks. A run of copies is passed over as one,
+be it longer than a partition.
 
 Defined cases: null and empty html give an empty text; a null URL is a host of its own without
 neighbours; truncated markup ends where it is cut; repeated rows give a result each (equal pages
-would share every line, so a page is never differenced with one of equal lines); ties in path
+would share every line, so an unmarked page is never differenced with an unmarked one of equal lines); ties in path
 order go to the smaller page id; extra columns are ignored.
 """
 
@@ -91,16 +93,21 @@ def _firm(name: str, tokens: list[tuple[str, str]]) -> bool:
 def blocks(page: str) -> tuple[list[str], bool]:
     """The page's blocks outside of elements that are left out; and whether they are those of a
     marked article. An element around the marked article is not left out."""
-    found, marked, wraps = _pass(page, frozenset())
+    return blocks_and_others(page)[:2]
+
+
+def blocks_and_others(page: str) -> tuple[list[str], bool, list[str]]:
+    """blocks, and of a page with a marked article the blocks outside of it."""
+    found, marked, others, wraps = _pass(page, frozenset())
     if not marked and wraps:
-        found, marked, _ = _pass(page, frozenset(wraps))
-    return found, marked
+        found, marked, others, _ = _pass(page, frozenset(wraps))
+    return found, marked, others
 
 
-def _pass(page: str, lifted: frozenset[int]) -> tuple[list[str], bool, set[int]]:
-    """blocks, without leaving out the elements that start at the places lifted; and the places of
-    those left out around an article."""
-    article, main, rest = [], [], []
+def _pass(page: str, lifted: frozenset[int]) -> tuple[list[str], bool, list[str], set[int]]:
+    """blocks_and_others, without leaving out the elements that start at the places lifted; and the
+    places of those left out around an article."""
+    lines: list[tuple[int, str]] = []  # 2: of article, 1: of main
     wraps: set[int] = set()
     stack: list[tuple[str, int]] = []
     out: list[tuple[int, bool]] = []  # place of each open element left out, and whether it is firm
@@ -112,7 +119,7 @@ def _pass(page: str, lifted: frozenset[int]) -> tuple[list[str], bool, set[int]]
             text = " ".join(entities.unescape("".join(piece)).split())
             piece.clear()
             if text:
-                (article if inside else main if inner else rest).append(text)
+                lines.append((2 if inside else 1 if inner else 0, text))
 
     def pop():
         nonlocal skip, inside, inner
@@ -206,11 +213,8 @@ def _pass(page: str, lifted: frozenset[int]) -> tuple[list[str], bool, set[int]]
         inside += kind == 2
         inner += kind == 3
     flush()
-    if article:
-        return article, True, wraps
-    if main:
-        return main, True, wraps
-    return rest, False, wraps
+    top = max((level for level, _ in lines), default=0)
+    return [x for level, x in lines if level == top], top > 0, [x for level, x in lines if level < top], wraps
 
 
 def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -265,6 +269,7 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return keep
 
 
+#: hashes: of the lines that a page lends (all of an unmarked page, those outside of the article of a marked one).
 _PARSED = "page_id long, url string, host string, path string, marked boolean, lines array<string>, hashes array<long>"
 
 
@@ -290,29 +295,56 @@ def _parsed(batches):
         for i in range(0, len(pages), 500):
             rows = []
             for page_id, url, page in zip(batch.column("page_id").slice(i, 500).to_pylist(), batch.column("url").slice(i, 500).to_pylist(), pages[i : i + 500]):
-                found, marked = blocks(page or "")
+                found, marked, others = blocks_and_others(page or "")
                 lines = [x.encode("utf-8", "replace").decode() for x in found]
-                rows.append((page_id, url, *_place(url), marked, lines, _hashes(lines)))
+                rows.append((page_id, url, *_place(url), marked, lines, _hashes(others if marked else lines)))
             types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int64())]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["page_id", "url", "host", "path", "marked", "lines", "hashes"])
 
 
-def neighbours(rows: DataFrame, order: list[str], value: str) -> DataFrame:
-    """Adds before and after: structs of order columns and value of the rows next to each in
-    the global order, null at its ends. Rows are range-partitioned; the first and last rows
-    of the partitions are lent to the partitions beside them."""
-    one = F.struct(*order, value)
+def beside(rows: DataFrame, part: list[str], order: list[str], group: list[str], value: str) -> DataFrame:
+    """Adds before and after: structs of order, group and value of the nearest rows in the order (within part)
+    on both sides whose group columns differ, null where none does."""
+    one = F.struct(*dict.fromkeys([*order, *group, value]))
+    for name, by in (("before", order), ("after", [F.desc(c) for c in order])):
+        w = Window.partitionBy(*part).orderBy(*by)
+        last = F.lag(F.struct(one.alias("x"))).over(w)
+        other = F.lit(False)
+        for c in group:
+            other |= ~F.col(f"__last.x.{c}").eqNullSafe(F.col(c))
+        rows = rows.withColumn("__last", last).withColumn("__start", F.when(F.col("__last").isNotNull() & other, F.col("__last.x")))
+        rows = rows.withColumn(name, F.last("__start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__last", "__start")
+    return rows
+
+
+def neighbours(rows: DataFrame, order: list[str], group: list[str], value: str) -> DataFrame:
+    """Adds before and after: structs of order, group and value of the nearest rows on both sides in
+    the global order whose group columns differ, null at its ends. Rows are range-partitioned; the rows
+    of two groups beyond each end of a partition are lent to it."""
+    names = list(dict.fromkeys([*order, *group, value]))
+    one = F.struct(*names)
     placed = save(rows.repartitionByRange(shuffle_width(rows.sparkSession), *order).withColumn("__part", F.spark_partition_id()), "ordered")
     ends = placed.groupBy("__part").agg(F.min(one).alias("a"), F.max(one).alias("z"))
-    # a row for each partition
+    # four rows at most for each partition: its ends and the first rows of other groups
+    inner = placed.join(F.broadcast(ends), "__part")
+
+    def other(end):
+        differs = F.lit(False)
+        for c in group:
+            differs |= ~F.col(c).eqNullSafe(F.col(f"{end}.{c}"))
+        return F.when(differs, one)
+
+    inner = inner.groupBy("__part").agg(F.min(other("a")).alias("a2"), F.max(other("z")).alias("z2"))
+    ends = ends.join(inner, "__part").select("__part", F.explode(F.array_distinct(F.array_compact(F.array("a", "a2", "z2", "z")))).alias("x")).select("__part", "x.*")
+    ends = beside(ends.withColumn("__all", F.lit(0)), ["__all"], order, group, value)
+    ends = ends.groupBy("__part").agg(F.min(F.struct(one.alias("x"), "after")).alias("a"), F.max(F.struct(one.alias("x"), "before")).alias("z"))
     up = Window.orderBy("__part")
-    ends = ends.select(F.col("__part"), F.lag("z").over(up).alias("low"), F.lead("a").over(up).alias("high"))
-    lent = ends.select("__part", F.explode(F.array("low", "high")).alias("x")).where("x is not null")
-    names = [c for c in placed.columns if c not in (*order, value, "__part")]
-    lent = lent.select(*[F.col(f"x.{c}").alias(c) for c in (*order, value)], *[F.lit(None).cast(placed.schema[c].dataType).alias(c) for c in names], "__part", F.lit(True).alias("__lent"))
-    w = Window.partitionBy("__part").orderBy(*order)
+    ends = ends.select("__part", F.lag("z").over(up).alias("low"), F.lead("a").over(up).alias("high"))
+    lent = ends.select("__part", F.explode(F.array_compact(F.array("low.x", "low.before", "high.x", "high.after"))).alias("x"))
+    more = [c for c in placed.columns if c not in (*names, "__part")]
+    lent = lent.select("x.*", *[F.lit(None).cast(placed.schema[c].dataType).alias(c) for c in more], "__part", F.lit(True).alias("__lent"))
     both = placed.withColumn("__lent", F.lit(False)).unionByName(lent)
-    return both.withColumn("before", F.lag(one).over(w)).withColumn("after", F.lead(one).over(w)).where("not __lent").drop("__part", "__lent")
+    return beside(both, ["__part"], order, group, value).where("not __lent").drop("__part", "__lent")
 
 
 def _prefix(a: str, b: str) -> int:
@@ -328,8 +360,8 @@ def _differenced(batches):
     for batch in batches:
         out = []
         for host, path, lines, hashes, before, after in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "lines", "hashes", "before", "after"))):
-            near = [x for x in (before, after) if x and host is not None and x["host"] == host and x["hashes"] != hashes]
-            if near and hashes:
+            near = [x for x in (before, after) if x and x["host"] == host]
+            if near:
                 other = max(near, key=lambda x: _prefix(path, x["path"]))
                 shared = common(np.asarray(hashes, dtype=np.int64), np.asarray(other["hashes"], dtype=np.int64))
                 lines = [x for x, s in zip(lines, shared) if not s]
@@ -340,7 +372,7 @@ def _differenced(batches):
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and main text of every row of pages (page_id, url, html)."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    open_ = ~F.col("marked") & F.col("host").isNotNull()
+    open_ = ~F.col("marked") & F.col("host").isNotNull() & (F.size("hashes") > 0)
     parsed, (n_open,) = save_seen(p.mapInArrow(_parsed, _PARSED), "parsed", F.count_if(open_))
     done = parsed.where(~open_).select("page_id", "url", F.array_join("lines", "\n\n").alias("text"))
     if not n_open:
@@ -348,8 +380,9 @@ def extract(pages: DataFrame) -> DataFrame:
     hosts, (n_hosts,) = save_seen(parsed.where(open_).select("host").distinct(), "hosts", F.count(F.lit(1)))
     if n_hosts <= BROADCAST_IDS:  # else both sides are shuffled
         hosts = F.broadcast(hosts)
-    rows = parsed.select("host", "path", "page_id", "marked", F.when(open_, F.col("url")).alias("url"), F.when(open_, F.col("lines")).alias("lines"), "hashes").join(hosts, "host", "left_semi")
-    found = neighbours(rows, ["host", "path", "page_id"], "hashes").where("not marked").select("page_id", "url", "host", "path", "lines", "hashes", "before", "after")
+    rows = parsed.where(F.size("hashes") > 0).join(hosts, "host", "left_semi")
+    rows = rows.select("host", "path", "page_id", "marked", F.xxhash64("marked", "hashes").alias("list"), F.when(open_, F.col("url")).alias("url"), F.when(open_, F.col("lines")).alias("lines"), "hashes")
+    found = neighbours(rows, ["host", "path", "page_id"], ["host", "list"], "hashes").where("not marked").select("page_id", "url", "host", "path", "lines", "hashes", "before", "after")
     return done.unionByName(found.mapInArrow(_differenced, "page_id long, url string, text string"))
 
 

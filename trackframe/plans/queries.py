@@ -626,3 +626,42 @@ def deep_sets_forward(spark, d):
     f = panels.track_features(X.history(spark, d), ["match_id", "player_id"])
     p = panels.deep_sets(f.where(F.size("features") == 18), w, ["match_id"])
     return p.select("match_id", "player_id", F.posexplode("prediction").alias("i", "v"))
+
+
+# --- all rows of the queries above whose SQL keeps a part of them ---
+
+
+@query(ORACLES["origin_grid"].replace(" WHERE k % 10 = 0", ""))
+def origin_grid_whole(spark, d):
+    return sequences.even_grid(X.phases(spark, d), "s", "e").select("id", "origin_frame")
+
+
+@query(ORACLES["first_uncovered"].replace(" WHERE w.k < 200", ""))
+def first_uncovered_whole(spark, d):
+    p = X.phases(spark, d)
+    w = p.groupBy("k").agg(F.min("s").alias("a"), F.max("e").alias("b"))
+    return intervals.first_uncovered(w, p, ["k"], "a", "b", "s", "e").select("k", "first_uncovered")
+
+
+@query(ORACLES["team_minimum"].replace(" WHERE idx < 40", ""))
+def team_minimum_whole(spark, d):
+    p = X.sample_players(spark, d).withColumn("group", F.col("team"))
+    p = p.withColumn("disposition", F.when(F.col("event_type") == "error", "PLAYER_COORDINATES_MISSING").otherwise("valid"))
+    by = ["match_id", "idx"]
+    return eligibility.team_minimum(p, by, p.select(*by, "group").distinct(), Params(min_players=3))
+
+
+# sums, since means of 32 values of two digits are ties of a rounding to six
+@query(ORACLES["causal_prefix"].replace(" WHERE idx % 10 = 5", "").replace("round(avg(x), 6) AS mean_x", "round(sum(x), 6) AS sum_x"))
+def causal_prefix_whole(spark, d):
+    p = X.sample_players(spark, d).select("player_id", "ts", "x")
+    q = p.select("player_id", F.col("ts").alias("query_ts"))
+    return sequences.causal_prefix(p, q, ["player_id"], "ts", "query_ts").groupBy("player_id", "query_ts").agg(F.count("*").alias("n"), F.round(F.sum("x"), 6).alias("sum_x"))
+
+
+@query(ORACLES["truth_panel"].replace(" WHERE idx IN (20, 30)", ""))
+def truth_panel_whole(spark, d):
+    p = X.sample_players(spark, d).withColumn("frame", F.col("idx"))
+    t = panels.truth_panel(p.withColumn("origin_frame", F.col("frame")), p.where("event_type <> 'error'"), ["match_id"])
+    by = ["player_id", "origin_frame"]
+    return t.groupBy(*by).agg(F.count("truth_x").alias("n_truth")).join(panels.scoreable(t, by), by)

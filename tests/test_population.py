@@ -48,3 +48,32 @@ def test_one_fault_excludes(spark, name, change, code):
     w[name] = change(w[name])
     reasons, _ = eligible(w)
     assert code in reasons[160]
+
+
+@pytest.mark.parametrize(
+    "name, change, code",
+    [
+        ("appearances", lambda d: d.withColumn("period", F.when(F.col("player_id") != 3, F.col("period"))), "PLAYER_APPEARANCE_METADATA_UNKNOWN"),
+        ("frames", lambda d: d.withColumn("player_data", F.when(F.col("frame") == 160, F.filter("player_data", lambda p: p["player_id"] != 3)).otherwise(F.col("player_data"))), "PLAYER_OBSERVATION_MISSING"),
+        ("frames", lambda d: d.withColumn("player_data", F.transform("player_data", lambda p: F.struct(p["player_id"].alias("player_id"), F.when((F.col("frame") == 160) & (p["player_id"] == 3), p["x"] - 5).otherwise(p["x"]).alias("x"), p["y"].alias("y"), p["is_detected"].alias("is_detected")))), "PLAYER_DISPLACEMENT_OUTLIER"),
+    ],
+)
+def test_one_fault_warns(spark, name, change, code):
+    def warned(w):
+        return {r.origin_frame: (set(r.warnings), r.eligible) for r in produce(**w)[0].collect()}
+
+    w = world(spark)
+    if code == "PLAYER_DISPLACEMENT_OUTLIER":  # players who stand still
+        w["frames"] = w["frames"].withColumn("player_data", F.transform("player_data", lambda p: F.struct(p["player_id"].alias("player_id"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), p["is_detected"].alias("is_detected"))))
+    assert all(code not in x for x, _ in warned(w).values())
+    w[name] = change(w[name])
+    assert code in warned(w)[160][0] and warned(w)[160][1]
+
+
+def test_phase_problems_exclude(spark):
+    w = world(spark)
+    w["phases"] = spark.createDataFrame([(1, 1, "r", 100, 200), (1, 1, "r", 150, 150), (1, 2, "r", 100, 200), (1, 1, "s", 100, 200)], "match_id long, phase_match_id long, release_id string, start long, end long")
+    reasons = {r.origin_frame: r.exclusion_reasons for r in produce(**w, release="r")[0].collect()}
+    assert reasons[160] == ["PHASE_INTERVAL_INVALID", "PHASE_MATCH_ID_MISMATCH", "PHASE_SOURCE_IDENTITY_MISMATCH"]
+    w["phases"] = w["phases"].limit(1)
+    assert {r.origin_frame: r.exclusion_reasons for r in produce(**w, release="r")[0].collect()}[160] == []

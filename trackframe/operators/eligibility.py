@@ -64,6 +64,16 @@ def phase_problems(phases: DataFrame, release: str) -> DataFrame:
     )
 
 
+def roster_known(roster: DataFrame, appearances: DataFrame) -> DataFrame:
+    """match_id, roster_known: whether ids are whole, no player is listed twice and all appearances are
+    intervals of a period. Matches without a roster have no row."""
+    whole = F.coalesce((F.col("player_id") > 0) & (F.col("team_id") > 0), F.lit(False))
+    r = roster.groupBy("match_id").agg((F.bool_and(whole) & (F.count("*") == F.count_distinct("player_id"))).alias("ok"))
+    bad = F.coalesce(F.col("start_frame") > F.col("end_frame"), F.lit(True)) | F.col("period").isNull()
+    a = appearances.groupBy("match_id").agg(any_of(bad).alias("bad"))
+    return r.join(a, "match_id", "left").select("match_id", (F.col("ok") & ~F.coalesce("bad", F.lit(False))).alias("roster_known"))
+
+
 def period_problems(periods: DataFrame) -> DataFrame:
     """match_id, period, period_codes of bounds (match_id, period, start_frame, end_frame)."""
     w = Window.partitionBy("match_id").orderBy("start_frame", "end_frame", "period")

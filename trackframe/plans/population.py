@@ -3,7 +3,7 @@
 Inputs are DataFrames: frames (raw 10 Hz), matches (match_id, home, away, pitch_length, pitch_width),
 roster (match_id, player_id, team_id, group), periods (match_id, period, start_frame, end_frame),
 appearances (match_id, player_id, period, start_frame, end_frame; closed) and phases (match_id, start,
-end; half-open, in-play). Everything but frames is a small dimension; Spark broadcasts it below its threshold.
+end; half-open, in-play; phase_match_id and release_id where they are known). Everything but frames is a small dimension; Spark broadcasts it below its threshold.
 
 Slots are evaluated once per sample and pair before they are spread over windows, so the 41-fold
 join carries a code array and a few flags, not players.
@@ -35,18 +35,25 @@ def players(canonical: DataFrame, matches: DataFrame, roster: DataFrame, appeara
     return rows.withColumn("in_appearance", inside).drop("spans").withColumn("disposition", E.player_disposition(p))
 
 
-def sample_rules(canonical: DataFrame, rows: DataFrame, matches: DataFrame, periods: DataFrame, roster: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+def sample_rules(canonical: DataFrame, rows: DataFrame, matches: DataFrame, periods: DataFrame, roster: DataFrame, appearances: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """One row a sample with its codes and warnings and the state of its ball."""
+    counted = F.col("disposition").isin(*E.COUNTED)
     per = rows.groupBy(*KEY).agg(
         F.collect_set(F.when(F.col("disposition") != "valid", F.col("disposition"))).alias("player_codes"),
-        F.collect_set(F.when(F.col("disposition").isin(*E.COUNTED), F.col("player_id"))).alias("observed"),
+        F.collect_set(F.when(counted, F.col("player_id"))).alias("observed"),
+        F.collect_list(F.when(counted, F.struct("player_id", "x", "y"))).alias("spots"),
     )
+    known = E.roster_known(roster, appearances)
+    active = appearances.groupBy("match_id", "period").agg(F.collect_list(F.struct("player_id", F.col("start_frame").alias("a"), F.col("end_frame").alias("z"))).alias("active"))
     teams = canonical.select(*KEY).join(roster.where("`group` is not null").select("match_id", "group").distinct(), "match_id")
     enough = E.team_minimum(rows, KEY, teams, p)
     bounds = periods.groupBy("match_id", "period").agg(F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"))
     bad_bounds = E.period_problems(periods)
     s = canonical.join(matches, "match_id", "left").join(bounds, ["match_id", "period"], "left").join(bad_bounds, ["match_id", "period"], "left")
-    s = s.join(per, KEY, "left").join(enough, KEY, "left")
+    s = s.join(per, KEY, "left").join(enough, KEY, "left").join(known, "match_id", "left").join(active, ["match_id", "period"], "left")
+    roster_known = F.coalesce("roster_known", F.lit(False))
+    seen = F.coalesce(F.transform("players", lambda x: x["player_id"]), F.array().cast("array<bigint>"))
+    absent = F.exists("active", lambda t: (F.col("source_frame") >= t["a"]) & (F.col("source_frame") <= t["z"]) & ~F.array_contains(seen, t["player_id"]))
     s = s.withColumns({
         "present": F.lit(True), "frame": F.col("source_frame"), "idx": F.col("canonical_sample_index"), "clock": F.col("timestamp_deciseconds"),
         "ball_present": F.col("ball").isNotNull(), "ball_x": F.col("ball.x_m"), "ball_y": F.col("ball.y_m"), "ball_flag": F.col("ball.is_detected"),
@@ -61,10 +68,12 @@ def sample_rules(canonical: DataFrame, rows: DataFrame, matches: DataFrame, peri
         NONFINITE_COORDINATE=F.col("ball_x").isNotNull() & ~is_finite("ball_x") | F.col("ball_y").isNotNull() & ~is_finite("ball_y"),
         PLAYER_COUNT_BELOW_TEAM_MINIMUM=~F.coalesce("team_ok_min", F.lit(False)),
         INVALID_MATCH_METADATA=~F.coalesce("metadata_ok", F.lit(False)),
+        PLAYER_APPEARANCE_METADATA_UNKNOWN=~roster_known,
+        PLAYER_OBSERVATION_MISSING=roster_known & absent,
     )
     none = F.array().cast("array<string>")
     every = F.array_distinct(F.concat("slot_codes", "slot_warnings", own, F.coalesce("player_codes", none), F.coalesce("period_codes", none), F.array(F.lit("SOURCE_QUALITY_UNKNOWN"))))
-    return s.select(*KEY, "period", "idx", "clock", "observed", every.alias("sample_codes"), (finite & ~far if p.version == 1 else finite).alias("ball_ok"), "ball_x", "ball_y")
+    return s.select(*KEY, "period", "idx", "clock", "observed", "spots", every.alias("sample_codes"), (finite & ~far if p.version == 1 else finite).alias("ball_ok"), "ball_x", "ball_y")
 
 
 def pair_rules(rules: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -78,6 +87,10 @@ def pair_rules(rules: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     crossed = ~first & (F.col("period") != F.lag("period").over(w))
     near = ~first & ~F.coalesce(crossed, F.lit(False))
     ball = F.hypot(d("ball_x"), d("ball_y")) / 0.2
+    step = near & (d("idx") == 1) & (d("source_frame") == p.stride) & (d("clock") == p.stride)
+    was = F.map_from_entries(F.transform(F.lag("spots").over(w), lambda t: F.struct(t["player_id"], t)))
+    rules = rules.withColumn("was", was)
+    moved = F.exists("spots", lambda t: F.hypot(t["x"] - F.col("was")[t["player_id"]]["x"], t["y"] - F.col("was")[t["player_id"]]["y"]) / 0.2 > p.player_speed)
     return rules.withColumn(
         "pair_codes",
         E.codes(
@@ -86,13 +99,24 @@ def pair_rules(rules: DataFrame, p: Params = DEFAULTS) -> DataFrame:
             DUPLICATE_SAMPLE=near & ((d("idx") == 0) | (d("source_frame") == 0)),
             TIMESTAMP_DISCONTINUITY=near & (d("clock") != p.stride),
             IDENTITY_TRANSITION_EXPOSURE=near & (F.array_sort("observed") != F.lag(F.array_sort("observed")).over(w)),
+            PLAYER_DISPLACEMENT_OUTLIER=step & moved,
             BALL_DISPLACEMENT_OUTLIER=near & (d("source_frame") == p.stride) & (ball > p.ball_speed),
         ),
     )
 
 
-def windows(rules: DataFrame, periods: DataFrame, phases: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """match_id, period, origin_frame, exclusion_reasons, warnings, eligible of every grid origin."""
+def windows(rules: DataFrame, periods: DataFrame, phases: DataFrame, p: Params = DEFAULTS, release: str | None = None) -> DataFrame:
+    """match_id, period, origin_frame, exclusion_reasons, warnings, eligible of every grid origin.
+
+    A phase with a problem covers nothing, and its codes exclude all windows of its match. Phases without
+    phase_match_id are of match_id; their release is compared if one is given."""
+    if "phase_match_id" not in phases.columns:
+        phases = phases.withColumn("phase_match_id", F.col("match_id"))
+    if release is None or "release_id" not in phases.columns:
+        phases = phases.withColumn("release_id", F.lit(None).cast("string"))
+    phases = E.phase_problems(phases, release)
+    phase_codes = phases.groupBy("match_id").agg(F.array_distinct(F.flatten(F.collect_set("phase_codes"))).alias("phase_codes"))
+    phases = phases.where(F.size("phase_codes") == 0).select("match_id", "start", "end")
     by = ["match_id", "origin_frame"]
     grid = sequences.even_grid(periods.select("match_id", "period", "start_frame", "end_frame")).select("match_id", "period", "origin_frame")
     s = pair_rules(rules, p).select("match_id", "source_frame", "sample_codes", "pair_codes", "ball_ok").withColumnRenamed("source_frame", "frame")
@@ -104,18 +128,18 @@ def windows(rules: DataFrame, periods: DataFrame, phases: DataFrame, p: Params =
     spans = grid.select("match_id", (F.col("origin_frame") - p.history * p.stride).alias("a"), (F.col("origin_frame") + p.future * p.stride).alias("b"))
     bare = intervals.first_uncovered(spans, intervals.merge(phases, ["match_id"]), ["match_id"], "a", "b")
     bare = bare.select("match_id", (F.col("a") + p.history * p.stride).alias("origin_frame"), "first_uncovered")
-    out = out.join(bare, by, "left")
+    out = out.join(bare, by, "left").join(phase_codes, "match_id", "left")
     phase = E.codes(PHASE_NOT_IN_PLAY_OR_UNKNOWN=F.col("first_uncovered").isNotNull())
-    out = out.withColumn("exclusion_reasons", F.array_sort(F.array_distinct(F.concat("exclusion_reasons", "ball_codes", phase))))
+    out = out.withColumn("exclusion_reasons", F.array_sort(F.array_distinct(F.concat("exclusion_reasons", "ball_codes", phase, F.coalesce("phase_codes", F.array().cast("array<string>"))))))
     return out.select("match_id", "period", "origin_frame", "exclusion_reasons", "warnings", (F.size("exclusion_reasons") == 0).alias("eligible"), "ball_fraction")
 
 
-def produce(frames: DataFrame, matches: DataFrame, roster: DataFrame, periods: DataFrame, appearances: DataFrame, phases: DataFrame, p: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+def produce(frames: DataFrame, matches: DataFrame, roster: DataFrame, periods: DataFrame, appearances: DataFrame, phases: DataFrame, p: Params = DEFAULTS, release: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(windows, truth panels of the eligible ones): see windows() and panels.truth_panel()."""
     canonical = samples.canonical(frames, p.version)
     dims = E.metadata_problems(matches)
     rows = players(canonical, dims, roster, appearances, p)
-    found = windows(sample_rules(canonical, rows, dims, periods, roster, p), periods, phases, p)
+    found = windows(sample_rules(canonical, rows, dims, periods, roster, appearances, p), periods, phases, p, release)
     good = found.where("eligible").select("match_id", "origin_frame")
     counted = rows.where(F.col("disposition").isin(*E.COUNTED)).select("match_id", "player_id", "group", F.col("source_frame").alias("frame"), "x", "y")
     origin = counted.withColumnRenamed("frame", "origin_frame").join(good, ["match_id", "origin_frame"])

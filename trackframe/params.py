@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import tomllib
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
@@ -22,5 +23,15 @@ class Params:
     def slots(self) -> int:
         return self.history + 1 + self.future
 
+    @classmethod
+    def of(cls, text: str) -> Params:
+        """Settings of a TOML document; a name that isn't one, or a value of another type, is an error."""
+        found = tomllib.loads(text)
+        known = {f.name: type(getattr(cls(), f.name)) for f in fields(cls)}
+        for name, value in found.items():
+            if name not in known or isinstance(value, bool) or not isinstance(value, (known[name], int) if known[name] is float else known[name]):
+                raise ValueError(f"bad setting {name}")
+        return cls(**found)
+
 
 DEFAULTS = Params()

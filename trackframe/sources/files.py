@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from ..functions.scalar import closed_keys
+from ..functions.scalar import closed_keys, document_digest
+from ..operators.audit import normal_form
+from ..operators.constraints import reconciled
+from ..operators.digests import record_stream
 
 FRAME_DDL = (
     "frame bigint, timestamp string, period int, ball_data struct<x:double,y:double,z:double,is_detected:boolean>, "
@@ -18,29 +20,64 @@ METADATA_DDL = (
     "match_periods array<struct<period:int,start_frame:bigint,end_frame:bigint>>, "
     "players array<struct<id:bigint,team_id:bigint,playing_time:struct<by_period:array<struct<name:string,start_frame:bigint,end_frame:bigint>>>>>"
 )
+_NUMBER, _WHOLE = r"(BIGINT|DOUBLE|DECIMAL\(\d+,\d+\)|VOID)", r"(BIGINT|VOID)"
+#: What a frame's fields may be, as types of variants. Objects list their keys in order.
+FRAME_TYPES = {
+    "frame": "BIGINT",
+    "timestamp": "STRING|VOID",
+    "period": _WHOLE,
+    "ball_data": rf"VOID|OBJECT<is_detected: (BOOLEAN|VOID), x: {_NUMBER}, y: {_NUMBER}, z: {_NUMBER}>",
+    "possession": rf"VOID|OBJECT<group: (STRING|VOID), player_id: {_WHOLE}>",
+    "player_data": rf"ARRAY<VOID>|ARRAY<OBJECT<is_detected: (BOOLEAN|VOID), player_id: BIGINT, x: {_NUMBER}, y: {_NUMBER}>>",
+}
 FRAME_KEYS = ("frame", "timestamp", "period", "ball_data", "possession", "image_corners_projection", "player_data")
 
 
-def read_tracking(spark: SparkSession, path: str, max_length: int = 1 << 20, ordinal: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Line-delimited frames as (rows, rejects). A line is rejected that is blank, too long, not one JSON
-    object of exactly the frame's keys, or holds a value of another type (a null that the text has not).
+def read_tracking(spark: SparkSession, path: str, max_length: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """Line-delimited frames as (rows, rejects). A line is rejected that is blank, too_long, not one JSON object of exactly the
+    frame's keys (keys), has equal keys in an inner object, NaN or an infinity (json), or holds a value of another type, or an
+    inner object with other keys (type).
 
     Row order is not kept by a DataFrame: ``frame_order`` checks need a column of the data or a line number."""
     lines = spark.read.text(path).withColumn("file", F.col("_metadata.file_path"))
-    parsed = lines.withColumn("r", F.from_json("value", FRAME_DDL))
-    typed = F.col("r.frame").isNotNull() & F.get_json_object("value", "$.frame").rlike(r"^-?\d+$")
+    lines = lines.withColumn("v", F.try_parse_json("value"))
+    typed = F.lit(True)
+    for name, pattern in FRAME_TYPES.items():
+        typed &= F.coalesce(F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant")).rlike(f"^({pattern})$"), F.lit(False))
     problem = (
         F.when(F.trim("value") == "", "blank")
         .when(F.length("value") > max_length, "too_long")
         .when(~closed_keys("value", FRAME_KEYS), "keys")
-        .when(~F.coalesce(typed, F.lit(False)), "type")
+        .when(F.col("v").isNull(), "json")
+        .when(~typed, "type")
     )
-    parsed = parsed.withColumn("problem", problem)
+    parsed = lines.withColumn("problem", problem).withColumn("r", F.from_json("value", FRAME_DDL))
     return parsed.where("problem is null").select("file", "r.*"), parsed.where("problem is not null").select("file", "value", "problem")
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(METADATA_DDL).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def identity(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Number of files below a path, and a fingerprint of their names, sizes and times: a read whose input is unchanged has the same before and after."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
+    n, x = f.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    return n, int(x or 0)
+
+
+def unchanged(spark: SparkSession, path: str, before: tuple[int, int]) -> None:
+    """Fails if the files below a path aren't those of identity() before the read."""
+    if identity(spark, path) != before:
+        raise ValueError(f"{path} changed while it was read")
+
+
+def scan_statistics(frames: DataFrame) -> DataFrame:
+    """One row: frames, even ones (the 5 Hz grid), players."""
+    return frames.agg(F.count("*").alias("rows"), F.count_if(F.col("frame") % 2 == 0).alias("even_rows"), F.sum(F.size("player_data")).alias("players"))
+
+
+def read_metadata(spark: SparkSession, path: str, max_bytes: int = 16 << 20) -> DataFrame:
+    """Match documents, one a file; a file over max_bytes fails the read."""
+    m = spark.read.schema(METADATA_DDL).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("__size", F.col("_metadata.file_size"))
+    fits = F.when(F.col("__size") > max_bytes, F.raise_error(F.lit("a document is too large")).cast("boolean")).otherwise(True)
+    return m.where(fits).drop("__size")
 
 
 def roster(meta: DataFrame) -> DataFrame:
@@ -63,9 +100,13 @@ def appearances(meta: DataFrame) -> DataFrame:
 
 
 def read_phases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Phase intervals of a CSV file as (rows, rejects): whole numbers, start before end."""
+    """Phase intervals of a CSV file as (rows, rejects): whole numbers, start before end. A header that lacks a column or
+    has one twice is an error, as is a ragged row."""
     raw = spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
     names = ("period", "frame_start", "frame_end")
+    lost = set(names) - set(raw.columns)  # Spark renames both of two equal names
+    if lost:
+        raise ValueError(f"the header has no single {sorted(lost)}")
     ok = F.lit(True)
     for c in names:
         ok &= F.coalesce(F.col(c).rlike(r"^\d+$"), F.lit(False))
@@ -75,9 +116,10 @@ def read_phases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """path, size and SHA-256 of every file below a folder."""
+    """path (in normal form C), size and SHA-256 of every file below a folder. Spark's listing follows links, so there is no kind;
+    paths that are equal in normal form are rows of one path, which audit.duplicates() finds. Spark leaves out empty files."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return f.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return f.select(normal_form("path").alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def write_once(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), form: str = "parquet") -> None:
@@ -93,9 +135,51 @@ def markdown(df: DataFrame, limit: int = 200) -> str:
     return "\n".join(head + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
 
 
-def with_schema(df: DataFrame, schema: StructType) -> DataFrame:
-    """The columns of a closed schema, cast; unknown columns are an error."""
-    extra = set(df.columns) - set(schema.names)
-    if extra:
-        raise ValueError(f"unknown columns: {sorted(extra)}")
-    return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+def pack(spark: SparkSession, folder: str, path: str, part_bytes: int = 64 << 20) -> DataFrame:
+    """Writes the files below a folder as an archive table of parts of about part_bytes; returns its members (part, path, size, sha256)."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    total = f.agg(F.sum("length")).first()[0] or 0
+    parts = max(1, -(-total // part_bytes))
+    f = f.select(F.pmod(F.xxhash64("path"), F.lit(parts)).alias("part"), "path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), "content")
+    write_once(f.repartition(parts, "part"), path, ("part",))
+    return spark.read.parquet(path).select("part", "path", "size", "sha256")
+
+
+def unpack(spark: SparkSession, path: str) -> DataFrame:
+    """path, content, intact of an archive's members: whether size and digest are those stated."""
+    a = spark.read.parquet(path)
+    return a.select("path", "content", ((F.length("content") == F.col("size")) & (F.sha2("content", 256) == F.col("sha256"))).alias("intact"))
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    """Adds rows to a log; what was written before stays."""
+    df.write.mode("append").json(path)
+
+
+def write_sealed(rows: DataFrame, by: list[str], order: str, text: str, path: str) -> DataFrame:
+    """Writes rows with their running digest, then a manifest of each group's number of rows and last digest beside
+    them (path + ".manifest"), which makes the rows count; returns the manifest."""
+    spark = rows.sparkSession
+    write_once(record_stream(rows, by, order, text), path)
+    done = spark.read.parquet(path)
+    write_once(done.groupBy(*by).agg(F.count("*").alias("n_rows"), F.max_by("chain", order).alias("digest")), path + ".manifest")
+    return spark.read.parquet(path + ".manifest")
+
+
+def seal_problems(spark: SparkSession, path: str, by: list[str], order: str, text: str) -> DataFrame:
+    """Groups of a sealed table whose rows don't give the manifest's number and digest."""
+    again = record_stream(spark.read.parquet(path).drop("chain"), by, order, text).groupBy(*by).agg(F.count("*").alias("n_rows"), F.max_by("chain", order).alias("digest"))
+    return reconciled(again, spark.read.parquet(path + ".manifest"), by, ["n_rows", "digest"]).where("status <> 'equal'")
+
+
+def write_receipt(spark: SparkSession, path: str, **fields: str) -> str:
+    """A document of text fields with its own digest, written once as one JSON row; returns the digest."""
+    row = spark.range(1).select(*[F.lit(v).alias(k) for k, v in sorted(fields.items())])
+    row = row.withColumn("receipt_sha256", document_digest(**{k: F.col(k) for k in fields}))
+    write_once(row, path, form="json")
+    return spark.read.json(path).first()["receipt_sha256"]
+
+
+def report(df: DataFrame, limit: int = 200) -> str:
+    """A small report as a JSON array."""
+    return "[" + ",".join(df.limit(limit).toJSON().collect()) + "]"

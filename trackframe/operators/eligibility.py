@@ -191,6 +191,13 @@ def windows(slots: DataFrame, by: list[str], arrays: list[str]) -> DataFrame:
     return out.select(*by, bad.alias("exclusion_reasons"), F.filter("every", lambda c: c.isin(*WARNINGS)).alias("warnings"), (F.size(bad) == 0).alias("eligible"))
 
 
+def compact(slots: DataFrame, by: list[str], arrays: list[str]) -> DataFrame:
+    """by, codes, eligible: all distinct codes of a window, and whether there is none of the exclusions; one pass, for slots whose codes are joined already."""
+    found = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays])))))
+    fires = F.arrays_overlap(F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays]), F.array(*[F.lit(c) for c in EXCLUSIONS]))
+    return slots.groupBy(*by).agg(found.alias("codes"), (~any_of(fires)).alias("eligible"))
+
+
 def issues(slots: DataFrame, by: list[str], arrays: list[str]) -> DataFrame:
     """by, issues: distinct (sample_index, code), null index first, then by index and code."""
     rows = F.transform(F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays]), lambda c: F.struct(F.coalesce(F.col("idx"), F.lit(-1)).alias("sample_index"), c.alias("code")))

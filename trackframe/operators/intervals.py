@@ -61,3 +61,8 @@ def locate(rows: DataFrame, periods: DataFrame, by: Sequence[str], a: str, b: st
     key = [c for c in rows.columns]
     j = rows.join(p, list(by), "left").withColumn("__in", F.coalesce((F.col(a) >= F.col("__s")) & (F.col(b) <= F.col("__e")), F.lit(False)))
     return j.groupBy(*key).agg(F.count_if("__in").alias("n_periods"))
+
+
+def in_order(phases: DataFrame, by: Sequence[str], period: str, start: str, end: str) -> DataFrame:
+    """by, intervals: each group's (period, start, end) in order."""
+    return phases.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(period, start, end))).alias("intervals"))

@@ -86,6 +86,11 @@ def extrapolate(fit: DataFrame, steps: int, model: str = "constant_velocity") ->
     return out.withColumn("pred_x", at("x")).withColumn("pred_y", at("y"))
 
 
+def displaced(predictions: DataFrame, x0: str, y0: str) -> DataFrame:
+    """Adds dx, dy: predictions relative to an origin."""
+    return predictions.withColumn("dx", F.col("pred_x") - F.col(x0)).withColumn("dy", F.col("pred_y") - F.col(y0))
+
+
 def early_stop(df: DataFrame, by: Sequence[str], step: str, metric: str, patience: int) -> DataFrame:
     """Adds best_before, improved (strictly), since_best (evaluations since) and stop."""
     w = Window.partitionBy(*by).orderBy(step)

@@ -73,12 +73,13 @@ def sample_rules(canonical: DataFrame, rows: DataFrame, matches: DataFrame, peri
     )
     none = F.array().cast("array<string>")
     every = F.array_distinct(F.concat("slot_codes", "slot_warnings", own, F.coalesce("player_codes", none), F.coalesce("period_codes", none), F.array(F.lit("SOURCE_QUALITY_UNKNOWN"))))
-    return s.select(*KEY, "period", "idx", "clock", "observed", "spots", every.alias("sample_codes"), (finite & ~far if p.version == 1 else finite).alias("ball_ok"), "ball_x", "ball_y")
+    return s.select(*KEY, *[c for c in s.columns if c == "ordinal"], "period", "idx", "clock", "observed", "spots", every.alias("sample_codes"), (finite & ~far if p.version == 1 else finite).alias("ball_ok"), "ball_x", "ball_y")
 
 
 def pair_rules(rules: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Adds pair_codes: what is wrong between a sample and the one before it in the match."""
-    w = Window.partitionBy("match_id").orderBy("source_frame")
+    """Adds pair_codes: what is wrong between a sample and the one before it in the match, in the order of the source (the
+    column ordinal; where frames have none, in the order of their numbers, which can't show disorder)."""
+    w = Window.partitionBy("match_id").orderBy("ordinal" if "ordinal" in rules.columns else "source_frame")
 
     def d(c):
         return F.col(c) - F.lag(c).over(w)
@@ -97,6 +98,7 @@ def pair_rules(rules: DataFrame, p: Params = DEFAULTS) -> DataFrame:
             PERIOD_BOUNDARY_CROSSED=crossed,
             TEMPORAL_GAP=near & ((d("idx") > 1) | (d("source_frame") > p.stride)),
             DUPLICATE_SAMPLE=near & ((d("idx") == 0) | (d("source_frame") == 0)),
+            NONMONOTONIC_SAMPLE_ORDER=near & ((d("idx") < 0) | (d("source_frame") < 0)),
             TIMESTAMP_DISCONTINUITY=near & (d("clock") != p.stride),
             IDENTITY_TRANSITION_EXPOSURE=near & (F.array_sort("observed") != F.lag(F.array_sort("observed")).over(w)),
             PLAYER_DISPLACEMENT_OUTLIER=step & moved,
@@ -105,9 +107,12 @@ def pair_rules(rules: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     )
 
 
-def windows(rules: DataFrame, periods: DataFrame, phases: DataFrame, p: Params = DEFAULTS, release: str | None = None) -> DataFrame:
+def windows(rules: DataFrame, periods: DataFrame, phases: DataFrame, p: Params = DEFAULTS, release: str | None = None, support: DataFrame | None = None) -> DataFrame:
     """match_id, period, origin_frame, exclusion_reasons, warnings, eligible of every grid origin.
 
+    support (match_id, origin_frame, n_support): where a caller's windows state how many slots they have, those of another number than
+    the parameters' are excluded; the grid's own windows always have the whole number, absent samples being gaps.
+
     A phase with a problem covers nothing, and its codes exclude all windows of its match. Phases without
     phase_match_id are of match_id; their release is compared if one is given."""
     if "phase_match_id" not in phases.columns:
@@ -129,17 +134,21 @@ def windows(rules: DataFrame, periods: DataFrame, phases: DataFrame, p: Params =
     bare = intervals.first_uncovered(spans, intervals.merge(phases, ["match_id"]), ["match_id"], "a", "b")
     bare = bare.select("match_id", (F.col("a") + p.history * p.stride).alias("origin_frame"), "first_uncovered")
     out = out.join(bare, by, "left").join(phase_codes, "match_id", "left")
-    phase = E.codes(PHASE_NOT_IN_PLAY_OR_UNKNOWN=F.col("first_uncovered").isNotNull())
+    last = {"PHASE_NOT_IN_PLAY_OR_UNKNOWN": F.col("first_uncovered").isNotNull()}
+    if support is not None:
+        out = out.join(support.select(*by, "n_support"), by, "left")
+        last |= E.support_length(F.coalesce("n_support", F.lit(p.slots)), p)
+    phase = E.codes(**last)
     out = out.withColumn("exclusion_reasons", F.array_sort(F.array_distinct(F.concat("exclusion_reasons", "ball_codes", phase, F.coalesce("phase_codes", F.array().cast("array<string>"))))))
     return out.select("match_id", "period", "origin_frame", "exclusion_reasons", "warnings", (F.size("exclusion_reasons") == 0).alias("eligible"), "ball_fraction")
 
 
-def produce(frames: DataFrame, matches: DataFrame, roster: DataFrame, periods: DataFrame, appearances: DataFrame, phases: DataFrame, p: Params = DEFAULTS, release: str | None = None) -> tuple[DataFrame, DataFrame]:
+def produce(frames: DataFrame, matches: DataFrame, roster: DataFrame, periods: DataFrame, appearances: DataFrame, phases: DataFrame, p: Params = DEFAULTS, release: str | None = None, support: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(windows, truth panels of the eligible ones): see windows() and panels.truth_panel()."""
     canonical = samples.canonical(frames, p.version)
     dims = E.metadata_problems(matches)
     rows = players(canonical, dims, roster, appearances, p)
-    found = windows(sample_rules(canonical, rows, dims, periods, roster, appearances, p), periods, phases, p, release)
+    found = windows(sample_rules(canonical, rows, dims, periods, roster, appearances, p), periods, phases, p, release, support)
     good = found.where("eligible").select("match_id", "origin_frame")
     counted = rows.where(F.col("disposition").isin(*E.COUNTED)).select("match_id", "player_id", "group", F.col("source_frame").alias("frame"), "x", "y")
     origin = counted.withColumnRenamed("frame", "origin_frame").join(good, ["match_id", "origin_frame"])

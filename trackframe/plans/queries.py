@@ -665,3 +665,6 @@ def truth_panel_whole(spark, d):
     t = panels.truth_panel(p.withColumn("origin_frame", F.col("frame")), p.where("event_type <> 'error'"), ["match_id"])
     by = ["player_id", "origin_frame"]
     return t.groupBy(*by).agg(F.count("truth_x").alias("n_truth")).join(panels.scoreable(t, by), by)
+
+
+from . import integrity, scores  # noqa: E402, F401  (they register more)

@@ -25,8 +25,8 @@ def changed(path, value):
 
 
 BAD = [
-    ("   ", "blank"), (json.dumps(FRAME)[:-1], "keys"), (json.dumps(FRAME)[:-1] + ', "frame": 3}', "keys"), (json.dumps(FRAME).replace('"z": null', '"z": null, "x": 3'), "json"), (changed(["ball_data", "x"], float("nan")), "json"),
-    (changed(["ball_data", "x"], float("inf")), "json"), (changed(["more"], 1), "keys"), (changed(["frame"], "10"), "type"), (changed(["frame"], 1.5), "type"), (changed(["frame"], None), "type"),
+    ("   ", "blank"), (json.dumps(FRAME)[:-1], "keys"), (json.dumps(FRAME)[:-1] + ', "frame": 3}', "keys"), (json.dumps(FRAME).replace('"z": null', '"z": null, "x": 3'), "json"), (changed(["ball_data", "x"], float("nan")), "keys"),
+    (changed(["ball_data", "x"], float("inf")), "keys"), (changed(["more"], 1), "keys"), (changed(["frame"], "10"), "type"), (changed(["frame"], 1.5), "type"), (changed(["frame"], None), "type"),
     (changed(["period"], "1"), "type"), (changed(["timestamp"], 3), "type"), (changed(["ball_data"], [1]), "type"), (changed(["ball_data", "is_detected"], 1), "type"), (changed(["ball_data", "x"], "1"), "type"),
     (changed(["possession", "group"], 4), "type"), (changed(["possession", "other"], 4), "type"), (changed(["player_data"], {}), "type"), (changed(["player_data", 0, "player_id"], "7"), "type"),
     (changed(["player_data", 0, "is_detected"], "no"), "type"), (json.dumps({k: v for k, v in FRAME.items() if k != "period"}), "keys"), (json.dumps(FRAME) + " " * 4000, "too_long"),

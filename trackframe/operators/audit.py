@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import unicodedata
 from collections.abc import Sequence
@@ -135,17 +134,16 @@ def normal_form(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-def membership_digest(df: DataFrame, by: Sequence[str], key: str) -> DataFrame:
-    """SHA-256 over sorted ids, each after its length in 8 bytes, for each group."""
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema.fields)
+def symmetric_difference(a, b):
+    """Members of one of two arrays that the other lacks."""
+    return F.concat(F.array_except(a, b), F.array_except(b, a))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = hashlib.sha256()
-        for x in sorted(str(v).encode() for v in pdf[key]):
-            h.update(len(x).to_bytes(8, "big") + x)
-        return pd.DataFrame([[*pdf[list(by)].iloc[0], h.hexdigest(), len(pdf)]], columns=[*by, "digest", "n"])
 
-    return df.groupBy(*by).applyInPandas(run, f"{keys}, digest string, n long")
+def membership_digest(df: DataFrame, by: Sequence[str], key: str) -> DataFrame:
+    """SHA-256 over sorted ids, each after its length in 8 bytes, for each group."""
+    texts = F.array_sort(F.collect_list(F.col(key).cast("string")))
+    part = F.transform(texts, lambda x: F.concat(F.lpad(F.hex(F.octet_length(x).cast("long")), 16, "0"), F.hex(F.encode(x, "UTF-8"))))
+    return df.groupBy(*by).agg(F.sha2(F.unhex(F.array_join(part, "")), 256).alias("digest"), F.count("*").alias("n"))
 
 
 def stream_digest(df: DataFrame, order: Sequence[str], row, width: int = 64) -> DataFrame:
@@ -162,15 +160,17 @@ def stream_digest(df: DataFrame, order: Sequence[str], row, width: int = 64) ->
 
 
 def hash_chain(df: DataFrame, by: Sequence[str], order: str, payload: str) -> DataFrame:
-    """Adds chain: sha256(previous chain + payload) along each group (receipts of one campaign)."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, out = pdf.sort_values(order).copy(), "", []
-        for x in pdf[payload]:
-            last = hashlib.sha256((last + str(x)).encode()).hexdigest()
-            out.append(last)
-        return pdf.assign(chain=out)
-
-    return df.groupBy(*by).applyInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", chain string")
+    """Adds chain: sha256(previous chain + payload) along each group (receipts of one campaign: a group is one array); a null payload is the text None."""
+    rest = [c for c in df.columns if c not in by]
+    rows = F.array_sort(F.collect_list(F.struct(order, F.coalesce(F.col(payload).cast("string"), F.lit("None")).alias("__p"), *[c for c in rest if c != order])))
+
+    def step(done, x):
+        before = F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(""))
+        return F.concat(done, F.array(F.sha2(F.concat(before, x["__p"]), 256)))
+
+    per = df.groupBy(*by).agg(rows.alias("__x")).withColumn("__c", F.aggregate("__x", F.array().cast("array<string>"), step))
+    out = per.select(*by, F.explode(F.arrays_zip("__x", "__c")).alias("__z"))
+    return out.select(*by, *[F.col(f"__z.__x.{c}").alias(c) for c in rest], F.col("__z.__c").alias("chain"))
 
 
 def strict_rows(df: DataFrame, reject, mode: str = "quarantine") -> tuple[DataFrame, DataFrame]:

@@ -191,6 +191,18 @@ def windows(slots: DataFrame, by: list[str], arrays: list[str]) -> DataFrame:
     return out.select(*by, bad.alias("exclusion_reasons"), F.filter("every", lambda c: c.isin(*WARNINGS)).alias("warnings"), (F.size(bad) == 0).alias("eligible"))
 
 
+def judged(slots: DataFrame, by: list[str], arrays: list[str], p: Params = DEFAULTS) -> DataFrame:
+    """windows() and ball_rules() in one aggregation: by, exclusion_reasons (with those of the ball), warnings, eligible, ball_fraction."""
+    ok = F.coalesce(F.col("ball_ok"), F.lit(False))
+    total = F.lit(p.slots) if p.version == 2 else F.count_if("present")
+    every = F.array_distinct(F.flatten(F.collect_set(F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays]))))
+    out = slots.groupBy(*by).agg(every.alias("every"), any_of(ok & (F.col("slot") == 0)).alias("at_origin"), F.try_divide(F.count_if(ok).cast("double"), total).alias("ball_fraction"))
+    ball = codes(BALL_MISSING_AT_ORIGIN=~F.col("at_origin"), BALL_COVERAGE_BELOW_MINIMUM=F.coalesce(F.col("ball_fraction") < p.ball_fraction, F.lit(True)))
+    bad = F.array_sort(F.array_union(F.filter("every", lambda c: c.isin(*EXCLUSIONS)), ball))
+    out = out.select(*by, bad.alias("exclusion_reasons"), F.array_sort(F.filter("every", lambda c: c.isin(*WARNINGS))).alias("warnings"), "ball_fraction")
+    return out.withColumn("eligible", F.size("exclusion_reasons") == 0)
+
+
 def compact(slots: DataFrame, by: list[str], arrays: list[str]) -> DataFrame:
     """by, codes, eligible: all distinct codes of a window, and whether there is none of the exclusions; one pass, for slots whose codes are joined already."""
     found = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays])))))

@@ -37,8 +37,8 @@ def track_features(slots: DataFrame, by: list[str]) -> DataFrame:
 
 def deep_sets(features: DataFrame, weights: dict[str, np.ndarray], by: list[str], steps: int = 15) -> DataFrame:
     """Forward pass of a permutation-invariant network: an encoder of each track, the masked mean
-    of a scene's codes as context, and a head on (own code, context). Rows: by, player_id,
-    features. Returns by, player_id, prediction array<double> (2 * steps). A scene is one group."""
+    of a scene's codes as context (of the rows that are ``observed``, over their number or 1; of all without that column), and a
+    head on (own code, context). Rows: by, player_id, features. Returns by, player_id, prediction array<double> (2 * steps). A scene is one group."""
     shared = features.sparkSession.sparkContext.broadcast(weights)
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.select(*by).schema.fields)
 
@@ -46,7 +46,8 @@ def deep_sets(features: DataFrame, weights: dict[str, np.ndarray], by: list[str]
         w = shared.value
         x = np.stack(pdf["features"].to_numpy()).astype(np.float64)
         code = np.maximum(x @ w["encoder"] + w["encoder_bias"], 0)
-        context = np.repeat(code.mean(axis=0, keepdims=True), len(code), axis=0)
+        seen = pdf["observed"].to_numpy(dtype=bool) if "observed" in pdf else np.ones(len(code), dtype=bool)
+        context = np.repeat(code[seen].sum(axis=0, keepdims=True) / max(seen.sum(), 1), len(code), axis=0)
         out = np.concatenate([code, context], axis=1) @ w["head"] + w["head_bias"]
         return pdf[[*by, "player_id"]].assign(prediction=list(out[:, : 2 * steps]))
 

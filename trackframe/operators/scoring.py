@@ -51,6 +51,14 @@ def micro(points: DataFrame, by: Sequence[str]) -> DataFrame:
     return points.groupBy(*by).agg(M.ade("distance").alias("ade_micro"), M.fde("distance", "is_final").alias("fde_micro"), M.xy_rmse("squared").alias("rmse_micro"), F.count("distance").alias("n_points"))
 
 
+def micro_and_macro(points: DataFrame, match="match_id", window="window_id", scene="scene_id") -> DataFrame:
+    """match, ade_micro (every point weighs the same) and ade_macro (scenes, then windows do): sums and means go up the levels together."""
+    scenes = points.groupBy(match, window, scene).agg(F.sum("distance").alias("d"), F.count("distance").alias("n"), F.count(F.when(F.col("is_final"), F.col("distance"))).alias("m"))
+    scenes = scenes.withColumn("ade", F.when(F.col("m") > 0, F.try_divide("d", "n")))
+    windows = scenes.groupBy(match, window).agg(F.sum("d").alias("d"), F.sum("n").alias("n"), F.avg("ade").alias("ade"))
+    return windows.groupBy(match).agg(F.try_divide(F.sum("d"), F.sum("n")).alias("ade_micro"), F.avg("ade").alias("ade_macro"))
+
+
 def target_errors(long: DataFrame, target: str, prediction: str, truth: str, zero_variance: str = "rmse") -> DataFrame:
     """Population-standardised error of each target."""
     return long.groupBy(target).agg(M.population_sre(prediction, truth, zero_variance).alias("sre"), F.count("*").alias("n"))

@@ -129,6 +129,12 @@ def causal_prefix(stream: DataFrame, queries: DataFrame, by: Sequence[str], ts:
     return queries.join(stream, list(by)).where(F.col(ts) <= F.col(query))
 
 
+def causal_running(stream: DataFrame, by: Sequence[str], ts: str, aggregates: dict[str, Column]) -> DataFrame:
+    """Adds aggregates of causal_prefix() at each row's own time; one sort of a group, where the join is quadratic in it."""
+    w = Window.partitionBy(*by).orderBy(F.col(ts)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return stream.withColumns({n: a.over(w) for n, a in aggregates.items()})
+
+
 def origin_times_valid(df: DataFrame, by: Sequence[str], ts: str, origin: str) -> DataFrame:
     """Per group: whether times strictly increase and none is after the origin."""
     d = df.withColumn("__d", F.col(ts) - F.lag(ts).over(Window.partitionBy(*by).orderBy("ordinal")))

@@ -29,9 +29,11 @@ def match_summary(scores: DataFrame, by: Sequence[str], value: str) -> DataFrame
     return out.withColumn("reason", F.when(F.col("n") < 2, "one match"))
 
 
-def lomo_summary(scores: DataFrame, seed: str, match: str, value: str) -> DataFrame:
-    """Means by match (over seeds), by seed (over matches) and in all, in one cube."""
-    return scores.cube(seed, match).agg(F.avg(value).alias("mean"), F.count("*").alias("n"), F.grouping_id().alias("g")).where("g > 0")
+def lomo_summary(scores: DataFrame, seed: str, match: str, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Means by match (over seeds), by seed (over matches) and in all, for each of ``by``, in one pass; g tells which (bits: seed, match are aggregated)."""
+    sets = [[*by, seed], [*by, match], list(by)]
+    out = scores.groupingSets([[F.col(c) for c in s] for s in sets], *by, seed, match).agg(F.avg(value).alias("mean"), F.count("*").alias("n"), F.grouping_id().alias("g"))
+    return out.withColumn("g", F.col("g").bitwiseAND(3))
 
 
 def leave_one_out(values: DataFrame, by: Sequence[str], value: str) -> DataFrame:

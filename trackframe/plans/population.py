@@ -129,7 +129,7 @@ def windows(rules: DataFrame, periods: DataFrame, phases: DataFrame, p: Params =
     # a window's first slot has no pair
     gap = F.when(~F.col("present"), F.array(F.lit("TEMPORAL_GAP"))).otherwise(F.when(F.col("slot") > -p.history, F.col("pair_codes")).otherwise(F.array().cast("array<string>")))
     s = s.withColumn("gap_codes", gap)
-    out = E.windows(s, by, ["sample_codes", "gap_codes"]).join(E.ball_rules(s, by, p), by).join(grid, by)
+    out = E.judged(s, by, ["sample_codes", "gap_codes"], p).join(grid, by)
     spans = grid.select("match_id", (F.col("origin_frame") - p.history * p.stride).alias("a"), (F.col("origin_frame") + p.future * p.stride).alias("b"))
     bare = intervals.first_uncovered(spans, intervals.merge(phases, ["match_id"]), ["match_id"], "a", "b")
     bare = bare.select("match_id", (F.col("a") + p.history * p.stride).alias("origin_frame"), "first_uncovered")
@@ -139,7 +139,7 @@ def windows(rules: DataFrame, periods: DataFrame, phases: DataFrame, p: Params =
         out = out.join(support.select(*by, "n_support"), by, "left")
         last |= E.support_length(F.coalesce("n_support", F.lit(p.slots)), p)
     phase = E.codes(**last)
-    out = out.withColumn("exclusion_reasons", F.array_sort(F.array_distinct(F.concat("exclusion_reasons", "ball_codes", phase, F.coalesce("phase_codes", F.array().cast("array<string>"))))))
+    out = out.withColumn("exclusion_reasons", F.array_sort(F.array_distinct(F.concat("exclusion_reasons", phase, F.coalesce("phase_codes", F.array().cast("array<string>"))))))
     return out.select("match_id", "period", "origin_frame", "exclusion_reasons", "warnings", (F.size("exclusion_reasons") == 0).alias("eligible"), "ball_fraction")
 
 

@@ -9,6 +9,7 @@ from ..functions.scalar import safe_ratio
 from ..operators import arrays, campaign, constraints, eligibility, intervals, quality, scoring, sequences, stats
 from ..params import Params
 from . import fixtures as X
+from . import population
 from .fixtures import sql, table
 from .queries import query, r6
 
@@ -335,3 +336,78 @@ def comparison_values(spark, d):
     return table(spark, d, "events").select("event_id", arrays.dropped_nan(raw).alias("v"), F.round(safe_ratio("value", i % 4), 6).alias("ratio"))
 
 
+
+
+# --- the whole producer: raw frames to windows ---
+
+
+def _raw_matches(spark, d):
+    """Each user is a match whose events are its frames (with gaps where one is an error), fourteen players and faults by event id."""
+    i, t, n = F.col("event_id"), F.col("event_type"), F.col("idx")
+    f = X.gappy_players(spark, d).withColumnsRenamed({"match_id": "m", "player_id": "match_id"})
+
+    def player(k):
+        x = F.when((k == 1) & (i % 41 == 0), 200.0).when((k == 14) & (i % 47 == 0), 60.0).otherwise(2.0 * k + 0.01 * F.col("frame"))
+        return F.struct(k.cast("long").alias("player_id"), F.when(~((k == 2) & (i % 43 == 0)), x).alias("x"), k.cast("double").alias("y"), F.lit(True).alias("is_detected"))
+
+    c = F.col("frame")
+    clock = F.format_string("%02d:%02d:%02d.%02d", F.floor(c / 36000), F.floor(c / 600) % 60, F.floor(c / 10) % 60, (c % 10) * 10)
+    ball = F.struct(F.when(t != "signup", F.col("x") / 4).alias("x"), (F.col("y") / 2.0).alias("y"), F.lit(0.0).alias("z"), F.when(t != "click", F.lit(True)).alias("is_detected"))
+    frames = f.select(
+        "match_id", "frame", F.when(~((t == "signup") & (n % 9 == 0)), clock).alias("timestamp"), F.when(n < 40, 1).otherwise(2).alias("period"), F.when(t != "purchase", ball).alias("ball_data"),
+        F.struct(F.when(t != "view", "home team").alias("group"), F.when(t == "click", F.lit(14).cast("long")).alias("player_id")).alias("possession"),
+        F.transform(F.sequence(F.lit(1), F.when(i % 50 == 0, 12).otherwise(14)), player).alias("player_data"),
+    )
+    ids = f.select("match_id").distinct()
+    m = F.col("match_id")
+    matches = ids.select((m + 1).alias("match_id"), F.lit(100).cast("long").alias("home"), F.when(m % 7 == 0, 100).otherwise(200).cast("long").alias("away"), F.lit(105.0).alias("pitch_length"), F.lit(68.0).alias("pitch_width"))
+    k = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(14).cast("long")))
+    roster = ids.select((m + 1).alias("match_id"), k.alias("player_id"))
+    roster = roster.withColumns({"team_id": F.when(F.col("player_id") <= 7, 100).otherwise(F.when((F.col("match_id") - 1) % 7 == 0, 100).otherwise(200)).cast("long"), "group": F.when(F.col("player_id") <= 7, "home team").otherwise("away team")})
+    last = F.when((F.col("player_id") == 3) & ((F.col("match_id") - 1) % 5 == 1), 60).otherwise(79).cast("long")
+    spans = F.array(F.struct(F.lit(1).alias("period"), F.lit(0).cast("long").alias("start_frame"), last.alias("end_frame")), F.struct(F.lit(2).alias("period"), F.lit(80).cast("long").alias("start_frame"), F.lit(100000).cast("long").alias("end_frame")))
+    appearances = roster.select("match_id", "player_id", F.inline(spans))
+    bounds = F.array(*[F.struct(F.lit(a).alias("period"), F.lit(b).cast("long").alias("start_frame"), F.lit(c).cast("long").alias("end_frame")) for a, b, c in ((1, 0, 80), (2, 80, 130))])
+    periods = ids.select((m + 1).alias("match_id"), F.inline(bounds))
+    plays = F.array(*[F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end")) for a, b in ((0, 50), (50, 110))])
+    phases = ids.select((m + 1).alias("match_id"), F.inline(plays))
+    return frames.withColumn("match_id", m + 1), matches, roster, periods, appearances, phases
+
+
+def _produced(h: int, f: int) -> str:
+    """SQL of the windows of h + 1 + f slots: r has all codes of a window, ws the names of warnings."""
+    return """, s AS (SELECT player_id AS m, frame AS f, idx, event_id AS e, event_type AS t, CASE WHEN idx < 40 THEN 1 ELSE 2 END AS period, CASE WHEN NOT (event_type = 'signup' AND idx % 9 = 0) THEN frame END AS clock,
+  event_type <> 'purchase' AS has, CASE WHEN event_type NOT IN ('purchase', 'signup') THEN x / 4 END AS bx, CASE WHEN event_type <> 'purchase' THEN y / 2 END AS by_,
+  event_id % 41 = 0 AS far, event_id % 43 = 0 AS lost, player_id % 5 = 1 AND idx < 40 AND frame > 60 AS out3, event_id % 50 = 0 AS few FROM gp),
+l AS (SELECT *, lag(f) OVER w AS lf, period <> lag(period) OVER w AS crossed, f - lag(f) OVER w AS df, clock - lag(clock) OVER w AS dc, bx - lag(bx) OVER w AS dx, by_ - lag(by_) OVER w AS dy,
+  (far, lost, out3, few) <> (lag(far) OVER w, lag(lost) OVER w, lag(out3) OVER w, lag(few) OVER w) AS changed, NOT few AND NOT lag(few) OVER w AND (e % 47 = 0) <> (lag(e) OVER w % 47 = 0) AS jumped FROM s WINDOW w AS (PARTITION BY m ORDER BY f)),
+c AS (SELECT m, f, idx, (bx IS NOT NULL) AS ok, list_filter([
+    CASE WHEN far THEN 'COORDINATE_IMPLAUSIBLE' END, CASE WHEN lost THEN 'PLAYER_COORDINATES_MISSING' END, CASE WHEN out3 THEN 'PLAYER_OUTSIDE_APPEARANCE' END, CASE WHEN NOT few AND e % 47 = 0 THEN 'PLAYER_POSITION_OUTSIDE_PITCH' END,
+    CASE WHEN far OR lost OR out3 OR few THEN 'PLAYER_COUNT_BELOW_TEAM_MINIMUM' END, CASE WHEN few THEN 'PLAYER_OBSERVATION_MISSING' END, CASE WHEN clock IS NULL THEN 'TIMESTAMP_MISSING' END,
+    CASE WHEN f >= 130 OR f < 80 AND period = 2 OR f >= 80 AND period = 1 THEN 'OUTSIDE_PERIOD_BOUNDS' END, CASE WHEN m % 7 = 0 THEN 'INVALID_MATCH_METADATA' END,
+    CASE WHEN NOT has THEN 'BALL_OBJECT_ABSENT' END, CASE WHEN t = 'click' THEN 'BALL_DETECTION_UNKNOWN' END, CASE WHEN t = 'signup' THEN 'BALL_COORDINATES_PARTIAL' END, CASE WHEN NOT has THEN 'BALL_COORDINATES_MISSING' END,
+    CASE WHEN has AND (abs(bx) > 52.5 OR abs(by_) > 34) THEN 'BALL_OUTSIDE_PITCH' END, CASE WHEN t = 'view' THEN 'POSSESSION_CONTEXT_UNKNOWN' END, CASE WHEN t = 'click' AND few THEN 'POSSESSION_PLAYER_UNOBSERVED' END, 'SOURCE_QUALITY_UNKNOWN'], lambda x: x IS NOT NULL) AS own,
+  list_filter([CASE WHEN crossed THEN 'PERIOD_BOUNDARY_CROSSED' END, CASE WHEN NOT crossed AND df > 2 THEN 'TEMPORAL_GAP' END, CASE WHEN NOT crossed AND dc <> 2 THEN 'TIMESTAMP_DISCONTINUITY' END, CASE WHEN NOT crossed AND changed THEN 'IDENTITY_TRANSITION_EXPOSURE' END,
+    CASE WHEN NOT crossed AND df = 2 AND dc = 2 AND jumped THEN 'PLAYER_DISPLACEMENT_OUTLIER' END, CASE WHEN NOT crossed AND df = 2 AND sqrt(dx * dx + dy * dy) / 0.2 > 50 THEN 'BALL_DISPLACEMENT_OUTLIER' END], lambda x: x IS NOT NULL) AS pair FROM l),
+o AS (SELECT m, unnest(range(0, 130, 2)) AS o FROM (SELECT DISTINCT m FROM s)), k AS (SELECT unnest(range(-:h, :f + 1)) AS k),
+sl AS (SELECT o.m, o.o, k, c.f IS NOT NULL AS present, coalesce(ok, false) AS ok, CASE WHEN c.f IS NULL THEN ['TEMPORAL_GAP'] WHEN k > -:h THEN list_concat(own, pair) ELSE own END AS codes FROM o CROSS JOIN k LEFT JOIN c ON c.m = o.m AND c.f = o.o + 2 * k),
+g AS (SELECT m, o, list_distinct(flatten(list(codes))) AS x, bool_or(k = 0 AND ok) AS at0, count(CASE WHEN ok THEN 1 END) / (:h + :f + 1)::DOUBLE AS fr FROM sl GROUP BY ALL),
+r AS (SELECT m, o, list_concat(x, list_filter([CASE WHEN NOT at0 THEN 'BALL_MISSING_AT_ORIGIN' END, CASE WHEN fr < 0.95 THEN 'BALL_COVERAGE_BELOW_MINIMUM' END, CASE WHEN o - 2 * :h < 0 OR o + 2 * :f >= 110 THEN 'PHASE_NOT_IN_PLAY_OR_UNKNOWN' END], lambda y: y IS NOT NULL)) AS x FROM g),
+w AS (SELECT unnest(['PLAYER_APPEARANCE_METADATA_UNKNOWN', 'PLAYER_COORDINATES_MISSING', 'PLAYER_OUTSIDE_APPEARANCE', 'PLAYER_POSITION_OUTSIDE_PITCH', 'PLAYER_OBSERVATION_MISSING', 'BALL_OBJECT_ABSENT', 'BALL_DETECTION_UNKNOWN', 'BALL_COORDINATES_PARTIAL', 'BALL_COORDINATES_MISSING',
+  'BALL_OUTSIDE_PITCH', 'POSSESSION_CONTEXT_UNKNOWN', 'POSSESSION_PLAYER_UNOBSERVED', 'IDENTITY_TRANSITION_EXPOSURE', 'PLAYER_DISPLACEMENT_OUTLIER', 'BALL_DISPLACEMENT_OUTLIER', 'SOURCE_QUALITY_UNKNOWN']) AS c),
+ws AS (SELECT list(c) AS ws FROM w)""".replace(":h", str(h)).replace(":f", str(f))
+
+
+@query(sql("sp", "gp") + _produced(5, 3) + """ SELECT m + 1 AS match_id, o AS origin_frame, array_to_string(list_sort(list_filter(x, lambda c: NOT list_contains(ws, c))), ',') AS exclusions, array_to_string(list_sort(list_filter(x, lambda c: list_contains(ws, c))), ',') AS warnings,
+  len(list_filter(x, lambda c: NOT list_contains(ws, c))) = 0 AS eligible FROM r, ws""")
+def produced_windows(spark, d):
+    found, _ = population.produce(*_raw_matches(spark, d), NINE)
+    return found.select("match_id", "origin_frame", F.array_join("exclusion_reasons", ",").alias("exclusions"), F.array_join(F.array_sort("warnings"), ",").alias("warnings"), "eligible")
+
+
+@query(sql("sp", "gp") + _produced(1, 1) + """, el AS (SELECT m, o FROM r, ws WHERE len(list_filter(x, lambda c: NOT list_contains(ws, c))) = 0)
+SELECT m + 1 AS match_id, o AS origin_frame, player_id, round(sum(x), 6) AS sum_x, count(*) AS n_truth FROM (
+  SELECT el.m, el.o, p AS player_id, CASE WHEN p = 14 AND s.e % 47 = 0 THEN 60.0 ELSE 2 * p + 0.01 * s.f END::DOUBLE AS x FROM el CROSS JOIN (SELECT unnest(range(1, 15)) AS p) JOIN s ON s.m = el.m AND s.f = el.o + 2) GROUP BY ALL""")
+def produced_truth(spark, d):
+    _, panel = population.produce(*_raw_matches(spark, d), Params(history=1, future=1))
+    return panel.groupBy("match_id", "origin_frame", "player_id").agg(F.round(F.sum("truth_x"), 6).alias("sum_x"), F.count("truth_x").alias("n_truth"))

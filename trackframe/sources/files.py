@@ -35,8 +35,8 @@ FRAME_KEYS = ("frame", "timestamp", "period", "ball_data", "possession", "image_
 
 def read_tracking(spark: SparkSession, path: str, max_length: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """Line-delimited frames as (rows, rejects). A line is rejected that is blank, too_long, not one JSON object of exactly the
-    frame's keys (keys), has equal keys in an inner object, NaN or an infinity (json), or holds a value of another type, or an
-    inner object with other keys (type).
+    frame's keys, without NaN and infinities (keys), has equal keys in an inner object (json), or holds a value of another type, or
+    an inner object with other keys (type).
 
     Row order is not kept by a DataFrame: ``frame_order`` checks need a column of the data or a line number."""
     lines = spark.read.text(path).withColumn("file", F.col("_metadata.file_path"))

@@ -52,7 +52,7 @@ def save_seen(df: DataFrame, name: str, *sums) -> tuple[DataFrame, list]:
 
 
 #: Rows of an Arrow batch; Spark's default of 10,000 makes batches of long texts large.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,43 +118,87 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 #: Rows of ids that may be broadcast (a few MB).
 BROADCAST_IDS = 200_000
 #: Clusters of candidates up to these sizes are solved in one task's memory.
-CLUSTER, CLUSTER_VALUES = 16384, 6_000_000
-
-
-def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Labels of the components of the sets under den * |both| >= num * |either|.
-
-    A breadth-first search: each set reached is compared with all sets not yet reached, by
-    marks over the cluster's different values."""
+CLUSTER, CLUSTER_VALUES = 16384, 4_000_000
+#: Values of pairs compared at once.
+COMPARED = 1 << 20
+
+
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the components of a[i] and b[i]; label[i] is the smallest member's place."""
+    while len(a):
+        x, y = label[a], label[b]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label[:] = up
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+
+
+def _alike(values: np.ndarray, at: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs (a, b) of sets have den * |both| >= num * |either|; set i is size[i] different values from at[i] on."""
+    fit = den * np.minimum(size[a], size[b]) >= num * np.maximum(size[a], size[b])
+    out = np.zeros(len(a), dtype=bool)
+    todo = np.flatnonzero(fit)
+    ends = np.cumsum(size[a[todo]] + size[b[todo]])
+    i = 0
+    while i < len(todo):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + COMPARED, side="right")))
+        pick = todo[i:j]
+        sets, own = np.concatenate([a[pick], b[pick]]), np.tile(np.arange(len(pick)), 2)
+        n = size[sets]
+        place = np.arange(n.sum()) + np.repeat(at[sets] - np.cumsum(n) + n, n)
+        # values are numbers below 2^31, pairs below 2^32
+        x = np.sort((np.repeat(own, n) << 31) | values[place])
+        both = np.bincount(x[1:][x[1:] == x[:-1]] >> 31, minlength=len(pick))
+        out[pick] = den * both >= num * (size[a[pick]] + size[b[pick]] - both)
+        i = j
+    return out
+
+
+def linked(sets: list[np.ndarray], node: np.ndarray, key: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Labels of the components of the verified links between sets that share a bucket; (node[i], key[i])
+    says that a set is in a bucket. The label is the component's first place.
+
+    In a round each bucket's first set is compared with the bucket's sets of other components and
+    then leaves it, until a bucket holds one component or one set. Later rounds take more of a bucket's sets at
+    once. No link that could join two components is lost, and a bucket of n copies costs n comparisons."""
     size = np.fromiter((len(x) for x in sets), dtype=np.int64, count=len(sets))
-    _, values = np.unique(np.concatenate(sets), return_inverse=True)
+    values = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int64) if len(sets) else np.zeros(0, np.int64)
     at = np.cumsum(size) - size
-    mark = np.zeros(int(values.max(initial=-1)) + 1, dtype=bool)
-    label = np.full(len(sets), -1)
-    open_ = np.arange(len(sets))
-    own, cut = values, at
-    while len(open_):
-        first = open_[0]
-        label[first] = first
-        queue, keep = [first], open_ != first
-        while queue:
-            if keep.sum() <= 0.7 * len(keep):
-                open_, own = open_[keep], own[np.repeat(keep, size[open_])]
-                cut = np.cumsum(size[open_]) - size[open_]
-                keep = np.ones(len(open_), dtype=bool)
-            if not len(open_):
-                break
-            u = queue.pop()
-            mine = values[at[u] : at[u] + size[u]]
-            mark[mine] = True
-            both = np.add.reduceat(mark[own].astype(np.int64), cut)
-            mark[mine] = False
-            near = keep & (den * both >= num * (size[open_] + size[u] - both))
-            keep &= ~near
-            label[open_[near]] = first
-            queue += open_[near].tolist()
-        open_, own = open_[keep], own[np.repeat(keep, size[open_])]
-        cut = np.cumsum(size[open_]) - size[open_]
+    label = np.arange(len(sets))
+    order = np.lexsort((node, key))
+    node, key = node[order], np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
+    seen = np.zeros(0, dtype=np.int64)
+    leaders = 1
+    while len(node):
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        n = np.diff(first, append=len(key))
+        # buckets of one component are done
+        low, high = np.minimum.reduceat(label[node], first), np.maximum.reduceat(label[node], first)
+        keep = np.repeat(low != high, n)
+        node, key = node[keep], key[keep]
+        if not len(node):
+            break
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        n = np.diff(first, append=len(key))
+        rank = np.arange(len(node)) - np.repeat(first, n)
+        pairs = []
+        for r in range(leaders):
+            lead = np.repeat(node[np.minimum(first + r, first + n - 1)], n)
+            other = (rank > r) & (label[lead] != label[node])
+            pairs.append(np.minimum(lead, node)[other] * len(sets) + np.maximum(lead, node)[other])
+        pairs = np.unique(np.concatenate(pairs))
+        pairs = pairs[~np.isin(pairs, seen, assume_unique=True)]
+        seen = np.concatenate([seen, pairs])
+        a, b = pairs // len(sets), pairs % len(sets)
+        good = _alike(values, at, size, a, b, num, den)
+        _merge(label, a[good], b[good])
+        stay = rank >= leaders
+        node, key = node[stay], key[stay]
+        leaders = min(2 * leaders, 16)
     return label
 
 
@@ -163,16 +207,35 @@ def arrays(lists: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
 
-def _solved(num: int, den: int, unpack):
-    def run(t: pa.Table) -> pa.Table:
+def _solved(num: int, den: int, unpack, banded):
+    """Rows (cluster, id, s) sorted by cluster to (id, comp); whole clusters, several at once."""
+
+    def solve(t: pa.Table):
+        t = t.combine_chunks()
         ids, at = np.unique(t.column("id").to_numpy(), return_index=True)
-        column = t.column("s").take(pa.array(at))
-        label = linked(unpack(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column), num, den)
-        _, group, n = np.unique(label, return_inverse=True, return_counts=True)
-        least = np.full(len(n), np.iinfo(np.int64).max)
-        np.minimum.at(least, group, ids)
-        keep = n[group] > 1
-        return pa.table({"id": ids[keep], "comp": least[group][keep]})
+        t = t.take(pa.array(at)).combine_chunks()
+        sets = unpack(t.column("s").chunk(0))
+        keys = banded(sets)
+        label = linked(sets, np.repeat(np.arange(len(ids)), keys.shape[1]), keys.ravel(), num, den)
+        n = np.bincount(label, minlength=len(label))[label]
+        return pa.record_batch([pa.array(ids[n > 1]), pa.array(ids[label[n > 1]])], names=["id", "comp"])
+
+    def run(batches):
+        held, rows, size = [], 0, 0
+        for batch in batches:
+            cluster = batch.column("cluster").to_numpy()
+            held.append(batch)
+            rows, size = rows + len(batch), size + batch.nbytes
+            if rows >= 4096 or size > 8 << 20:
+                t = pa.Table.from_batches(held)
+                c = t.column("cluster").to_numpy()
+                cut = int(np.searchsorted(c, cluster[-1]))  # the last cluster may go on
+                if cut:
+                    yield solve(t.slice(0, cut))
+                    held = t.slice(cut).to_batches()
+                    rows, size = len(c) - cut, sum(x.nbytes for x in held)
+        if rows:
+            yield solve(pa.Table.from_batches(held))
 
     return run
 
@@ -186,35 +249,42 @@ def _as_arrays(unpack):
     return run
 
 
-def link_components(members: DataFrame, sets: DataFrame, num: int = 80, den: int = 100, unpack=arrays) -> DataFrame:
+def link_components(members: DataFrame, sets: DataFrame, num: int, den: int, banded, unpack=arrays) -> DataFrame:
     """Components of the graph of verified links between members of shared buckets.
 
     members: distinct (key, id): the candidate buckets with two ids or more.
     sets: (id, n, s): the full set of every id in members, of about n values; rows may repeat, and there
-    may be more. unpack turns an Arrow array of s into arrays of different 64-bit values.
+    may be more. unpack turns an Arrow array of s into arrays of different 64-bit values, banded a list of
+    those into their bucket keys (sets x bands), the keys of members.
 
     Buckets that overlap form clusters of candidates. A cluster of bounded size goes to one
-    task, which finds its components by comparing full sets (each shipped once). Larger clusters,
+    task, which compares members of shared buckets on their full sets (each shipped once). Larger clusters,
     such as one of a third of all rows, are solved by links_by_rounds over all executors.
-    Returns (id, comp) for ids with a link; comp is the smallest id linked.
+    Returns (id, comp) for ids with a link; comp is the smallest id linked. A null key or id is in no bucket.
     """
+    spark = members.sparkSession
     lead = members.groupBy("key").agg(F.min("id").alias("leader"))
     cluster = components(members.join(lead, "key").select(F.col("leader").alias("a"), F.col("id").alias("b")))
     cluster, (n_ids,) = save_seen(cluster.select("id", F.col("comp").alias("cluster")), "clusters", F.count(F.lit(1)))
     known = F.broadcast(cluster) if n_ids <= BROADCAST_IDS else cluster  # else both sides are shuffled
     sizes = sets.select("id", "n").join(known, "id").groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("v"))
-    sizes, (n_large,) = save_seen(sizes.withColumn("large", (F.col("m") > CLUSTER) | (F.col("v") > CLUSTER_VALUES)), "sizes", F.count_if("large"))
+    sizes, (n_large, values) = save_seen(
+        sizes.withColumn("large", (F.col("m") > CLUSTER) | (F.col("v") > CLUSTER_VALUES)), "sizes", F.count_if("large"), F.sum("v")
+    )
     if n_large:
         cluster = cluster.join(sizes.where("large").select("cluster", "large"), "cluster", "left")
         ids = cluster.where("large").select("id")
         known = cluster.where("large is null").select("id", "cluster")
     small = sets.join(known, "id").select("cluster", "id", "s")
-    found = save(small.groupBy("cluster").applyInArrow(_solved(num, den, unpack), "id long, comp long"), "linked")
+    width = shuffle_width(spark, 8 * (values or 0), 8 << 20)
+    small = small.repartition(width, "cluster").sortWithinPartitions("cluster")
+    found = save(small.mapInArrow(_solved(num, den, unpack, banded), "id long, comp long"), "linked")
     if not n_large:
         return found
     wide = sets.join(ids, "id", "left_semi").select("id", "s").dropDuplicates(["id"])
     wide = wide.mapInArrow(_as_arrays(unpack), "id long, s array<long>") if unpack is not arrays else wide
-    return found.unionByName(links_by_rounds(members.join(ids, "id", "left_semi").select("key", "id"), wide, num, den))
+    wide = save(wide, "wide")
+    return found.unionByName(links_by_rounds(save(members.join(ids, "id", "left_semi").select("key", "id"), "wide-members"), wide, num, den))
 
 
 def links_by_rounds(members: DataFrame, sets: DataFrame, num: int = 80, den: int = 100) -> DataFrame:

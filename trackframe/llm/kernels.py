@@ -11,6 +11,10 @@ _ODD = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 #: Bytes of text worked on at once; a longer document is one piece.
 PIECE = 1 << 20
+#: Entries of a power table, and positions hashed at once: what a core's cache holds.
+LOW = 1 << 16
+#: Positions below LOW * HIGH (2 GB) have powers.
+HIGH = 1 << 15
 
 _tables: dict[str, np.ndarray] = {}
 
@@ -26,16 +30,21 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _tables.get("pw")
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        inverse = pow(_ODD, -1, 1 << 64)
-        for name, base in (("pw", _ODD), ("ipw", inverse)):
-            t = np.full(size, U(base & _MASK))
+def _powers(name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to LOW - 1 of the base, and its powers LOW * i; of a size that no text changes."""
+    if name not in _tables:
+        base = _ODD if name == "up" else pow(_ODD, -1, 1 << 64)
+        for part, b, size in (("", base, LOW), ("-high", pow(base, LOW, 1 << 64), HIGH)):
+            t = np.full(size, U(b & _MASK))
             t[0] = 1
-            _tables[name] = np.multiply.accumulate(t)
-    return _tables["pw"][:n], _tables["ipw"][:n]
+            _tables[name + part] = np.multiply.accumulate(t)
+    return _tables[name], _tables[name + "-high"]
+
+
+def unshift(at: np.ndarray) -> np.ndarray:
+    """Inverse powers that make a hash independent of its place."""
+    low, high = _powers("down")
+    return low[at & (LOW - 1)] * high[at >> 16]
 
 
 def _letters() -> np.ndarray:
@@ -44,18 +53,47 @@ def _letters() -> np.ndarray:
     return _tables["letters"]
 
 
+def _prefix_parts(buf: np.ndarray):
+    """Prefix sums by parts: (i, s) where s[j] covers buf[:i + j], for j up to the part's length."""
+    low, high = _powers("up")
+    letters, carry = _letters(), U(0)
+    for i in range(0, len(buf), LOW):
+        part = buf[i : i + LOW]
+        s = np.zeros(len(part) + 1, dtype=U)
+        np.cumsum(letters[part] * low[: len(part)], out=s[1:])
+        s *= high[i >> 16]
+        s += carry
+        carry = s[-1]
+        yield i, s
+
+
 def prefix(buf: np.ndarray) -> np.ndarray:
-    """Prefix sums for span(): entry i covers buf[:i]."""
-    pw, _ = _powers(len(buf) + 1)
-    s = np.zeros(len(buf) + 1, dtype=U)
-    np.cumsum(_letters()[buf] * pw[: len(buf)], out=s[1:])
-    return s
+    """Prefix sums for span(): entry i covers buf[:i]. Eight bytes a byte: for buffers of bounded length."""
+    out = np.zeros(len(buf) + 1, dtype=U)
+    for i, s in _prefix_parts(buf):
+        out[i : i + len(s)] = s
+    return out
+
+
+def _placed(difference: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(difference * unshift(a) + (b - a).astype(U) * U(0x9E6C63D0876A9A47))
 
 
 def span(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hashes of buf[a:b] for arrays of bounds; equal bytes give equal hashes anywhere."""
-    _, ipw = _powers(len(s))
-    return mix((s[b] - s[a]) * ipw[a] + (b - a).astype(U) * U(0x9E6C63D0876A9A47))
+    return _placed(s[b] - s[a], a, b)
+
+
+def spans(buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """span() for ascending starts and ascending ends, without prefix sums of the whole buffer."""
+    sa, sb = np.zeros(len(a), dtype=U), np.zeros(len(b), dtype=U)
+    ia = ib = 0
+    for i, s in _prefix_parts(buf):
+        end = i + len(s) - (1 if i + len(s) - 1 < len(buf) else 0)
+        ja, jb = np.searchsorted(a, end), np.searchsorted(b, end)
+        sa[ia:ja], sb[ib:jb] = s[a[ia:ja] - i], s[b[ib:jb] - i]
+        ia, ib = ja, jb
+    return _placed(sb - sa, a, b)
 
 
 def windows(s: np.ndarray, k: int) -> np.ndarray:
@@ -63,8 +101,22 @@ def windows(s: np.ndarray, k: int) -> np.ndarray:
     n = len(s) - k
     if n <= 0:
         return np.zeros(0, dtype=U)
-    _, ipw = _powers(len(s))
-    return mix((s[k:] - s[:-k]) * ipw[:n])
+    low, high = _powers("down")
+    out = s[k:] - s[:-k]
+    for i in range(0, n, LOW):
+        out[i : i + LOW] *= low[: min(LOW, n - i)] * high[i >> 16]
+    return mix(out)
+
+
+def rolled(h: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
+    """Hashes of all runs of k entries."""
+    out = np.zeros(max(0, len(h) - k + 1), dtype=U)
+    for i in range(0, len(out), LOW):
+        part = out[i : i + LOW]
+        for j in range(k):
+            part = mix(part ^ h[i + j : i + j + len(part)], j + seed)
+        out[i : i + LOW] = part
+    return out
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -117,6 +169,12 @@ def words(buf: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
 
 
+def owners(starts: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The text (of starts as joined() gives them) of each of the ascending places a."""
+    cut = np.searchsorted(a, starts)
+    return np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(cut))
+
+
 def doc_shingles(parts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct k-word shingles of each text, A-Z lower-cased, words [^\\x20\\x09-\\x0D]+.
 
@@ -127,26 +185,25 @@ def doc_shingles(parts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     buf, starts = joined(parts)
     buf = LOWER[buf]
     a, b = words(buf, SPACED)
-    h = span(prefix(buf), a, b)
-    doc = np.searchsorted(starts, a, side="right") - 1
-    count = np.bincount(doc, minlength=len(parts)) if len(a) else np.zeros(len(parts), dtype=np.int64)
+    doc = owners(starts, a)
+    h = spans(buf, a, b)
+    del a, b, buf
+    count = np.bincount(doc, minlength=len(parts)) if len(h) else np.zeros(len(parts), dtype=np.int64)
     first = np.concatenate([[0], np.cumsum(count)])
-    if len(h) >= k:
-        roll = np.zeros(len(h) - k + 1, dtype=U)
-        for j in range(k):
-            roll = mix(roll ^ h[j : len(h) - k + 1 + j], j + 1)
-        ok = doc[: len(roll)] == doc[k - 1 :]
-        key, at = roll[ok], doc[: len(roll)][ok]
-    else:
-        key, at = np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
+    both = rolled(h, k)
+    both >>= U(10)
+    if len(parts) > 1 and len(both):
+        both |= doc[: len(both)].astype(U) << U(54)
+        both = both[doc[: len(both)] == doc[k - 1 :]]
     for d in np.flatnonzero((count > 0) & (count < k)):
         x = np.zeros(1, dtype=U)
         for v in h[first[d] : first[d + 1]]:
             x = mix(x ^ v, 99)
-        key, at = np.append(key, mix(x, int(count[d]))), np.append(at, d)
-    both = distinct((at.astype(U) << U(54)) | (key >> U(10)))
-    bounds = np.searchsorted(both >> U(54), np.arange(len(parts) + 1, dtype=U))
-    return both & U((1 << 54) - 1), bounds
+        both = np.append(both, (U(d) << U(54)) | (mix(x, int(count[d])) >> U(10)))
+    both = distinct(both)
+    bounds = np.searchsorted(both >> U(54), np.arange(len(parts) + 1, dtype=U)) if len(parts) > 1 else np.array([0, len(both)])
+    both &= U((1 << 54) - 1)
+    return both, bounds
 
 
 def set_ids(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -174,9 +231,10 @@ def sketch(x: np.ndarray, owner: np.ndarray, n: int, t: int) -> np.ndarray:
     for i in range(2 * t):
         if not len(x):
             break
-        h = mix(x, i + 101)
-        where = ((h >> U(32)) * U(t) >> U(32)).astype(np.int64) if i < t else np.full(len(x), i - t, dtype=np.int64)
-        np.minimum.at(out, owner * t + where, (U(i) << U(32)) | (h & U(0xFFFFFFFF)))
+        for at in range(0, len(x), LOW):
+            h, own = mix(x[at : at + LOW], i + 101), owner[at : at + LOW].astype(np.int64) * t
+            own += ((h >> U(32)) * U(t) >> U(32)).astype(np.int64) if i < t else i - t
+            np.minimum.at(out, own, (U(i) << U(32)) | (h & U(0xFFFFFFFF)))
         at = np.flatnonzero(live)
         open_ = (out.reshape(n, t)[at] == FULL).any(axis=1)
         live[at[~open_]] = False
@@ -185,11 +243,12 @@ def sketch(x: np.ndarray, owner: np.ndarray, n: int, t: int) -> np.ndarray:
     return out.reshape(n, t)
 
 
-def filled_bins(x: np.ndarray, owner: np.ndarray, n: int, t: int) -> np.ndarray:
-    """One-permutation MinHash of n sets (repeats allowed): empty bins borrow the value of a
-    hashed non-empty bin. Sets without elements keep FULL."""
+def filled_bins(chunks, n: int, t: int) -> np.ndarray:
+    """One-permutation MinHash of n sets (repeats allowed), which come in chunks of (elements, owners):
+    empty bins borrow the value of a hashed non-empty bin. Sets without elements keep FULL."""
     out = np.full(n * t, FULL, dtype=U)
-    np.minimum.at(out, owner * t + ((x >> U(32)) * U(t) >> U(32)).astype(np.int64), x & U(0xFFFFFFFF))
+    for x, owner in chunks:
+        np.minimum.at(out, owner.astype(np.int64) * t + ((x >> U(32)) * U(t) >> U(32)).astype(np.int64), x & U(0xFFFFFFFF))
     m = out.reshape(n, t)
     full = m != FULL
     need_r, need_c = np.nonzero(~full & full.any(axis=1)[:, None])
@@ -203,6 +262,37 @@ def filled_bins(x: np.ndarray, owner: np.ndarray, n: int, t: int) -> np.ndarray:
     return m
 
 
+def char_windows(buf: np.ndarray, begins: np.ndarray, ends: np.ndarray, k: int):
+    """Chunks of (hashes, owners) of the windows of k UTF-8 characters inside buf[begins:ends] (ascending,
+    not empty, not overlapping); a shorter stretch is one window."""
+    for x in range(0, len(buf), LOW):
+        i, j = np.searchsorted(ends, x, side="right"), np.searchsorted(begins, x + LOW)
+        if i == j:
+            continue
+        part = buf[x : x + LOW + 4 * k]
+        mark = (part & 0xC0) != 0x80  # where characters start
+        mark[begins[i:j][begins[i:j] >= x] - x] = True
+        at = np.flatnonzero(mark)
+        stop = np.append(at, len(part))
+        s = prefix(part)
+        # every window of the part, then those inside of one stretch
+        h = s[stop]
+        h = mix((h[k:] - h[:-k]) * unshift(stop[:-k]) + (stop[k:] - stop[:-k]).astype(U)) if len(stop) > k else h[:0]
+        first, last = begins[i:j] - x, ends[i:j] - x
+        lo, hi = np.searchsorted(at, np.maximum(first, 0)), np.searchsorted(at, np.minimum(last, LOW))
+        end = np.searchsorted(stop, last)  # past the part for a stretch that goes on: no window ends there
+        end = np.where(last > len(part), len(stop), end)
+        n = np.maximum(np.minimum(hi, end - k + 1) - lo, 0)
+        owner = np.repeat(np.arange(i, j, dtype=np.int32), n)
+        h = h[np.arange(len(owner)) + np.repeat(lo - np.cumsum(n) + n, n)]
+        short = np.flatnonzero((first >= 0) & (end - lo < k))
+        if len(short):
+            a, b = first[short], last[short]
+            h = np.append(h, mix((s[b] - s[a]) * unshift(a) + (b - a).astype(U)))
+            owner = np.append(owner, (short + i).astype(np.int32))
+        yield h, owner
+
+
 def bands(m: np.ndarray, rows: int) -> np.ndarray:
     """Band keys of a sketch matrix: n x (t // rows)."""
     n, t = m.shape
@@ -253,6 +343,27 @@ def deal(keys: np.ndarray, ids: np.ndarray, n_buckets: int, salt: int) -> list[t
     return rows
 
 
+class Dealer:
+    """Collects (key, id) entries of many pieces and deals them together."""
+
+    def __init__(self, n_buckets: int, entries: int = 1 << 16):
+        self.n_buckets, self.entries, self.keys, self.ids, self.size, self.salt = n_buckets, entries, [], [], 0, 0
+
+    def add(self, keys: np.ndarray, ids: np.ndarray) -> list[tuple[int, int, bytes]]:
+        """keys: n x bands, ids: n. Returns the rows that are due."""
+        self.keys.append(keys.ravel())
+        self.ids.append(np.repeat(ids, keys.shape[1]))
+        self.size += keys.size
+        return self.flush() if self.size >= self.entries else []
+
+    def flush(self) -> list[tuple[int, int, bytes]]:
+        if not self.size:
+            return []
+        keys, ids = np.concatenate(self.keys), np.concatenate(self.ids)
+        self.keys, self.ids, self.size, self.salt = [], [], 0, self.salt + 1
+        return deal(keys, ids, self.n_buckets, self.salt * 7919 + int(ids[0] % U(1 << 20)))
+
+
 def shared_entries(batches):
     """mapInArrow function over dealt blobs of whole buckets: (key, id) of keys with two ids
     or more."""

@@ -27,35 +27,43 @@ from .common import BROADCAST_IDS, link_components, save, save_seen, shuffle_wid
 _PASS = "doc_id long, n long, h long, bucket int, kind tinyint, blob binary"
 
 
+_NAMES = ["doc_id", "n", "h", "bucket", "kind", "blob"]
+
+
+def _dealt(rows):
+    b, kind, blob = zip(*rows)
+    none = pa.nulls(len(rows), pa.int64())
+    return pa.record_batch([none, none, none, pa.array(b, pa.int32()), pa.array(kind, pa.int8()), pa.array(blob, pa.binary())], names=_NAMES)
+
+
 def _sketches(k: int, n_bands: int, rows: int, n_buckets: int):
     def run(batches):
-        salt = 0
+        dealer = K.Dealer(n_buckets)
         for batch in batches:
             ids, texts = batch.column(0), K.texts(batch.column(1))
-            for i, j in K.pieces([len(t) for t in texts], limit=4 << 20):
+            for i, j in K.pieces([len(t) for t in texts]):
                 x, bounds = K.doc_shingles(texts[i:j], k)
                 h = K.set_ids(x, bounds)
                 n = np.diff(bounds)
                 none = pa.nulls(j - i)
                 yield pa.record_batch(
                     [ids.slice(i, j - i), pa.array(n), pa.array(h.view(np.int64), mask=n == 0), none.cast(pa.int32()), none.cast(pa.int8()), none.cast(pa.binary())],
-                    names=["doc_id", "n", "h", "bucket", "kind", "blob"],
+                    names=_NAMES,
                 )
                 # equal sets in this piece are sketched once
                 at = np.unique(h, return_index=True)[1]
                 at = at[n[at] > 0]
-                pick = np.concatenate([np.arange(bounds[a], bounds[a + 1]) for a in at]) if len(at) else np.zeros(0, np.int64)
-                owner = np.repeat(np.arange(len(at)), n[at])
-                keys = K.bands(K.sketch(x[pick], owner, len(at), n_bands * rows), rows)
-                salt += 1
-                dealt = K.deal(keys.ravel(), np.repeat(h[at], n_bands), n_buckets, salt * 7919 + int(h[0] % K.U(1 << 20)))
-                if dealt:
-                    none = pa.nulls(len(dealt), pa.int64())
-                    b, kind, blob = zip(*dealt)
-                    yield pa.record_batch(
-                        [none, none, none, pa.array(b, pa.int32()), pa.array(kind, pa.int8()), pa.array(blob, pa.binary())],
-                        names=["doc_id", "n", "h", "bucket", "kind", "blob"],
-                    )
+                if len(at) < j - i:
+                    x = np.concatenate([x[bounds[a] : bounds[a + 1]] for a in at]) if len(at) else x[:0]
+                else:
+                    at = np.arange(j - i)
+                owner = np.repeat(np.arange(len(at), dtype=np.int32), n[at])
+                due = dealer.add(K.bands(K.sketch(x, owner, len(at), n_bands * rows), rows), h[at])
+                if due:
+                    yield _dealt(due)
+        due = dealer.flush()
+        if due:
+            yield _dealt(due)
 
     return run
 
@@ -74,6 +82,16 @@ def _sets(k: int):
     return run
 
 
+def _banded(n_bands: int, rows: int):
+    """Sets to the keys that _sketches deals."""
+
+    def run(sets):
+        x, owner = np.concatenate(sets).view(K.U), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+        return K.bands(K.sketch(x, owner, len(sets), n_bands * rows), rows)
+
+    return run
+
+
 def _named(k: int):
     def run(batches):
         for batch in batches:
@@ -116,7 +134,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     if not picked.where("doc_id is null").isEmpty():  # sets that only documents without an id have
         found = found.unionByName(docs.where("doc_id is null").select("text"))
     sets = save(found.mapInArrow(_sets(shingle), "id long, n long, s array<long>"), "sets")
-    comp = link_components(members, sets, num, den)
+    comp = link_components(members, sets, num, den, _banded(n_bands, rows))
     nodes = named.join(comp.withColumnRenamed("id", "h"), "h", "left").withColumn("c", F.coalesce("comp", "h"))
     least = nodes.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     least = save(least, "least")  # written, so that Spark can split a skewed side of the join
@@ -135,12 +153,25 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each class of near-duplicates (five words, 0.8) stays."""
-    r = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("set_id").alias("__set")).distinct()
-    named = docs.mapInArrow(_named(5), StructType([*docs.schema.fields, StructField("__h", LongType())]))
-    whole = named.join(r, named["doc_id"].eqNullSafe(r["__id"]) & named["__h"].eqNullSafe(r["__set"]), "left_semi")
-    copies = whole.where("__h is not null").dropDuplicates(["doc_id", "__h"])
-    return copies.unionByName(whole.where("__h is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Pipeline stage: one document of each class of near-duplicates (five words, 0.8) stays.
+
+    Only rows that share their id with one that goes, or with an equal one, are looked at again; texts aren't shuffled if
+    those ids are few."""
+    r = near_duplicates(docs).where("set_id is not null").groupBy(F.col("doc_id").alias("__id"), F.col("set_id").alias("__set"))
+    r = r.agg(F.count(F.lit(1)).alias("__n"), F.bool_or("kept").alias("__kept")).where("__n > 1 or not __kept")
+    r, (n, again) = save_seen(r, "gone", F.count(F.lit(1)), F.count_if(F.expr("__n > 1 and __kept")))
+    ids, sets = r.select(F.col("__id").alias("__i")).distinct(), r
+    if n <= BROADCAST_IDS:  # else both sides are shuffled
+        ids, sets = F.broadcast(ids), F.broadcast(r)
+    here = docs["doc_id"].eqNullSafe(F.col("__i"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    clean = docs.join(ids, here, "left_anti")
+    named = docs.join(ids, here, "left_semi").mapInArrow(_named(5), StructType([*docs.schema.fields, StructField("__h", LongType())]))
+    j = named.join(sets, named["doc_id"].eqNullSafe(F.col("__id")) & (named["__h"] == F.col("__set")), "left").drop("__id", "__set")
+    rest = clean.unionByName(j.where("__n is null").select(*columns))
+    if not again:
+        return rest
+    return rest.unionByName(j.where("__n > 1 and __kept").dropDuplicates(["doc_id", "__h"]).select(*columns))
 
 
 OP2_SQL = r"""

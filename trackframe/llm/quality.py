@@ -46,14 +46,18 @@ def statistics(parts: list[bytes]) -> np.ndarray:
     """One row of N_STATS transformed statistics for each text (at most 1,023 a call)."""
     n = len(parts)
     buf, starts = K.joined(parts)
-    doc_of = np.repeat(np.arange(n), np.diff(starts))
-    c = np.bincount(doc_of * N_CLASSES + _CLASS[buf], minlength=n * N_CLASSES).reshape(n, N_CLASSES).astype(float)
+    c = np.zeros(n * N_CLASSES)
+    for i in range(0, len(buf), K.LOW):
+        part = _CLASS[buf[i : i + K.LOW]]
+        first = np.searchsorted(starts, i, side="right") - 1
+        own = np.repeat(np.arange(n - first), np.diff(np.clip(starts[first:], i, i + len(part))))
+        c[first * N_CLASSES :] += np.bincount(own * N_CLASSES + part, minlength=(n - first) * N_CLASSES)
+    c = c.reshape(n, N_CLASSES)
     c[:, 5] -= 1  # the line feed put after each text
     chars = c.sum(axis=1) - c[:, 10]
-    s = K.prefix(buf)
     a, b = K.words(buf, K.SPACED)
-    doc = np.searchsorted(starts, a, side="right") - 1
-    h = K.span(s, a, b)
+    doc = K.owners(starts, a)
+    h = K.spans(buf, a, b)
     words = np.bincount(doc, minlength=n).astype(float)
     length = np.bincount(doc, weights=b - a, minlength=n)
     squares = np.bincount(doc, weights=(b - a).astype(float) ** 2, minlength=n)
@@ -66,7 +70,7 @@ def statistics(parts: list[bytes]) -> np.ndarray:
     top = np.zeros(n)
     np.maximum.at(top, owner, times)
     pair = K.mix(h[:-1] ^ K.mix(h[1:], 3))[same] if len(h) > 1 else np.zeros(0, K.U)
-    pairs = np.unique((doc[1:][same].astype(K.U) << K.U(54)) | (pair >> K.U(10)))
+    pairs = K.distinct((doc[1:][same].astype(K.U) << K.U(54)) | (pair >> K.U(10)))
     pair_kinds = np.bincount((pairs >> K.U(54)).astype(np.int64), minlength=n)
     short = np.bincount(doc[(b - a) <= 3], minlength=n)
     last = _CLASS[buf[b - 1]] if len(b) else np.zeros(0, np.int64)
@@ -74,9 +78,9 @@ def statistics(parts: list[bytes]) -> np.ndarray:
     marked = np.bincount(doc[(last == 8) | (last == 9)], minlength=n)
     ends = np.flatnonzero(buf == 10)
     begins = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else np.zeros(0, np.int64)
-    line_doc = np.searchsorted(starts, begins, side="right") - 1
+    line_doc = K.owners(starts, begins)
     lines = np.bincount(line_doc, minlength=n)
-    line_kinds = np.bincount((np.unique((line_doc.astype(K.U) << K.U(54)) | (K.span(s, begins, ends) >> K.U(10))) >> K.U(54)).astype(np.int64), minlength=n)
+    line_kinds = np.bincount((K.distinct((line_doc.astype(K.U) << K.U(54)) | (K.spans(buf, begins, ends) >> K.U(10))) >> K.U(54)).astype(np.int64), minlength=n)
     w1 = words + 1
     mean = (length + 5) / w1
     letters = c[:, 1] + c[:, 2] + c[:, 11]

@@ -24,9 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import BROADCAST_IDS, save, save_seen, table
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word with the white space after it, so that slices keep the text's lines.
+SPACED_WORD = WORD + r"[\x20\x09-\x0D]*"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
@@ -61,10 +63,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     )
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, source, key, size and the word offset of each document in its source's order."""
+def numbered(docs: DataFrame, texts: bool = False) -> DataFrame:
+    """doc_id, source, key, size and the place of each document in its source's order; its text too, if asked for."""
     d = docs.select(
         F.col("doc_id"),
+        *([F.col("text").cast("string").alias("text")] if texts else []),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("m"),
@@ -80,7 +83,8 @@ def offsets(d: DataFrame) -> DataFrame:
     return (
         d.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(ranges, ["key", "range"])
-        .select("doc_id", "source", "key", "size", (F.col("base") + F.col("own")).alias("at"))
+        .withColumn("at", F.col("base") + F.col("own"))
+        .drop("m", "range", "base", "own", "words")
     )
 
 
@@ -176,18 +180,18 @@ def draw(n: Column, q: Column, d: Column, u: Column) -> Column:
     return F.when(q == 0, F.lit(0).cast("long")).when(q == n, d).otherwise(F.transform(bounds, at)[0])
 
 
-def mix(docs: DataFrame, block: int = BLOCK, levels: int | None = None, shard_words: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, block: int = BLOCK, levels: int | None = None, shard_words: int = 1 << 22, texts: bool = False) -> tuple[DataFrame, DataFrame]:
     """Returns (documents, slices).
 
-    documents: doc_id, source, size, source_size, target, pieces: one row per row of docs;
+    documents: doc_id, source, key, size, source_size, target, at, pieces: one row per row of docs;
     pieces is an array of (block, start, n): words [start, start + n) of the document are part
-    of that block of its source.
+    of that block of its source; with texts also the words, each with the white space after it. No two documents of a
+    source with words have the same place ``at``.
     slices: the blocks' places: key, block, shard, position. A shard is written by joining
     pieces with slices on (key, block) and sorting by position.
     levels: depth of the tree; by default about ``shard_words`` words a shard.
     """
-    d = offsets(numbered(docs))
-    d = save(d, "numbered")
+    d = save(offsets(save(numbered(docs, texts), "sizes")), "numbered")
     sizes = d.groupBy("key").agg(F.sum("size").alias("source_size"))
     t = save(targets(sizes).withColumn("take", F.round("target").cast("long")), "targets")
     quotas = t.select("key", F.ceil(F.col("take") / block).cast("long").alias("quota"))
@@ -200,20 +204,32 @@ def mix(docs: DataFrame, block: int = BLOCK, levels: int | None = None, shard_wo
     slices = runs.where("n > 0").select("key", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("block")).withColumn(
         "position", F.xxhash64(F.lit(SEED), "key", "block")
     )
-    return d.join(t, "key").select("doc_id", "source", "key", "size", "source_size", "target", pieces(block).alias("pieces")), slices
+    columns = ["doc_id", "source", "key", "size", "source_size", "target", "at"]
+    return d.join(t, "key").select(*columns, pieces(block, texts).alias("pieces")), slices
 
 
-def shard_rows(docs: DataFrame, block: int = BLOCK, levels: int | None = None, shard_words: int = 1 << 22) -> DataFrame:
-    """The mix as shards: shard, position, key, block, doc_id, start, n, each shard's blocks in the
-    order of their positions (a seeded local shuffle), a block's documents together."""
-    documents, slices = mix(docs, block, levels, shard_words)
-    parts = documents.select("key", "doc_id", F.explode("pieces").alias("p")).select("key", "doc_id", "p.*")
-    rows = parts.join(slices, ["key", "block"]).select("shard", "position", "key", "block", "doc_id", "start", "n")
-    return rows.repartition("shard").sortWithinPartitions("shard", "position", "key", "block", "doc_id", "start")
+def placed(documents: DataFrame, slices: DataFrame) -> DataFrame:
+    """The rows of all shards: shard, position, key, block, at, doc_id, start, n and, if pieces have it, text."""
+    slices, (n,) = save_seen(slices, "slices", F.count(F.lit(1)))
+    if n <= BROADCAST_IDS:  # else both sides are shuffled
+        slices = F.broadcast(slices)
+    parts = documents.select("key", "at", "doc_id", F.explode("pieces").alias("p")).select("key", "at", "doc_id", "p.*")
+    text = [c for c in parts.columns if c == "text"]
+    return parts.join(slices, ["key", "block"]).select("shard", "position", "key", "block", "at", "doc_id", "start", "n", *text)
 
 
-def pieces(block: int) -> Column:
-    """The parts of a document in the blocks of its source, for each pass over the source.
+def ordered(rows: DataFrame) -> DataFrame:
+    """Each shard's rows together, its blocks in the order of their positions (a seeded local shuffle), a block's documents together."""
+    return rows.repartition("shard").sortWithinPartitions("shard", "position", "key", "block", "at", "start")
+
+
+def shard_rows(docs: DataFrame, block: int = BLOCK, levels: int | None = None, shard_words: int = 1 << 22, texts: bool = False) -> DataFrame:
+    """The mix as ordered shards."""
+    return ordered(placed(*mix(docs, block, levels, shard_words, texts)))
+
+
+def pieces(block: int, texts: bool = False) -> Column:
+    """The parts of a document in the blocks of its source, for each pass over the source, with their texts if asked for.
 
     Word w of pass p is word p * source_size + at + w of the source's stream, of which the mix
     takes the first ``take`` words."""
@@ -230,19 +246,36 @@ def pieces(block: int) -> Column:
         blocks = F.sequence(F.floor(a / block).cast("long"), F.floor((b - 1) / block).cast("long"))
         return F.when(b > a, F.transform(blocks, part)).otherwise(none)
 
-    return F.flatten(F.array(*[one(F.lit(p).cast("long")) for p in range(MOST)]))
+    parts = F.flatten(F.array(*[one(F.lit(p).cast("long")) for p in range(MOST)]))
+    if not texts:
+        return parts
+
+    def cut(words):
+        return F.transform(
+            parts,
+            lambda p: F.struct(
+                p["block"].alias("block"), p["start"].alias("start"), p["n"].alias("n"),
+                F.array_join(F.slice(words, (p["start"] + 1).cast("int"), p["n"].cast("int")), "").alias("text"),
+            ),
+        )
+
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(SPACED_WORD), F.lit(0))
+    return F.transform(F.array(words), cut)[0]
+
+
+def counted(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken: the words of a document in the rows of all shards."""
+    taken = rows.groupBy("key", "at").agg(F.sum("n").alias("taken")).select(F.col("key").alias("k"), F.col("at").alias("a"), "taken")
+    place = F.when(F.col("size") > 0, F.col("at"))  # a document without words has no row, but may share its place with the next
+    return documents.join(taken, (F.col("key") == F.col("k")) & (place == F.col("a")), "left").select(
+        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+    )
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken: the words of a document that shards hold.
-
-    The pieces are counted from what the shards hold of the source: blocks that no shard has
-    (there are none, the split being exact) would not count."""
+    """counted() for the mix of docs."""
     documents, slices = mix(docs)
-    held = slices.groupBy("key").agg(F.count("*").alias("blocks"))
-    d = documents.join(held, "key", "left")
-    taken = F.aggregate(F.filter("pieces", lambda p: p["block"] < F.col("blocks")), F.lit(0).cast("long"), lambda s, p: s + p["n"])
-    return d.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return counted(documents, placed(documents, slices))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,8 +283,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the mix of what is left; a row per document with the words taken of it."""
-    return digest(docs)
+    """Pipeline stage: writes the mix of what is left as ordered shards (a table "shards-..." in the shared folder, whose rows
+    name the words of documents; shard_rows(texts=True) has their texts too); returns a row per document with the words that
+    the shards hold of it."""
+    documents, slices = mix(docs)
+    rows = save(ordered(placed(documents, slices)), "shards")
+    return counted(documents, rows)
 
 
 OP8_SQL = r"""

@@ -3,13 +3,14 @@
 A page's markup becomes text blocks ("lines"). Elements that are never part of an article
 (menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader
 comments) are left out. If the page marks its article (article, main or role=main), the
-blocks inside are its text. Otherwise the page is differenced with the page of the same host
+blocks inside are its lines. Every page is then differenced with the page of the same host
 and of other lines whose URL path is nearest: lines are aligned by longest common subsequence, and
 shared lines, the site's template, are deleted. A marked page lends its lines outside of the article:
-those in it are no template, and an equal article of an unmarked page stays.
+those in it are no template, and an equal article stays. For the same reason a marked page is only aligned with the
+lines of a marked one.
 
 Differencing alone can't tell: menus and adverts differ from page to page while articles are
-copied within a host, so it is kept to lines that no element marks as article.
+copied within a host (the README has figures), so what a page marks as article goes before it.
 
 Neighbours in path order are found with a range partitioning and the boundary rows of each
 partition, so a host with a third of all pages is many tasks. A run of copies is passed over as one,
@@ -28,6 +29,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -269,8 +271,8 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return keep
 
 
-#: hashes: of the lines that a page lends (all of an unmarked page, those outside of the article of a marked one).
-_PARSED = "page_id long, url string, host string, path string, marked boolean, lines array<string>, hashes array<long>"
+#: own: hashes of the lines; lent: of those that a page lends (all of an unmarked page, those outside of the article of a marked one).
+_PARSED = "row long, page_id long, url string, host string, path string, marked boolean, lines array<string>, own array<long>, lent array<long>"
 
 
 def _place(url: str | None) -> tuple[str | None, str]:
@@ -286,10 +288,11 @@ def _hashes(lines: list[str]) -> list[int]:
     if not lines:
         return []
     buf, starts = K.joined([x.encode("utf-8", "surrogatepass") for x in lines])
-    return K.span(K.prefix(buf), starts[:-1], starts[1:]).view(np.int64).tolist()
+    return K.spans(buf, starts[:-1], starts[1:]).view(np.int64).tolist()
 
 
 def _parsed(batches):
+    row = TaskContext.get().partitionId() << 33
     for batch in batches:
         pages = batch.column("html").to_pylist()
         for i in range(0, len(pages), 500):
@@ -297,9 +300,11 @@ def _parsed(batches):
             for page_id, url, page in zip(batch.column("page_id").slice(i, 500).to_pylist(), batch.column("url").slice(i, 500).to_pylist(), pages[i : i + 500]):
                 found, marked, others = blocks_and_others(page or "")
                 lines = [x.encode("utf-8", "replace").decode() for x in found]
-                rows.append((page_id, url, *_place(url), marked, lines, _hashes(others if marked else lines)))
-            types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int64())]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["page_id", "url", "host", "path", "marked", "lines", "hashes"])
+                own = _hashes(lines)
+                rows.append((row, page_id, url, *_place(url), marked, lines, own, _hashes(others) if marked else own))
+                row += 1
+            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["row", "page_id", "url", "host", "path", "marked", "lines", "own", "lent"])
 
 
 def beside(rows: DataFrame, part: list[str], order: list[str], group: list[str], value: str) -> DataFrame:
@@ -357,33 +362,34 @@ def _prefix(a: str, b: str) -> int:
 
 
 def _differenced(batches):
+    """Rows with their neighbours to (row, gone): the places of the lines that the nearer one shares, for rows that lose any."""
     for batch in batches:
         out = []
-        for host, path, lines, hashes, before, after in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "lines", "hashes", "before", "after"))):
+        for row, host, path, marked, own, before, after in zip(*(batch.column(c).to_pylist() for c in ("row", "host", "path", "marked", "own", "before", "after"))):
             near = [x for x in (before, after) if x and x["host"] == host]
-            if near:
-                other = max(near, key=lambda x: _prefix(path, x["path"]))
-                shared = common(np.asarray(hashes, dtype=np.int64), np.asarray(other["hashes"], dtype=np.int64))
-                lines = [x for x, s in zip(lines, shared) if not s]
-            out.append("\n\n".join(lines))
-        yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+            if not near or not own:
+                continue
+            other = max(near, key=lambda x: _prefix(path, x["path"]))["lends"]
+            if marked and not other["marked"]:
+                continue
+            gone = np.flatnonzero(common(np.asarray(own, dtype=np.int64), np.asarray(other["lent"], dtype=np.int64)))
+            if len(gone):
+                out.append((row, gone.tolist()))
+        yield pa.record_batch([pa.array([r for r, _ in out], pa.int64()), pa.array([g for _, g in out], pa.list_(pa.int32()))], names=["row", "gone"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and main text of every row of pages (page_id, url, html)."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    open_ = ~F.col("marked") & F.col("host").isNotNull() & (F.size("hashes") > 0)
-    parsed, (n_open,) = save_seen(p.mapInArrow(_parsed, _PARSED), "parsed", F.count_if(open_))
-    done = parsed.where(~open_).select("page_id", "url", F.array_join("lines", "\n\n").alias("text"))
-    if not n_open:
-        return done
-    hosts, (n_hosts,) = save_seen(parsed.where(open_).select("host").distinct(), "hosts", F.count(F.lit(1)))
-    if n_hosts <= BROADCAST_IDS:  # else both sides are shuffled
-        hosts = F.broadcast(hosts)
-    rows = parsed.where(F.size("hashes") > 0).join(hosts, "host", "left_semi")
-    rows = rows.select("host", "path", "page_id", "marked", F.xxhash64("marked", "hashes").alias("list"), F.when(open_, F.col("url")).alias("url"), F.when(open_, F.col("lines")).alias("lines"), "hashes")
-    found = neighbours(rows, ["host", "path", "page_id"], ["host", "list"], "hashes").where("not marked").select("page_id", "url", "host", "path", "lines", "hashes", "before", "after")
-    return done.unionByName(found.mapInArrow(_differenced, "page_id long, url string, text string"))
+    parsed = save(p.mapInArrow(_parsed, _PARSED), "parsed")
+    rows = parsed.where(F.col("host").isNotNull() & (F.size("own") + F.size("lent") > 0))
+    rows = rows.select("host", "path", "page_id", "row", "marked", F.xxhash64("marked", "own", "lent").alias("list"), "own", F.struct("marked", "lent").alias("lends"))
+    found = neighbours(rows, ["host", "path", "page_id", "row"], ["host", "list"], "lends").select("row", "host", "path", "marked", "own", "before", "after")
+    gone, (n,) = save_seen(found.mapInArrow(_differenced, "row long, gone array<int>"), "gone", F.sum(F.size("gone") + 4))
+    if (n or 0) <= 4 * BROADCAST_IDS:  # else both sides are shuffled
+        gone = F.broadcast(gone)
+    left = F.filter("lines", lambda x, i: F.col("gone").isNull() | ~F.array_contains("gone", i))
+    return parsed.join(gone, "row", "left").select("page_id", "url", F.array_join(left, "\n\n").alias("text"))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

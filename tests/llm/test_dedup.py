@@ -1,6 +1,7 @@
 """Near-duplicates, lines, substrings: against brute force on small tables."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -85,8 +86,7 @@ def test_keep_one_leaves_one_row_of_a_class(spark):
 
 
 def line_set(line, k=lines.SHINGLE):
-    b = line.encode()
-    return {b[i : i + k] for i in range(len(b) - k + 1)} if len(b) >= k else {b}
+    return {line[i : i + k] for i in range(len(line) - k + 1)} if len(line) >= k else {line}
 
 
 def brute_lines(rows, last=lines.LAST):
@@ -112,7 +112,7 @@ def brute_lines(rows, last=lines.LAST):
 
 def line_rows():
     r = random.Random(8)
-    base = ["".join(r.choice("abcdefghijk é") for _ in range(r.randint(30, 120))) for _ in range(12)]
+    base = ["".join(r.choice("abcdefghijk éßдж语") for _ in range(r.randint(30, 120))) for _ in range(12)]
     rows = [(1, None), (2, ""), (3, "\n \n"), (4, "ab\nab\n ab "), (5, "x" * 3000)]
     for i in range(40):
         parts = []
@@ -187,4 +187,20 @@ def test_merged_shards_agree_with_one(monkeypatch):
     one = substrings.least_documents(text, size, least, 50)
     monkeypatch.setattr(substrings, "SHARD", 50)
     assert (substrings.least_documents(text, size, least, 50) == one).all()
-    assert substrings.remove_repeats  # the operator itself is tested above
+
+
+def test_suffix_arrays_and_common_prefixes(monkeypatch):
+    import numpy as np
+
+    r = random.Random(2)
+    for lanes in (4, 4096):
+        monkeypatch.setattr(substrings, "LANES", lanes)
+        for n in (1, 2, 7, 60, 400):
+            for alphabet in (b"a", b"ab", b"ab\x00", bytes(range(256))):
+                raw = bytes(r.choice(alphabet) for _ in range(n))
+                text = np.frombuffer(raw, dtype=np.uint8)
+                order = substrings.suffix_array(text, 50)
+                cut = [raw[i : i + 50].ljust(58, b"\0")[:50] for i in order]
+                assert sorted(order.tolist()) == list(range(n)) and cut == sorted(cut)
+                want = [0] + [len(os.path.commonprefix([raw[a : a + 50], raw[b : b + 50]])) for a, b in zip(order[:-1].tolist(), order[1:].tolist())]
+                assert substrings.common_prefixes(text, order, 50).tolist() == want

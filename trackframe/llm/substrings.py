@@ -8,16 +8,16 @@ Four passes, all in proportion to the text:
 2. Neighbouring windows with one anchor form a segment (at most 76 bytes). Different segments
    with shared anchors go, with the smallest document that has them, to shards by anchor: so
    equal windows meet in one bucket, wherever they are.
-3. A bucket is cut into shards of bounded size. Each shard's different segments are one text,
-   whose window starts get a suffix array by refining groups of equal prefixes
-   (Larsson and Sadakane's scheme: groups of one suffix are left alone; the next key is
-   the following eight bytes, suffixes being cut at 50). Common prefixes of neighbours tell
-   equal windows. Shards of a bucket are merged by binary search for each other's windows. The
-   answer for a segment: which of its windows start in a smaller document.
+3. A bucket is cut into shards of bounded size. A shard's text is its different segments one after the
+   other; all suffixes get a suffix array by Larsson and Sadakane's refinement (ranks double what is
+   known, up to 50 bytes; groups of one are left alone), neighbours their common prefixes by Kasai's
+   walk, and runs of 50 bytes or more in common are equal windows. Shards of a bucket are merged by
+   binary search for each other's different windows. The answer for a segment: which of its windows
+   start in a smaller document.
 4. Chunks join their answers and cover bytes.
 
-A chunk sends any string once, so a passage that a third of all documents hold sends a row a
-chunk, not a row a document.
+A chunk sends any string once, so a passage that a third of all documents hold is sent once a
+chunk, not once a document; and it sends one row to each part of the buckets, like a map task to each reducer.
 
 Defined cases: null text is empty; texts under 50 bytes lose nothing; rows with equal ids are
 never smaller than each other; rows without an id count as larger than any other; extra
@@ -28,6 +28,7 @@ anchor's collision only adds a candidate); windows by their bytes.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ LENGTH = 50
 CHUNK = 2 << 20
 #: Window starts hashed at once.
 PART = 1 << 18
-#: Window starts of one shard.
+#: Bytes of one shard's text.
 SHARD = 1 << 20
 #: Bytes of text for a bucket.
 BUCKET_TEXT = 2 << 20
@@ -169,12 +170,12 @@ def _bucket(fp: np.ndarray, n: int) -> np.ndarray:
     return ((fp >> K.U(32)) * K.U(n) >> K.U(32)).astype(np.int64)
 
 
-_SENT = "bucket int, chunk long, blob binary"
+_SENT = "part int, chunk long, blob binary"
 
 
 def _sent(rows):
     b, c, x = zip(*rows) if rows else ((), (), ())
-    return pa.record_batch([pa.array(b, pa.int32()), pa.array(c, pa.int64()), pa.array(x, pa.binary())], names=["bucket", "chunk", "blob"])
+    return pa.record_batch([pa.array(b, pa.int32()), pa.array(c, pa.int64()), pa.array(x, pa.binary())], names=["part", "chunk", "blob"])
 
 
 def _by_bucket(fp, n_buckets):
@@ -183,51 +184,83 @@ def _by_bucket(fp, n_buckets):
         yield b, slice(cut[b], cut[b + 1])
 
 
-def _send_anchors(n_buckets: int, length: int):
+def _bundles(blobs, sub: int):
+    """(bucket, blob) in order of buckets to (part, bundle): one row a part holds the blobs of its ``sub`` buckets."""
+    for part, own in itertools.groupby(blobs, key=lambda x: x[0] // sub):
+        own = list(own)
+        head = np.array([len(own), *[b for b, _ in own], *[len(x) for _, x in own]], dtype=np.int64)
+        yield part, head.tobytes() + b"".join(x for _, x in own)
+
+
+def _opened(bundle: bytes) -> dict[int, bytes]:
+    n = int(np.frombuffer(bundle, dtype=np.int64, count=1)[0])
+    head = np.frombuffer(bundle, dtype=np.int64, count=2 * n, offset=8)
+    ends = 8 * (1 + 2 * n) + np.cumsum(head[n:])
+    return {int(b): bundle[e - s : e] for b, s, e in zip(head[:n], head[n:], ends)}
+
+
+def _send_anchors(n_buckets: int, sub: int, length: int):
     def run(batches):
         for batch in batches:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob")):
                 fp, multi = Runs(blob.as_py(), length).anchors()
-                yield _sent([(b, chunk, _pack(fp[sl], multi[sl])) for b, sl in _by_bucket(fp, n_buckets)])
+                yield _sent([(p, chunk, x) for p, x in _bundles(((b, _pack(fp[sl], multi[sl])) for b, sl in _by_bucket(fp, n_buckets)), sub)])
 
     return run
 
 
-def _whole_buckets(batches):
-    """Rows sorted by bucket to (bucket, [(chunk, blob)])."""
-    now, rows = None, []
-    for batch in batches:
-        for b, c, x in zip(*(batch.column(n).to_pylist() for n in ("bucket", "chunk", "blob"))):
-            if b != now and rows:
-                yield now, rows
-                rows = []
-            now = b
-            rows.append((c, x))
-    if rows:
-        yield now, rows
-
-
-def _answer_anchors(batches):
-    for bucket, rows in _whole_buckets(batches):
-        parts = [_unpack(x, K.U, bool) for _, x in rows]
-        fp = np.concatenate([p[0] for p in parts])
-        shared = np.concatenate([p[1] for p in parts])
-        order = np.argsort(fp, kind="stable")
-        f = fp[order]
-        same = f[1:] == f[:-1]
-        both = np.zeros(len(f), dtype=bool)
-        both[1:] |= same
-        both[:-1] |= same
-        shared = shared.copy()
-        shared[order] |= both
-        cut = np.cumsum([0] + [len(p[0]) for p in parts])
-        yield _sent([(bucket, c, np.packbits(shared[i:j]).tobytes()) for (c, _), i, j in zip(rows, cut[:-1], cut[1:])])
+def _by_part(answer):
+    """Rows sorted by part to answers: of each bucket all chunks' blobs are answered together, and a chunk gets its answers to a
+    part as one row."""
+
+    def part(now, rows):
+        got = [(c, _opened(x)) for c, x in rows]
+        out: dict[int, list] = {}
+        for b in sorted({b for _, held in got for b in held}):
+            own = [(c, held[b]) for c, held in got if b in held]
+            for c, x in zip([c for c, _ in own], answer([x for _, x in own])):
+                out.setdefault(c, []).append((b, x))
+        return _sent([(now, c, next(_bundles(blobs, 1 << 60))[1]) for c, blobs in out.items()])
+
+    def run(batches):
+        now, rows = None, []
+        for batch in batches:
+            for p, c, x in zip(*(batch.column(n).to_pylist() for n in ("part", "chunk", "blob"))):
+                if p != now and rows:
+                    yield part(now, rows)
+                    rows = []
+                now = p
+                rows.append((c, x))
+        if rows:
+            yield part(now, rows)
+
+    return run
+
+
+def _answer_anchors(blobs):
+    parts = [_unpack(x, K.U, bool) for x in blobs]
+    fp = np.concatenate([p[0] for p in parts])
+    shared = np.concatenate([p[1] for p in parts])
+    order = np.argsort(fp, kind="stable")
+    f = fp[order]
+    same = f[1:] == f[:-1]
+    both = np.zeros(len(f), dtype=bool)
+    both[1:] |= same
+    both[:-1] |= same
+    shared = shared.copy()
+    shared[order] |= both
+    cut = np.cumsum([0] + [len(p[0]) for p in parts])
+    return [np.packbits(shared[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:])]
+
+
+def _known(answers) -> dict[int, bytes]:
+    return {b: x for a in answers or () for b, x in _opened(a["blob"]).items()}
 
 
 def _shared_anchors(runs: Runs, answers: list[dict], n_buckets: int) -> np.ndarray:
     fp, _ = runs.anchors()
     shared = np.zeros(len(fp), dtype=bool)
-    known = {a["bucket"]: a["blob"] for a in answers or ()}
+    known = _known(answers)
     for b, sl in _by_bucket(fp, n_buckets):
         shared[sl] = np.unpackbits(np.frombuffer(known[b], dtype=np.uint8), count=sl.stop - sl.start).astype(bool)
     return shared
@@ -237,74 +270,100 @@ def _gather(text: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return text[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
-def _send_segments(n_buckets: int, length: int):
+def _send_segments(n_buckets: int, sub: int, length: int):
     def run(batches):
         for batch in batches:
             for chunk, blob, answers in zip(batch.column("chunk").to_pylist(), batch.column("blob"), batch.column("answers")):
                 r = Runs(blob.as_py(), length)
                 _, _, first, least = r.segments(_shared_anchors(r, answers.as_py(), n_buckets))
                 size = r.hi[first] - r.lo[first] + length
-                rows = [
-                    (b, chunk, _pack(size[sl].astype(np.uint8 if length < 128 else np.int32), least[sl], _gather(r.text, r.lo[first[sl]], size[sl])))
+                blobs = (
+                    (b, _pack(size[sl].astype(np.uint8 if length < 128 else np.int32), least[sl], _gather(r.text, r.lo[first[sl]], size[sl])))
                     for b, sl in _by_bucket(r.fp[first], n_buckets)
-                ]
-                yield _sent(rows)
+                )
+                yield _sent([(p, chunk, x) for p, x in _bundles(blobs, sub)])
 
     return run
 
 
-def suffix_order(text: np.ndarray, p: np.ndarray, length: int) -> np.ndarray:
-    """The order of the suffixes at p by their first ``length`` bytes.
-
-    Groups of equal prefixes are refined eight bytes at a time; groups of one suffix are done.
-    text must go on for eight bytes after the last prefix."""
-    words = sliding_window_view(text, 8)
-
-    def key(q, h):
-        w = words[q + h].view(">u8").ravel().astype(K.U)
-        left = length - h
-        return w if left >= 8 else w >> K.U(8 * (8 - left))
-
-    first = key(p, 0)
-    order = np.argsort(first, kind="stable")
-    f = first[order]
-    head = np.ones(len(p), dtype=bool)
-    head[1:] = f[1:] != f[:-1]
-    for h in range(8, length, 8):
-        alone = head.copy()
-        alone[:-1] &= head[1:]
-        at = np.flatnonzero(~alone)
-        if not len(at):
-            break
-        group, w = np.cumsum(head)[at], key(p[order[at]], h)
-        sub = np.lexsort((w, group))
-        order[at] = order[at][sub]
-        w = w[sub]
-        head[at[1:]] |= w[1:] != w[:-1]
-    return order
-
-
-def common_prefixes(text: np.ndarray, p: np.ndarray, length: int) -> np.ndarray:
-    """Which suffixes of the ordered p have at least ``length`` bytes in common with the one before."""
-    same = np.zeros(len(p), dtype=bool)
-    words = sliding_window_view(text, 8)
-    at = np.arange(1, len(p))
-    for h in [*range(0, length - 7, 8), length - 8]:
-        a, b = words[p[at] + h].view(np.int64).ravel(), words[p[at - 1] + h].view(np.int64).ravel()
-        at = at[a == b]
-    same[at] = True
-    return same
-
-
-def _shards(windows: np.ndarray):
+def suffix_array(text: np.ndarray, length: int) -> np.ndarray:
+    """The suffixes of text in order of their first ``length`` bytes (eight or more), by Larsson and Sadakane's refinement.
+
+    Suffixes start in order of their first eight bytes. A group of suffixes that are equal so far has its first place as rank;
+    groups are sorted by the ranks of the suffixes h bytes on, which doubles what is known of all of them, until
+    ``length`` bytes are; groups of one are left alone. Past its end the text is taken for zeros."""
+    n = len(text)
+    padded = np.append(text, np.zeros(8, dtype=np.uint8))
+    key = sliding_window_view(padded, 8)[:n].copy().view(">u8").ravel().astype(K.U)
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    head = np.ones(n, dtype=bool)
+    head[1:] = key[1:] != key[:-1]
+    rank = np.zeros(n + length, dtype=np.int32)  # past the end: below all others
+    h = 8
+    while True:
+        first = np.flatnonzero(head)
+        size = np.diff(first, append=n)
+        rank[order] = np.repeat(first + 1, size)
+        wide = np.repeat(size > 1, size)
+        if h >= length or not wide.any():
+            return order
+        step = min(h, length - h)
+        at = np.flatnonzero(wide)
+        own = order[at]
+        key = (rank[own].astype(K.U) << K.U(32)) | rank[own + step].astype(K.U)
+        sub = np.argsort(key, kind="stable")
+        order[at], key = own[sub], key[sub]
+        head[at[1:]] = key[1:] != key[:-1]
+        head[at[0]] = True
+        h += step
+
+
+#: Stretches of the text that are walked side by side.
+LANES = 8192
+
+
+def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """How many bytes each suffix of the order has in common with the one before it, up to ``most``.
+
+    Kasai's walk: along the text a suffix has at least one byte less in common with its neighbour than the suffix one byte before
+    had with its own. LANES stretches of the text are walked at once, each with its own count."""
+    n = len(order)
+    before = np.full(n, -1, dtype=np.int32)
+    before[order[1:]] = order[:-1]
+    words = sliding_window_view(np.append(text, np.zeros(most + 8, dtype=np.uint8)), 8)
+    stride = -(-n // LANES)
+    start = np.arange(0, n, max(1, stride))
+    known = np.zeros(len(start), dtype=np.int64)
+    found = np.zeros(n, dtype=np.int32)
+    for i in range(stride):
+        p = start + i
+        p = p[p < n]  # only the last stretch is shorter
+        q = before[p]
+        left = np.where(q < 0, 0, np.minimum(n - np.maximum(p, q), most))
+        known = np.minimum(known[: len(p)], left)
+        live = np.flatnonzero(known < left)
+        while len(live):  # eight bytes at once
+            at = known[live]
+            x = words[p[live] + at].view("<u8").ravel() ^ words[q[live] + at].view("<u8").ravel()
+            same = np.where(x == 0, 8, np.log2((x & (~x + K.U(1))).astype(np.float64) + (x == 0)).astype(np.int64) >> 3)
+            known[live] = np.minimum(at + same, left[live])
+            live = live[(same == 8) & (known[live] < left[live])]
+        found[p] = known
+        # what was cut short says nothing about the next suffix
+        known = np.where(known < left, np.maximum(known - 1, 0), 0)
+    return found[order]
+
+
+def _shards(sizes: np.ndarray):
     i = total = 0
-    for j, n in enumerate(windows.tolist()):
+    for j, n in enumerate(sizes.tolist()):
         if j > i and total + n > SHARD:
             yield i, j
             i, total = j, 0
         total += n
-    if i < len(windows):
-        yield i, len(windows)
+    if i < len(sizes):
+        yield i, len(sizes)
 
 
 def least_documents(text: np.ndarray, size: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
@@ -312,67 +371,65 @@ def least_documents(text: np.ndarray, size: np.ndarray, least: np.ndarray, lengt
     each: the smallest document that holds each of their windows, in order."""
     windows = size - length + 1
     begin = np.cumsum(size) - size
-    text = np.append(text, np.zeros(8, dtype=np.uint8))
-    out = np.empty(int(windows.sum()), dtype=np.int64)
     done = []
-    for i, j in _shards(windows):
-        owner = np.repeat(np.arange(i, j), windows[i:j])
-        p = begin[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(windows[i:j]) - windows[i:j], windows[i:j])
-        order = suffix_order(text, p, length)
-        group = np.cumsum(~common_prefixes(text, p[order], length)) - 1
+    for i, j in _shards(size):
+        own = text[begin[i] : begin[j - 1] + size[j - 1]]
+        order = suffix_array(own, length)
+        group = np.cumsum(common_prefixes(own, order, length) < length) - 1
+        # the suffixes that are windows: those that don't begin in a segment's last bytes
+        owner = np.repeat(np.arange(j - i), size[i:j])
+        is_window = np.arange(len(own)) - (begin[i:j] - begin[i])[owner] < windows[i:j][owner]
+        keep = is_window[order]
+        order, group = order[keep], group[keep]
         first = np.flatnonzero(np.diff(group, prepend=-1))
-        docs = np.minimum.reduceat(least[owner[order]], first)
-        done.append((p[order][first], docs, group, order))
-    if len(done) > 1:  # merge the shards: each looks up its different windows in the others
-        keys = [sliding_window_view(text, length)[p].copy().view(f"S{length}").ravel() for p, *_ in done]
-        best = [d.copy() for _, d, *_ in done]
-        for a in range(len(done)):
-            for b in range(len(done)):
-                if a != b:
-                    at = np.minimum(np.searchsorted(keys[b], keys[a]), len(keys[b]) - 1)
-                    hit = keys[b][at] == keys[a]
-                    best[a][hit] = np.minimum(best[a][hit], done[b][1][at[hit]])
-    else:
-        best = [d for _, d, *_ in done]
-    at = 0
-    for (_, _, group, order), docs in zip(done, best):
-        part = np.empty(len(order), dtype=np.int64)
-        part[order] = docs[group]
-        out[at : at + len(order)] = part
-        at += len(order)
-    return out
+        docs = np.minimum.reduceat(least[i:j][owner[order]], first)
+        number = np.repeat(np.arange(len(first)), np.diff(first, append=len(order)))
+        place = np.cumsum(is_window) - 1
+        done.append((sliding_window_view(own, length)[order[first]].copy().view(f"S{length}").ravel(), docs, number, place[order]))
+    best = [d.copy() for _, d, *_ in done]
+    for a in range(len(done)):  # merge the shards: each looks up its different windows in the others
+        for b in range(len(done)):
+            if a != b:
+                at = np.minimum(np.searchsorted(done[b][0], done[a][0]), len(done[b][0]) - 1)
+                hit = done[b][0][at] == done[a][0]
+                best[a][hit] = np.minimum(best[a][hit], done[b][1][at[hit]])
+    out = []
+    for (_, _, number, place), docs in zip(done, best):
+        part = np.empty(len(place), dtype=np.int64)
+        part[place] = docs[number]
+        out.append(part)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def _answer_segments(length: int):
-    def run(batches):
-        for bucket, rows in _whole_buckets(batches):
-            parts = [_unpack(x, np.uint8 if length < 128 else np.int32, np.int64, np.uint8) for _, x in rows]
-            size = np.concatenate([p[0] for p in parts]).astype(np.int64)
-            least = np.concatenate([p[1] for p in parts])
-            text = np.concatenate([p[2] for p in parts])
-            begin = np.cumsum(size) - size
-            content = K.span(K.prefix(text), begin, begin + size)
-            order = np.lexsort((least, content))
-            c = content[order]
-            new = np.ones(len(c), dtype=bool)
-            new[1:] = c[1:] != c[:-1]
-            first = order[new]
-            number = np.empty(len(c), dtype=np.int64)
-            number[order] = np.cumsum(new) - 1
-            docs = least_documents(_gather(text, begin[first], size[first]), size[first], least[first], length)
-            windows = size[first] - length + 1
-            base = np.cumsum(windows) - windows
-            # of each segment sent: a bit for each window that starts in a smaller document
-            n = windows[number]
-            owner = np.repeat(np.arange(len(n)), n)
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            bit = docs[base[number[owner]] + place] < least[owner]
-            ends = np.cumsum(n)
-            cut = np.cumsum([0] + [len(p[0]) for p in parts])
-            bounds = np.concatenate([[0], ends])[cut]
-            yield _sent([(bucket, ch, np.packbits(bit[x:y]).tobytes()) for (ch, _), x, y in zip(rows, bounds[:-1], bounds[1:])])
+    def answer(blobs):
+        parts = [_unpack(x, np.uint8 if length < 128 else np.int32, np.int64, np.uint8) for x in blobs]
+        size = np.concatenate([p[0] for p in parts]).astype(np.int64)
+        least = np.concatenate([p[1] for p in parts])
+        text = np.concatenate([p[2] for p in parts])
+        begin = np.cumsum(size) - size
+        content = K.spans(text, begin, begin + size)
+        order = np.lexsort((least, content))
+        c = content[order]
+        new = np.ones(len(c), dtype=bool)
+        new[1:] = c[1:] != c[:-1]
+        first = order[new]
+        number = np.empty(len(c), dtype=np.int64)
+        number[order] = np.cumsum(new) - 1
+        docs = least_documents(_gather(text, begin[first], size[first]), size[first], least[first], length)
+        windows = size[first] - length + 1
+        base = np.cumsum(windows) - windows
+        # of each segment sent: a bit for each window that starts in a smaller document
+        n = windows[number]
+        owner = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        bit = docs[base[number[owner]] + place] < least[owner]
+        ends = np.cumsum(n)
+        cut = np.cumsum([0] + [len(p[0]) for p in parts])
+        bounds = np.concatenate([[0], ends])[cut]
+        return [np.packbits(bit[x:y]).tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
 
-    return run
+    return answer
 
 
 _DONE = "doc_id long, n_bytes long, spans array<struct<a:long,b:long>>, kept binary, kept_sha256 string"
@@ -387,7 +444,7 @@ def _cover(n_buckets: int, length: int, keep_bytes: bool):
                 n = (r.hi - r.lo + 1)[first]
                 base = np.cumsum(n) - n
                 bits = np.zeros(int(n.sum()), dtype=bool)
-                known = {a["bucket"]: a["blob"] for a in found.as_py() or ()}
+                known = _known(found.as_py())
                 for b, sl in _by_bucket(r.fp[first], n_buckets):
                     x, y = int(base[sl.start]), int(base[sl.stop - 1] + n[sl.stop - 1])
                     bits[x:y] = np.unpackbits(np.frombuffer(known[b], dtype=np.uint8), count=y - x).astype(bool)
@@ -426,19 +483,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Tru
     chunks = save(d.mapInArrow(_chunker, "chunk long, size long, blob binary"), "chunks")
     total = chunks.agg(F.sum("size")).first()[0] or 0
     width = shuffle_width(spark, total, 16 << 20)
-    n = max(width, -(-total // BUCKET_TEXT))
+    sub = max(1, -(-total // (width * BUCKET_TEXT)))
+    n = width * sub
 
-    def in_buckets(df, answer):
-        return df.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, _SENT)
+    def in_parts(df, answer):
+        return df.repartition(width, "part").sortWithinPartitions("part").mapInArrow(_by_part(answer), _SENT)
 
     def per_chunk(df, name):
-        rows = df.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias(name))
+        rows = df.groupBy("chunk").agg(F.collect_list(F.struct("blob")).alias(name))
         return rows.select(F.col("chunk").alias("c"), name)
 
-    first = save(in_buckets(chunks.mapInArrow(_send_anchors(n, length), _SENT), _answer_anchors), "anchors")
+    first = save(in_parts(chunks.mapInArrow(_send_anchors(n, sub, length), _SENT), _answer_anchors), "anchors")
     first = per_chunk(first, "answers")
     known = chunks.join(first, F.col("chunk") == F.col("c"), "left").select("chunk", "blob", "answers")
-    second = save(in_buckets(known.mapInArrow(_send_segments(n, length), _SENT), _answer_segments(length)), "segments")
+    second = save(in_parts(known.mapInArrow(_send_segments(n, sub, length), _SENT), _answer_segments(length)), "segments")
     second = per_chunk(second, "found")
     both = known.join(second, F.col("chunk") == F.col("c"), "left").select("blob", "answers", "found")
     return both.mapInArrow(_cover(n, length, keep_bytes), _DONE)

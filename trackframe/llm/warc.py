@@ -8,11 +8,12 @@ index(): captures sorted by reversed-host URL key go into compressed blocks of l
 of blocks per range partition; a sparse directory holds each block's first key and place. It is
 kept as a table and beside each file of blocks.
 
-lookup(): for each URL the file is found among the files' first keys (one a file: what is
-broadcast is bounded by the number of range partitions), the block by binary search in that file's directory, the
-lines by binary search in the block, which is the only range read of the index.
+captures_of(): for each key the files are found among the files' first keys (one a file: what is
+broadcast is bounded by the number of range partitions), the blocks by binary search in those files' directories. Requests are
+then dealt by block: each block is read once, the only range read of the index, and the lines found by binary search in it.
+So a key with a third of all captures is the work of many tasks.
 
-read(): walks the directory, range-reads blocks and then the records they name.
+read(): range-reads the records that captures name.
 
 Defined cases: null html is an empty payload; a page without a URL has no target URI and an empty
 key, control characters and spaces in URLs are percent-encoded in headers and keys; pages without an id are written under
@@ -213,18 +214,6 @@ def _block_lines(data: bytes) -> list[list[str]]:
     return [x.split("\t") for x in zlib.decompress(data, 31).decode().split("\n")]
 
 
-def _listed(folder: str):
-    def run(batches):
-        for batch in batches:
-            for path, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length"))):
-                rows = _block_lines(_range(folder, path, offset, length))
-                yield pa.record_batch(
-                    [pa.array([r[2] for r in rows]), pa.array([int(r[3]) for r in rows], pa.int64()), pa.array([int(r[4]) for r in rows], pa.int64())], names=["file", "offset", "length"]
-                )
-
-    return run
-
-
 def _reader(folder: str):
     def run(batches):
         for batch in batches:
@@ -254,12 +243,11 @@ def _reader(folder: str):
     return run
 
 
-def read(directory: DataFrame, folder: str) -> DataFrame:
-    """All records of the archives that the directory's blocks name: page_id, url, payload_bytes,
-    payload_digest, record_type, refers_to. A revisit's size is that of the payload it refers to."""
-    places = directory.mapInArrow(_listed(folder), "file string, offset long, length long")
+def read(captures: DataFrame, folder: str) -> DataFrame:
+    """The records of the archives that captures (file, offset, length) name: page_id, url, payload_bytes,
+    payload_digest, record_type, refers_to. A revisit's size is that of the payload it refers to, if that is among them."""
     part = F.floor(F.col("offset") / (64 << 20))
-    places = places.repartition(shuffle_width(directory.sparkSession), "file", part).sortWithinPartitions("file", "offset")
+    places = captures.select("file", "offset", "length").repartition(shuffle_width(captures.sparkSession), "file", part).sortWithinPartitions("file", "offset")
     r = save(places.mapInArrow(_reader(folder), _RECORD), "records")
     whole = r.where("record_type = 'response'").select(F.col("page_id").alias("p"), F.col("payload_digest").alias("g"), F.col("payload_bytes").alias("b")).distinct()
     revisits = r.where("record_type = 'revisit'").join(whole, (F.col("refers_to") == F.col("p")) & (F.col("payload_digest") == F.col("g")), "left")
@@ -274,14 +262,15 @@ def _directory(folder: str, path: str):
     return [r[0] for r in rows], [(int(r[1]), int(r[2])) for r in rows]
 
 
-@functools.lru_cache(maxsize=64)
-def _block(folder: str, path: str, offset: int, length: int):
-    lines = _block_lines(_range(folder, path, offset, length))
-    return [x[0] for x in lines], lines
+def _keyed(batches):
+    for batch in batches:
+        yield pa.record_batch([batch.column("url"), pa.array([url_key(x) for x in batch.column("url").to_pylist()], pa.string())], names=["url", "key"])
+
 
+def _requested(folder: str, shared):
+    """Keys to (key, file, offset, length) of the blocks that may hold them."""
 
-def _finder(folder: str, shared):
-    def captures(key):
+    def blocks_of(key):
         firsts, paths = shared.value
         for f in range(max(0, bisect.bisect_left(firsts, key) - 1), len(paths)):
             if firsts[f] > key:
@@ -290,37 +279,60 @@ def _finder(folder: str, shared):
             for b in range(max(0, bisect.bisect_left(keys, key) - 1), len(keys)):
                 if keys[b] > key:
                     break
-                own, lines = _block(folder, paths[f], *places[b])
-                yield from lines[bisect.bisect_left(own, key) : bisect.bisect_right(own, key)]
+                yield paths[f], *places[b]
 
     def run(batches):
         for batch in batches:
-            rows = [(url, c) for url in batch.column("url").to_pylist() for c in captures(url_key(url))]
-            yield pa.record_batch(
-                [
-                    pa.array([u for u, _ in rows], pa.string()), pa.array([int(c[1]) if c[1] else None for _, c in rows], pa.int64()), pa.array([c[2] for _, c in rows], pa.string()),
-                    pa.array([int(c[3]) for _, c in rows], pa.int64()), pa.array([int(c[4]) for _, c in rows], pa.int64()), pa.array([c[5] for _, c in rows], pa.string()),
-                ],
-                names=["url", "page_id", "file", "offset", "length", "record_type"],
-            )
+            rows = [(key, *x) for key in batch.column("key").to_pylist() for x in blocks_of(key)]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, [pa.string(), pa.string(), pa.int64(), pa.int64()])], names=["key", "file", "offset", "length"])
 
     return run
 
 
-def lookup(directory: DataFrame, folder: str, urls: DataFrame) -> DataFrame:
-    """Captures of each row of urls (url): url, page_id, file, offset, length, record_type."""
+def _captured(folder: str):
+    """Requests sorted by block to the captures found."""
+
+    def run(batches):
+        place = own = lines = None
+        for batch in batches:
+            rows = []
+            for key, *at in zip(*(batch.column(c).to_pylist() for c in ("key", "file", "offset", "length"))):
+                if at != place:
+                    place, lines = at, _block_lines(_range(folder, *at))
+                    own = [x[0] for x in lines]
+                for c in lines[bisect.bisect_left(own, key) : bisect.bisect_right(own, key)]:
+                    rows.append((key, int(c[1]) if c[1] else None, c[2], int(c[3]), int(c[4]), c[5], c[6]))
+            types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, types)], names=["key", "page_id", "file", "offset", "length", "record_type", "digest"])
+
+    return run
+
+
+def captures_of(directory: DataFrame, folder: str, keys: DataFrame) -> DataFrame:
+    """The captures of keys (different, not null): key, page_id, file, offset, length, record_type, digest."""
     # one row a file of blocks, as many as the index has range partitions
     files = directory.groupBy("file").agg(F.min("first").alias("first")).collect()
     # Python and Spark both order keys by code point here
     files = sorted((r["first"], r["file"]) for r in files)
-    shared = urls.sparkSession.sparkContext.broadcast(([f for f, _ in files], [p for _, p in files]))
-    return urls.select("url").mapInArrow(_finder(folder, shared), "url string, page_id long, file string, offset long, length long, record_type string")
+    spark = keys.sparkSession
+    shared = spark.sparkContext.broadcast(([f for f, _ in files], [p for _, p in files]))
+    requests = keys.select("key").mapInArrow(_requested(folder, shared), "key string, file string, offset long, length long")
+    requests = requests.repartition(shuffle_width(spark), "file", "offset").sortWithinPartitions("file", "offset", "key")
+    return requests.mapInArrow(_captured(folder), _CAPTURE)
+
+
+def lookup(directory: DataFrame, folder: str, urls: DataFrame) -> DataFrame:
+    """Captures of each row of urls (url): url, page_id, file, offset, length, record_type."""
+    keyed = urls.select("url").mapInArrow(_keyed, "url string, key string")
+    found = captures_of(directory, folder, keyed.select("key").distinct())
+    return keyed.join(found, "key").select("url", "page_id", "file", "offset", "length", "record_type")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = fresh(spark, "warc")
-    directory = index(write(table(spark, sf_dir, "pages"), folder), folder)
-    return read(directory, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    folder, pages = fresh(spark, "warc"), table(spark, sf_dir, "pages")
+    directory = index(write(pages, folder), folder)
+    keys = pages.select(F.col("url").cast("string").alias("url")).distinct().mapInArrow(_keyed, "url string, key string").select("key").distinct()
+    return read(captures_of(directory, folder, keys), folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP1_SQL = """

@@ -1,10 +1,10 @@
 """Benchmark decontamination by a broadcast hash set of word windows.
 
-Benchmark items become windows of ``window`` words (an item of fewer words is one window);
-their hashes are broadcast, documents' windows of each occurring length are looked up, and
-every hit is verified word by word. What is broadcast is bounded: the size of the benchmark
-is measured first, and beyond ``max_bytes`` it is split by a hash into blocks under that
-bound, each scanned in turn, and the hits of a document are merged.
+Benchmark items become windows of ``window`` words (an item of fewer words is one window), hashed on the
+executors; a sorted array of the hashes and the items' words are broadcast, documents' windows of each
+occurring length are looked up, and every hit is verified word by word. What is broadcast is bounded: the driver
+takes hashed items one after the other and closes a block at ``most`` windows (some 40 bytes each with the words); each block is
+scanned in turn, and the hits of a document are merged.
 
 Defined cases: null, empty and wordless texts have no words and no hits; a wordless or null
 item has no window; repeated item ids count once; an item without an id marks words but isn't
@@ -13,6 +13,8 @@ counted or named; repeated rows give a result each; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,8 @@ from . import kernels as K
 from .common import save, table
 
 WINDOW = 10
-MAX_BYTES = 16 << 20
+#: Windows of one broadcast.
+MOST = 1 << 20
 _HITS = "doc_id long, tkey long, n_words long, n_hit long, items array<long>, spans array<struct<a:int,b:int>>"
 
 
@@ -30,73 +33,120 @@ def _word_hashes(parts: list[bytes]):
     buf, starts = K.joined(parts)
     buf = K.LOWER[buf]
     a, b = K.words(buf, K.PLAIN)
-    doc = np.searchsorted(starts, a, side="right") - 1
-    return buf, a, b, doc, K.span(K.prefix(buf), a, b)
-
-
-def _rolled(h: np.ndarray, k: int) -> np.ndarray:
-    out = np.zeros(max(0, len(h) - k + 1), dtype=K.U)
-    for j in range(k):
-        out = K.mix(out ^ h[j : j + len(out)], j + 1)
-    return out
-
-
-def build_index(items: list[tuple[int | None, bytes]], window: int) -> dict:
-    """Windows by their number of words: {words: (sorted hashes, {hash: [(words, item ids)]})}."""
-    index: dict[int, dict[int, dict[bytes, set]]] = {}
-    for at in range(0, len(items), 1000):
-        part = items[at : at + 1000]
-        buf, a, b, doc, h = _word_hashes([t for _, t in part])
-        raw = buf.tobytes()
-        cut = np.searchsorted(doc, np.arange(len(part) + 1))
-        for i, (item, _) in enumerate(part):
-            n = int(cut[i + 1] - cut[i])
-            k = min(n, window)
-            if not k:
-                continue
-            rolled = _rolled(h[cut[i] : cut[i + 1]], k)
-            ws = [raw[x:y] for x, y in zip(a[cut[i] : cut[i + 1]].tolist(), b[cut[i] : cut[i + 1]].tolist())]
-            for j, v in enumerate(rolled.tolist()):
-                index.setdefault(k, {}).setdefault(v, {}).setdefault(b" ".join(ws[j : j + k]), set()).add(item)
-    return {k: (np.sort(np.fromiter(d, dtype=K.U, count=len(d))), d) for k, d in index.items()}
+    return buf, a, b, K.owners(starts, a), K.spans(buf, a, b)
+
+
+_ITEM = "item_id long, k int, hashes binary, starts binary, ends binary, words binary"
+
+
+def _hashed_items(window: int):
+    """(item_id, text) to the hashes of its windows, and where each starts and ends in its words joined by spaces."""
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column(0), K.texts(batch.column(1))
+            for i, j in K.pieces([len(t) for t in texts]):
+                buf, a, b, doc, h = _word_hashes(texts[i:j])
+                raw, cut, rows = buf.tobytes(), np.searchsorted(doc, np.arange(j - i + 1)), []
+                for d in range(j - i):
+                    x, y = cut[d], cut[d + 1]
+                    k = int(min(y - x, window))
+                    if not k:
+                        continue
+                    ends = np.cumsum(b[x:y] - a[x:y] + 1) - 1
+                    starts = np.append(0, ends[:-1] + 1)
+                    words = b" ".join([raw[p:q] for p, q in zip(a[x:y].tolist(), b[x:y].tolist())])
+                    rows.append((ids[i + d].as_py(), k, K.rolled(h[x:y], k).tobytes(), starts[: y - x - k + 1].tobytes(), ends[k - 1 :].tobytes(), words))
+                types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, types)], names=["item_id", "k", "hashes", "starts", "ends", "words"])
+
+    return run
+
+
+def build_index(items: list) -> dict:
+    """words: all items' words; by: for each window length (hashes, starts, ends, first, last), ascending by hash, a
+    row for each different window; the ids of the items that have it are ids[first:last], named[first:last] says which aren't null."""
+    words = b" ".join(r.words for r in items)
+    base = np.cumsum([0] + [len(r.words) + 1 for r in items])
+    index = {"words": words, "by": {}}
+    ids, named, at = [], [], 0
+    for k in sorted({r.k for r in items}):
+        own = [i for i, r in enumerate(items) if r.k == k]
+        h = np.concatenate([np.frombuffer(items[i].hashes, dtype=K.U) for i in own])
+        a, b = (np.concatenate([np.frombuffer(getattr(items[i], c), dtype=np.int64) + base[i] for i in own]) for c in ("starts", "ends"))
+        item = np.repeat(np.array([items[i].item_id or 0 for i in own], dtype=np.int64), [len(items[i].hashes) // 8 for i in own])
+        known = np.repeat(np.array([items[i].item_id is not None for i in own]), [len(items[i].hashes) // 8 for i in own])
+        order = np.argsort(h, kind="stable")
+        h, a, b, item, known = h[order], a[order], b[order], item[order], known[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = h[1:] != h[:-1]
+        for i in np.flatnonzero(~new).tolist():  # equal hashes: equal words but for a chance of 2^-64 a pair
+            new[i] = words[a[i] : b[i]] != words[a[i - 1] : b[i - 1]]
+        first = np.flatnonzero(new)
+        index["by"][k] = (h[first], a[first], b[first], at + first, at + np.append(first[1:], len(h)))
+        ids.append(item)
+        named.append(known)
+        at += len(h)
+    index["ids"] = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    index["named"] = np.concatenate(named) if named else np.zeros(0, bool)
+    return index
+
+
+def indexes(benchmark: DataFrame, window: int, most: int):
+    """Indexes of about ``most`` windows at most (but of one item at least), one after the other."""
+    held, n = [], 0
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    for r in items.mapInArrow(_hashed_items(window), _ITEM).toLocalIterator():
+        held.append(r)
+        n += len(r.hashes) // 8
+        if n >= most:
+            yield build_index(held)
+            held, n = [], 0
+    if held:
+        yield build_index(held)
 
 
 def _scan(shared):
     def run(batches):
         index = shared.value
+        words, ids, named = index["words"], index["ids"], index["named"]
         for batch in batches:
-            ids, tkeys, texts = batch.column(0), batch.column(1), K.texts(batch.column(2))
+            keys, tkeys, texts = batch.column(0), batch.column(1), K.texts(batch.column(2))
             for i, j in K.pieces([len(t) for t in texts]):
                 buf, a, b, doc, h = _word_hashes(texts[i:j])
                 raw = None
                 hit = np.zeros(len(a), dtype=bool)
                 items: dict[int, set] = {}
-                for k, (sorted_, known) in index.items():
-                    rolled = _rolled(h, k)
-                    if not len(rolled):
-                        continue
-                    at = np.minimum(np.searchsorted(sorted_, rolled), len(sorted_) - 1)
-                    for w in np.flatnonzero((sorted_[at] == rolled) & (doc[: len(rolled)] == doc[k - 1 :])).tolist():
-                        raw = raw or buf.tobytes()
-                        own = b" ".join([raw[x:y] for x, y in zip(a[w : w + k].tolist(), b[w : w + k].tolist())])
-                        found = known[int(rolled[w])].get(own)
-                        if found is not None:
-                            hit[w : w + k] = True
-                            items.setdefault(int(doc[w]), set()).update(found)
+                for k, (sorted_, starts, ends, first, last) in index["by"].items():
+                    rolled = K.rolled(h, k)
+                    for x in range(0, len(rolled), K.LOW):
+                        part = rolled[x : x + K.LOW]
+                        at = np.minimum(np.searchsorted(sorted_, part), len(sorted_) - 1)
+                        for w in np.flatnonzero((sorted_[at] == part) & (doc[x : x + len(part)] == doc[x + k - 1 : x + k - 1 + len(part)])).tolist():
+                            raw = raw or buf.tobytes()
+                            g, w = int(at[w]), x + w
+                            own = b" ".join([raw[p:q] for p, q in zip(a[w : w + k].tolist(), b[w : w + k].tolist())])
+                            while g < len(sorted_) and sorted_[g] == rolled[w]:
+                                if words[starts[g] : ends[g]] == own:
+                                    hit[w : w + k] = True
+                                    their = slice(first[g], last[g])
+                                    items.setdefault(int(doc[w]), set()).update(ids[their][named[their]].tolist())
+                                    break
+                                g += 1
                 n = np.bincount(doc, minlength=j - i)
                 n_hit = np.bincount(doc[hit], minlength=j - i)
-                first = np.concatenate([[0], np.cumsum(n)])
+                cut = np.concatenate([[0], np.cumsum(n)])
                 spans = []
                 for d in range(j - i):
                     if not n_hit[d]:
                         spans.append([])
                         continue
-                    edge = np.diff(hit[first[d] : first[d + 1]].astype(np.int8), prepend=0, append=0)
+                    edge = np.diff(hit[cut[d] : cut[d + 1]].astype(np.int8), prepend=0, append=0)
                     spans.append([{"a": x, "b": y} for x, y in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())])
-                own = [sorted(x for x in items.get(d, ()) if x is not None) for d in range(j - i)]
+                own = [sorted(items.get(d, ())) for d in range(j - i)]
                 yield pa.record_batch(
                     [
-                        ids.slice(i, j - i), tkeys.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(n_hit.astype(np.int64)),
+                        keys.slice(i, j - i), tkeys.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(n_hit.astype(np.int64)),
                         pa.array(own, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
                     ],
                     names=["doc_id", "tkey", "n_words", "n_hit", "items", "spans"],
@@ -105,25 +155,23 @@ def _scan(shared):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = MOST) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, tkey (hash of the text), n_words, n_hit,
     items (ids with occurring windows) and spans (maximal runs of hit words, [a, b))."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tkey"), F.col("text").cast("string").alias("text"))
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = bench.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = -(-size // max_bytes) or 1
-    if n > 1:
-        n *= 2  # hashed blocks are uneven
-    found = []
-    for block in range(n):
-        part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block) if n > 1 else bench
-        items = [(r.item_id, (r.text or "").encode()) for r in part.distinct().toLocalIterator()]
-        index = spark.sparkContext.broadcast(build_index(items, window))
-        found.append(d.mapInArrow(_scan(index), _HITS))
-    if n == 1:
-        return found[0]
-    hits = [save(x.where("n_hit > 0").select("doc_id", "tkey", "items", "spans").distinct(), "hits") for x in found]
+    blocks = indexes(benchmark, window, most)
+    one, two = next(blocks, build_index([])), next(blocks, None)
+    base = d.mapInArrow(_scan(spark.sparkContext.broadcast(one)), _HITS)
+    if two is None:
+        return base
+    base, hits = save(base, "hits"), []
+    hits.append(base)
+    for index in itertools.chain([two], blocks):
+        shared = spark.sparkContext.broadcast(index)
+        hits.append(save(d.mapInArrow(_scan(shared), _HITS).where("n_hit > 0"), "hits"))
+        shared.destroy()
+    hits = [x.where("n_hit > 0").select("doc_id", "tkey", "items", "spans").distinct() for x in hits]
     merged = hits[0]
     for x in hits[1:]:
         merged = merged.unionByName(x)
@@ -139,7 +187,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     merged = merged.withColumn("spans", F.aggregate("spans", F.array().cast(span), add))
     m = merged.select(F.col("doc_id").alias("i"), F.col("tkey").alias("k"), F.col("items").alias("its"), F.col("spans").alias("sps"))
-    base = found[0].select("doc_id", "tkey", "n_words")
+    base = base.select("doc_id", "tkey", "n_words")
     return base.join(m, base["doc_id"].eqNullSafe(m["i"]) & (base["tkey"] == m["k"]), "left").select(
         "doc_id", "tkey", "n_words",
         F.coalesce(F.aggregate("sps", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"]), F.lit(0).cast("long")).alias("n_hit"),
@@ -174,19 +222,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = MOST) -> DataFrame:
     """The rows of docs in which no benchmark window occurs, with all their columns."""
     spark = docs.sparkSession
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = bench.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = -(-size // max_bytes) or 1
-    if n > 1:
-        n *= 2
-    for block in range(n):
-        part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block) if n > 1 else bench
-        items = [(r.item_id, (r.text or "").encode()) for r in part.distinct().toLocalIterator()]
-        docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(build_index(items, window))), docs.schema)
-    return docs
+    blocks = indexes(benchmark, window, most)
+    one, two = next(blocks, build_index([])), next(blocks, None)
+    clean = docs.mapInArrow(_clean(spark.sparkContext.broadcast(one)), docs.schema)
+    for index in itertools.chain([two], blocks) if two else ():
+        clean = save(clean, "clean").mapInArrow(_clean(spark.sparkContext.broadcast(index)), docs.schema)
+    return clean
 
 
 OP4_SQL = r"""

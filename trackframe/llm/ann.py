@@ -8,30 +8,38 @@ through look-up tables, all vectors of the best ``rerank`` different codes of a
 exactly in double precision on the originals, and the best of all blocks stay. Copies of a vector
 are one place of that list, however many they are.
 
-Queries and vectors form a grid of cells of bounded size: vectors are dealt to blocks by a hash of
-their id, so equal vectors spread. What is collected is the sample (SAMPLE vectors about) only.
+Vectors are dealt once to blocks of a size that only their number and length set, by a hash of their id, so equal vectors
+spread and the rows found don't depend on partitions; a block is a row of arrays. Queries are dealt to blocks of
+QUERIES too, and each is broadcast in turn (some MB) to a pass over the blocks of codes: no vector moves again. What is collected
+is the sample (SAMPLE vectors about), and one block of queries at a time.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or have another
 length than most take no part, nor do rows without an id; a query's own id is no candidate; of
-repeated rows each candidate row counts; ties go to the smaller id; with no valid
+repeated rows each candidate row counts, but a query asks once (rows of one id with different
+vectors share its places); ties go to the smaller id; with no valid
 vectors the result is empty; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save, shuffle_width, table
+from .common import save, table
 
 SAMPLE = 8192
 CENTRES = 16
 THRESHOLD = 0.2
 RERANK = 200
-BLOCK, QUERIES = 16384, 4096
+#: Vectors of a block (fewer if its vectors had over BLOCK_BYTES), and queries of one.
+BLOCK, BLOCK_BYTES, QUERIES = 16384, 16 << 20, 4096
+#: Query blocks whose results are written together.
+TOGETHER = 16
 
 
 def eta(dim: int, threshold: float = THRESHOLD) -> float:
@@ -131,17 +139,26 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _coded(shared):
-    def run(batches):
-        for batch in batches:
-            for at in range(0, len(batch), 4096):
-                part = batch.slice(at, 4096)
-                codes = packed(shared.value.encode(_matrix(part.column("v"))))
-                yield part.append_column("codes", pa.array([c.tobytes() for c in codes], pa.binary()))
+_PACKED = "block long, ids binary, vectors binary, codes binary"
+
+
+def _packed(shared):
+    """One block's rows (block, id, v) to a row of arrays, with the codes if there is a quantiser."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id").combine_chunks()
+        x = _matrix(t.column("v").chunk(0)) + 0.0  # no -0.0
+        codes = b"" if shared is None else np.concatenate([packed(shared.value.encode(x[i : i + 4096])) for i in range(0, len(x), 4096)]).tobytes()
+        return pa.table({"block": t.column("block").slice(0, 1), "ids": [t.column("id").to_numpy().tobytes()], "vectors": [x.tobytes()], "codes": [codes]})
 
     return run
 
 
+def _in_blocks(v: DataFrame, n: int, shared, name: str) -> DataFrame:
+    block = F.pmod(F.xxhash64("id"), F.lit(max(1, n)))
+    return save(v.select(block.alias("block"), "id", "v").groupBy("block").applyInArrow(_packed(shared), _PACKED), name)
+
+
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -162,58 +179,82 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(starts, append=len(x))
 
 
-def _cell(shared, k: int, rerank: int):
-    def run(t: pa.Table) -> pa.Table:
-        q, d = t.filter(pc.field("is_query")), t.filter(~pc.field("is_query"))
-        if not len(q) or not len(d):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        qi, di = q.column("id").to_numpy(), d.column("id").to_numpy()
-        qv, dv = _matrix(q.column("v").combine_chunks()), _matrix(d.column("v").combine_chunks()) + 0.0  # no -0.0
-        keys = d.column("codes").to_pylist()
-        code, vec = _numbers(keys), _numbers([c + x.tobytes() for c, x in zip(keys, dv)])
-        order = np.lexsort((di, vec, code))
-        di, code, vec = di[order], code[order], vec[order]
-        # copies are one vector, and vectors of one code are scored once: codes hold vectors, vectors hold rows
-        v_at, v_rows = _runs(vec)
-        c_at, c_vecs = _runs(code[v_at])
-        distinct = dv[order[v_at]]
-        codes = np.frombuffer(b"".join(keys[order[i]] for i in v_at[c_at]), dtype=np.uint8).reshape(len(c_at), -1).T.copy()
-        v_of, c_of = np.repeat(np.arange(len(v_at)), v_rows), np.repeat(np.arange(len(c_at)), c_vecs)
-        # so many rows of a vector hold k besides those of any one id
-        same = np.flatnonzero(np.concatenate([[True], (v_of[1:] != v_of[:-1]) | (di[1:] != di[:-1])]))
-        v_most = np.minimum(v_rows, k + np.diff(same, append=len(di)).max())
-        n = min(rerank, len(c_at))
-        out = []
-        for at in range(0, len(qi), 64):
-            tables = shared.value.tables(qv[at : at + 64])
-            s = np.zeros((len(tables), len(c_at)), dtype=np.float32)
-            for j in range(len(codes)):
-                s += np.take(tables[:, j], codes[j], axis=1)
-            own = []  # vectors that only the query itself has
-            for row in range(len(s)):
-                mine, rows = np.unique(v_of[di == qi[at + row]], return_counts=True)
-                mine = mine[rows == v_rows[mine]]
-                own.append(mine)
-                if len(mine):
-                    held, vecs = np.unique(c_of[mine], return_counts=True)
-                    s[row, held[vecs == c_vecs[held]]] = -np.inf
-            border = np.partition(s, len(c_at) - n, axis=1)[:, len(c_at) - n]
-            for row in range(len(s)):
-                near = np.flatnonzero((s[row] >= border[row]) & (s[row] > -np.inf))
-                places = _ranges(c_at[near], c_vecs[near])
-                if len(own[row]):
-                    places = places[~np.isin(places, own[row])]
-                exact = distinct[places] @ qv[at + row]
-                if len(exact) > k:
-                    good = exact >= np.partition(exact, len(exact) - k)[len(exact) - k]
-                    places, exact = places[good], exact[good]
-                rows, score = _ranges(v_at[places], v_most[places]), np.repeat(exact, v_most[places])
-                ids = di[rows]
-                ids, score = ids[ids != qi[at + row]], score[ids != qi[at + row]]
-                best = np.lexsort((ids, -score))[:k]
-                out.append((np.full(len(best), qi[at + row]), ids[best], score[best]))
-        a, b, c = (np.concatenate(x) for x in zip(*out))
-        return pa.table({"query_id": a, "vec_id": b, "score": c})
+def _nearest(quantiser: Quantiser, qi, qv, di, dv, codes, k: int, rerank: int):
+    """For each query the best k rows of one block: (query ids, row ids, scores)."""
+    keys = [c.tobytes() for c in codes]
+    code, vec = _numbers(keys), _numbers([c + x.tobytes() for c, x in zip(keys, dv)])
+    order = np.lexsort((di, vec, code))
+    di, code, vec = di[order], code[order], vec[order]
+    # copies are one vector, and vectors of one code are scored once: codes hold vectors, vectors hold rows
+    v_at, v_rows = _runs(vec)
+    c_at, c_vecs = _runs(code[v_at])
+    distinct = dv[order[v_at]]
+    codes = codes[order[v_at[c_at]]].T.copy()
+    v_of, c_of = np.repeat(np.arange(len(v_at)), v_rows), np.repeat(np.arange(len(c_at)), c_vecs)
+    # so many rows of a vector hold k besides those of any one id
+    same = np.flatnonzero(np.concatenate([[True], (v_of[1:] != v_of[:-1]) | (di[1:] != di[:-1])]))
+    v_most = np.minimum(v_rows, k + np.diff(same, append=len(di)).max())
+    by_id = np.argsort(di, kind="stable")
+    n = min(rerank, len(c_at))
+    out = []
+    for at in range(0, len(qi), 64):
+        tables = quantiser.tables(qv[at : at + 64])
+        s = np.zeros((len(tables), len(c_at)), dtype=np.float32)
+        for j in range(len(codes)):
+            s += np.take(tables[:, j], codes[j], axis=1)
+        own = []  # vectors that only the query itself has
+        for row in range(len(s)):
+            lo, hi = np.searchsorted(di, qi[at + row], sorter=by_id), np.searchsorted(di, qi[at + row], side="right", sorter=by_id)
+            mine, rows = np.unique(v_of[by_id[lo:hi]], return_counts=True)
+            mine = mine[rows == v_rows[mine]]
+            own.append(mine)
+            if len(mine):
+                held, vecs = np.unique(c_of[mine], return_counts=True)
+                s[row, held[vecs == c_vecs[held]]] = -np.inf
+        border = np.partition(s, len(c_at) - n, axis=1)[:, len(c_at) - n]
+        for row in range(len(s)):
+            near = np.flatnonzero((s[row] >= border[row]) & (s[row] > -np.inf))
+            places = _ranges(c_at[near], c_vecs[near])
+            if len(own[row]):
+                places = places[~np.isin(places, own[row])]
+            exact = distinct[places] @ qv[at + row]
+            if len(exact) > k:
+                good = exact >= np.partition(exact, len(exact) - k)[len(exact) - k]
+                places, exact = places[good], exact[good]
+            rows, score = _ranges(v_at[places], v_most[places]), np.repeat(exact, v_most[places])
+            ids = di[rows]
+            ids, score = ids[ids != qi[at + row]], score[ids != qi[at + row]]
+            best = np.lexsort((ids, -score))[:k]
+            out.append((np.full(len(best), qi[at + row]), ids[best], score[best]))
+    return [np.concatenate(x) for x in zip(*out)]
+
+
+def _best(q, ids, score, k: int):
+    order = np.lexsort((ids, -score, q))
+    q, ids, score = q[order], ids[order], score[order]
+    first = np.flatnonzero(np.diff(q, prepend=q[:1] - 1))
+    keep = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q))) < k
+    return q[keep], ids[keep], score[keep]
+
+
+def _scanned(shared, asked, k: int, rerank: int):
+    """Blocks to the best k rows of a task's blocks for each query."""
+
+    def run(batches):
+        qi, qv = asked.value
+        found, size = [], 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                di = np.frombuffer(r["ids"], dtype=np.int64)
+                dv, codes = np.frombuffer(r["vectors"]).reshape(len(di), -1), np.frombuffer(r["codes"], dtype=np.uint8).reshape(len(di), -1)
+                found.append(_nearest(shared.value, qi, qv, di, dv, codes, k, rerank))
+                size += len(found[-1][0])
+                if size > 4 * k * len(qi):
+                    found = [_best(*(np.concatenate(x) for x in zip(*found)), k)]
+                    size = len(found[0][0])
+        if found:
+            q, ids, score = _best(*(np.concatenate(x) for x in zip(*found)), k)
+            yield pa.record_batch([pa.array(q), pa.array(ids), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -223,23 +264,31 @@ def search(vectors: DataFrame, queries, k: int = 20, rerank: int = RERANK, sampl
     embedding) for which ``queries`` (a condition on the column id) holds."""
     spark = vectors.sparkSession
     v = valid(vectors)
-    n, nq = v.agg(F.count("*"), F.count_if(queries)).first()
+    n, nq, dim = v.agg(F.count("*"), F.count_if(queries), F.max(F.size("v"))).first()
+    if not nq:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     share = min(1.0, sample / max(n, 1))
-    drawn = v.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v")
-    drawn = np.array([r.v for r in drawn.limit(2 * sample).collect()], dtype=np.float64)
+    drawn = v.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    drawn = np.array([r.v for r in drawn.orderBy("id", "v").limit(2 * sample).collect()], dtype=np.float64)  # in order: the fit is the same for any partitions
     if not len(drawn):
-        drawn = np.array([r.v for r in v.limit(1).collect()], dtype=np.float64)
-    if not len(drawn) or not nq:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        drawn = np.array([r.v for r in v.orderBy("id", "v").limit(1).collect()], dtype=np.float64)
     shared = spark.sparkContext.broadcast(fit(drawn))
-    coded = save(v.mapInArrow(_coded(shared), "id long, v array<double>, codes binary"), "codes")
-    gd = max(-(-n // BLOCK), shuffle_width(spark) // 4)
-    gq = -(-nq // QUERIES)
-    none = F.sequence(F.lit(0), F.lit(gq - 1))
-    data = coded.select(F.explode(none).alias("q"), F.pmod(F.xxhash64("id"), F.lit(gd)).cast("int").alias("d"), "id", "v", "codes", F.lit(False).alias("is_query"))
-    asked = coded.where(queries).select(F.pmod(F.hash("id"), F.lit(gq)).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(gd - 1))).alias("d"), "id", "v", F.lit(None).cast("binary").alias("codes"), F.lit(True).alias("is_query"))
-    found = data.unionByName(asked).groupBy("q", "d").applyInArrow(_cell(shared, k, rerank), _FOUND)
+    data = _in_blocks(v, -(-n // max(1, min(BLOCK, BLOCK_BYTES // (8 * dim)))), shared, "vectors")
+    blocks = _in_blocks(v.where(queries).distinct(), -(-nq // QUERIES), None, "queries").toLocalIterator()
+    found = []
+    while True:
+        held = []
+        for r in itertools.islice(blocks, TOGETHER):
+            ids = np.frombuffer(r.ids, dtype=np.int64)
+            asked = spark.sparkContext.broadcast((ids, np.frombuffer(r.vectors).reshape(len(ids), -1)))
+            held.append(data.mapInArrow(_scanned(shared, asked, k, rerank), _FOUND))
+        if not held:
+            break
+        found.append(functools.reduce(DataFrame.unionByName, held))
+        if len(held) == TOGETHER:
+            found[-1] = save(found[-1], "found")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = functools.reduce(DataFrame.unionByName, found)
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,14 +18,17 @@ LEADERS_PER_ROUND = 64
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    It is the one named in ``spark.checkpoint.dir``; only where that is unset (a local
-    session, as in tests) a temporary folder of this machine is made and set.
+    It is the one named in ``spark.checkpoint.dir``; only where that is unset in a local
+    session, as in tests, a temporary folder of this machine is made and set. On a cluster that is an error: its
+    machines would not share the folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not re.match(r"local(\[(?!.*,.*,)|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="trackframe-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -40,7 +44,15 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    done = spark.read.schema(df.schema).parquet(path)
+    done.saved_at = path
+    return done
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table of save() that nothing reads again (the rounds of a loop, once the next one is written)."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def save_seen(df: DataFrame, name: str, *sums) -> tuple[DataFrame, list]:
@@ -74,24 +86,34 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has long columns a and b, a <> b. Returns (id, comp) for every node that has
     an edge; comp is the smallest id of the component. All state stays distributed; each
     round is written to the shared folder, so a lost executor costs one round at most.
+
+    The edges of a node never gather: minima are taken in the map tasks first, and the table of minima is broadcast where it
+    is small; beyond that the join of edges and minima has one row a node on one side, so Spark can split a node with many edges.
+    Edges with a null are no edges.
     """
     sums = F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     e, seen = save_seen(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", *sums
     )
+
+    def small_side(least):  # at most a row for each end of an edge
+        return F.broadcast(least) if seen[0] <= BROADCAST_IDS else least
+
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(small_side(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(least, "u")
+            large.join(small_side(least), "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
             .distinct()
         )
+        before = e
         e, now = save_seen(small, "edges", *sums)
+        forget(before)
         if now == seen:
             break
         seen = now

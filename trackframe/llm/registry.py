@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, html_text, lines, minhash, mixing, quality, substrings, tokens, warc
+from . import ann, decontaminate, html_text, lines, minhash, mixing, quality, runs, substrings, tokens, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_html_extraction": html_text.op9_html_extraction,
         "op10_token_counts": tokens.op10_token_counts,
+        "op11_periodic_runs": runs.op11_periodic_runs,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_suffix_array_dedup": substrings.OP3_SQL,
         "op4_decontamination": decontaminate.OP4_SQL,
         "op8_mixing": mixing.OP8_SQL,
+        "op11_periodic_runs": runs.OP11_SQL,
     }

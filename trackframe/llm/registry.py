@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, html_text, lines, minhash, mixing, quality, runs, substrings, tokens, warc
+from . import ann, decontaminate, html_text, lines, minhash, mixing, quality, runs, simhash, substrings, tokens, vector_codes, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_html_extraction": html_text.op9_html_extraction,
         "op10_token_counts": tokens.op10_token_counts,
         "op11_periodic_runs": runs.op11_periodic_runs,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_simhash": simhash.op13_simhash,
     }
 
 
@@ -29,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": decontaminate.OP4_SQL,
         "op8_mixing": mixing.OP8_SQL,
         "op11_periodic_runs": runs.OP11_SQL,
+        "op12_vector_codes": vector_codes.OP12_SQL,
     }

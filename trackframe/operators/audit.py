@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from . import trees
+
 
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their number of rows."""
@@ -146,17 +148,10 @@ def membership_digest(df: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     return df.groupBy(*by).agg(F.sha2(F.unhex(F.array_join(part, "")), 256).alias("digest"), F.count("*").alias("n"))
 
 
-def stream_digest(df: DataFrame, order: Sequence[str], row, width: int = 64) -> DataFrame:
-    """A digest of all rows in a global order: SHA-256 over the digests of range partitions in order.
-
-    Fixed by the rows and ``width`` cuts of their hash order, not by executors: rows are dealt to
-    width ordered buckets by the leading order column's percentiles being computed exactly."""
-    key = order[0]
-    cuts = df.agg(F.percentile(F.col(key).cast("double"), F.array(*[F.lit(i / width) for i in range(1, width)])).alias("c"))
-    bucket = F.size(F.filter("c", lambda c: c < F.col(key).cast("double")))
-    per = group_digest(df.join(F.broadcast(cuts)).withColumn("__b", bucket).withColumn("__o", F.struct(*order)), ["__b"], "__o", row)
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("__b", "digest"))), lambda x: x["digest"])
-    return per.agg(F.sha2(F.concat_ws("\n", parts), 256).alias("digest"), F.sum("n").alias("n"))
+def stream_digest(df: DataFrame, order: Sequence[str], row, fan_out: int = trees.FAN_OUT) -> DataFrame:
+    """digest and n of all rows in their order: the root of their hash tree, fixed by the rows, their order and the fan-out alone."""
+    placed = trees.ordinals(df.withColumn("__row", row), order, "__ordinal")
+    return trees.root(trees.tree(placed, "__ordinal", F.col("__row"), fan_out)).select("digest", "n")
 
 
 def hash_chain(df: DataFrame, by: Sequence[str], order: str, payload: str) -> DataFrame:

@@ -645,4 +645,4 @@ for _name in ("origin_grid", "first_uncovered", "team_minimum", "causal_prefix",
     QUERIES[_name + "_whole"], ORACLES[_name + "_whole"] = QUERIES[_name], ORACLES[_name]
 
 
-from . import integrity, scores  # noqa: E402, F401  (they register more)
+from . import integrity, scans, scores  # noqa: E402, F401  (they register more)

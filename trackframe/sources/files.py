@@ -9,6 +9,7 @@ from ..functions.scalar import closed_keys, document_digest
 from ..operators.audit import normal_form
 from ..operators.constraints import reconciled
 from ..operators.digests import record_stream
+from . import streams
 
 FRAME_DDL = (
     "frame bigint, timestamp string, period int, ball_data struct<x:double,y:double,z:double,is_detected:boolean>, "
@@ -38,21 +39,33 @@ def read_tracking(spark: SparkSession, path: str, max_length: int = 1 << 20) ->
     frame's keys, without NaN and infinities (keys), has equal keys in an inner object (json), or holds a value of another type, or
     an inner object with other keys (type).
 
-    Row order is not kept by a DataFrame: ``frame_order`` checks need a column of the data or a line number."""
-    lines = spark.read.text(path).withColumn("file", F.col("_metadata.file_path"))
+    Row order is not kept by a DataFrame: ``frame_order`` checks need read_tracking_ordered()."""
+    return _frames(spark.read.text(path).withColumn("file", F.col("_metadata.file_path")), max_length, ["file"])
+
+
+def read_tracking_ordered(spark: SparkSession, path: str, max_length: int = 1 << 20, block: int = streams.BLOCK) -> tuple[DataFrame, DataFrame]:
+    """read_tracking() with each line's place in its file: ordinal (from 0, rejects counted) and offset (of its first byte), however the file is cut
+    into blocks. Order checks run on the ordinal; a line that is too long isn't held."""
+    lines = streams.lines(spark, streams.streams(path), block, max_length).withColumnRenamed("stream", "file")
+    long = F.col("value").isNull()
+    text = F.when(F.is_valid_utf8("value"), F.col("value").cast("string"))
+    return _frames(lines.withColumn("value", F.coalesce(text, F.lit("?"))), max_length, ["file", "ordinal", "offset"], long)
+
+
+def _frames(lines: DataFrame, max_length: int, keep: list[str], long=None) -> tuple[DataFrame, DataFrame]:
     lines = lines.withColumn("v", F.try_parse_json("value"))
     typed = F.lit(True)
     for name, pattern in FRAME_TYPES.items():
         typed &= F.coalesce(F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant")).rlike(f"^({pattern})$"), F.lit(False))
     problem = (
         F.when(F.trim("value") == "", "blank")
-        .when(F.length("value") > max_length, "too_long")
+        .when((F.length("value") > max_length) if long is None else long | (F.length("value") > max_length), "too_long")
         .when(~closed_keys("value", FRAME_KEYS), "keys")
         .when(F.col("v").isNull(), "json")
         .when(~typed, "type")
     )
     parsed = lines.withColumn("problem", problem).withColumn("r", F.from_json("value", FRAME_DDL))
-    return parsed.where("problem is null").select("file", "r.*"), parsed.where("problem is not null").select("file", "value", "problem")
+    return parsed.where("problem is null").select(*keep, "r.*"), parsed.where("problem is not null").select(*keep, "value", "problem")
 
 
 def identity(spark: SparkSession, path: str) -> tuple[int, int]:

@@ -1,5 +1,7 @@
 """One text of 50 MB: the work in a task takes memory in proportion to the words it must keep, not to tables as long as the text."""
 
+import random
+import re
 import tracemalloc
 from types import SimpleNamespace
 
@@ -7,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from trackframe.llm import decontaminate, lines, minhash, quality, substrings
+from trackframe.llm import decontaminate, lines, minhash, quality, substrings, tokens
 
 SIZE = 50_000_000
 
@@ -70,3 +72,20 @@ def test_segments(text):
     blob = substrings._pack(np.array([1]), np.array([False]), np.array([len(text)], dtype=np.int64), np.frombuffer(text, dtype=np.uint8))
     runs, times = peak(lambda: substrings.Runs(blob, 50))
     assert len(runs.fp) > 1_000_000 and times < 12
+
+
+@pytest.mark.parametrize("text", [" " * 50_000_000, "\n" * 50_000_000 + "x", "a" * 20_000_000], ids=["spaces", "line feeds", "letters"])
+def test_tokens_of_one_long_run(text):
+    ids = tokens.encoded(tokens.encoder(tokens.RANKS), text)
+    n = sum(len(x) for x in (tokens.encoder(tokens.RANKS).decode_bytes(ids[i : i + 100_000].tolist()) for i in range(0, len(ids), 100_000)))
+    assert n == len(text)
+
+
+def test_tokens_are_the_encoders(monkeypatch):
+    e, r = tokens.encoder(tokens.RANKS), random.Random(1)
+    for text in (" " * 900_000, " \n" * 400_000 + "x", "ab" + "\n" * 40_000 + " c" + "\t" * 40_000):
+        assert tokens.encoded(e, text).tolist() == e.encode_ordinary(text)
+    monkeypatch.setattr(tokens, "_LONG_RUN", re.compile(tokens._LONG_RUN.pattern.replace("{%d,}" % tokens.LONG, "{5,}")))
+    for _ in range(2000):
+        text = "".join(r.choice([" " * r.randint(1, 12), "\n" * r.randint(1, 9), "ab", "'s", "7", "!?", "　", "\x1c", "é", ".\n"]) for _ in range(r.randint(0, 9)))
+        assert tokens.encoded(e, text).tolist() == e.encode_ordinary(text)

@@ -8,7 +8,7 @@ number of separators, ids carried since the last one) stitches documents across
 
 Defined cases: null and empty texts have 0 tokens; repeated rows give a row each; documents
 without an id keep a null id; an empty table gives no file; ids after a file's last separator are a
-last document; extra columns are ignored. A task names its file by its attempt, and only files in
+last document; extra columns are ignored; a run of white space or of one letter may be as long as a text. A task names its file by its attempt, and only files in
 the committed order table count.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,27 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: A run of white space (as the pattern's \\s takes it) too long for the pattern's matcher, which recurses along it.
+LONG = 1 << 15
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG)
+
+
+def encoded(tokens, text: str) -> np.ndarray:
+    """The ids of a text, as encode_ordinary gives them.
+
+    A long run of white space is one piece of the pattern but for its last character, which begins what follows it; such pieces are
+    given to the encoder by themselves, and the matcher sees the text between them only."""
+    out, at = [], 0
+    for m in _LONG_RUN.finditer(text):
+        a, b = m.span()
+        b -= b < len(text)
+        out.append(np.asarray(tokens.encode_ordinary(text[at:a]), dtype="<u2"))
+        out.append(np.asarray(tokens._encode_single_piece(text[a:b]), dtype="<u2"))
+        at = b
+    out.append(np.asarray(tokens.encode_ordinary(text[at:]), dtype="<u2"))
+    return np.concatenate(out) if len(out) > 1 else out[0]
+
+
 def _store(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
 
@@ -61,9 +83,10 @@ def _writer(folder: str, ranks: str, eod: int):
                 out = store.open_output_stream(name, compression=None)
             size = 0
             for text in batch.column("text"):
-                ids = np.asarray([*tokens.encode_ordinary(text.as_py() or ""), eod], dtype="<u2")
+                ids = encoded(tokens, text.as_py() or "")
                 out.write(ids.tobytes())
-                size += len(ids)
+                out.write(np.array([eod], dtype="<u2").tobytes())
+                size += len(ids) + 1
             n = len(batch)
             yield pa.record_batch(
                 [pa.array([name] * n), pa.array(np.arange(ordinal, ordinal + n)), batch.column("doc_id"), pa.array([size] + [0] * (n - 1), pa.int64())], names=["file", "ordinal", "doc_id", "ids"]

@@ -8,11 +8,10 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Leaders taken from one candidate bucket in a round of the exact link search.
-LEADERS_PER_ROUND = 64
+from .pairs import Sets, linked
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -141,89 +140,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 BROADCAST_IDS = 200_000
 #: Clusters of candidates up to these sizes are solved in one task's memory.
 CLUSTER, CLUSTER_VALUES = 16384, 4_000_000
-#: Values of pairs compared at once.
-COMPARED = 1 << 20
-
-
-def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Joins the components of a[i] and b[i]; label[i] is the smallest member's place."""
-    while len(a):
-        x, y = label[a], label[b]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label[:] = up
-        open_ = label[a] != label[b]
-        a, b = a[open_], b[open_]
-
-
-def _alike(values: np.ndarray, at: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which pairs (a, b) of sets have den * |both| >= num * |either|; set i is size[i] different values from at[i] on."""
-    fit = den * np.minimum(size[a], size[b]) >= num * np.maximum(size[a], size[b])
-    out = np.zeros(len(a), dtype=bool)
-    todo = np.flatnonzero(fit)
-    ends = np.cumsum(size[a[todo]] + size[b[todo]])
-    i = 0
-    while i < len(todo):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + COMPARED, side="right")))
-        pick = todo[i:j]
-        sets, own = np.concatenate([a[pick], b[pick]]), np.tile(np.arange(len(pick)), 2)
-        n = size[sets]
-        place = np.arange(n.sum()) + np.repeat(at[sets] - np.cumsum(n) + n, n)
-        # values are numbers below 2^31, pairs below 2^32
-        x = np.sort((np.repeat(own, n) << 31) | values[place])
-        both = np.bincount(x[1:][x[1:] == x[:-1]] >> 31, minlength=len(pick))
-        out[pick] = den * both >= num * (size[a[pick]] + size[b[pick]] - both)
-        i = j
-    return out
-
-
-def linked(sets: list[np.ndarray], node: np.ndarray, key: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Labels of the components of the verified links between sets that share a bucket; (node[i], key[i])
-    says that a set is in a bucket. The label is the component's first place.
-
-    In a round each bucket's first set is compared with the bucket's sets of other components and
-    then leaves it, until a bucket holds one component or one set. Later rounds take more of a bucket's sets at
-    once. No link that could join two components is lost, and a bucket of n copies costs n comparisons."""
-    size = np.fromiter((len(x) for x in sets), dtype=np.int64, count=len(sets))
-    values = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int64) if len(sets) else np.zeros(0, np.int64)
-    at = np.cumsum(size) - size
-    label = np.arange(len(sets))
-    order = np.lexsort((node, key))
-    node, key = node[order], np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
-    seen = np.zeros(0, dtype=np.int64)
-    leaders = 1
-    while len(node):
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        n = np.diff(first, append=len(key))
-        # buckets of one component are done
-        low, high = np.minimum.reduceat(label[node], first), np.maximum.reduceat(label[node], first)
-        keep = np.repeat(low != high, n)
-        node, key = node[keep], key[keep]
-        if not len(node):
-            break
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        n = np.diff(first, append=len(key))
-        rank = np.arange(len(node)) - np.repeat(first, n)
-        pairs = []
-        for r in range(leaders):
-            lead = np.repeat(node[np.minimum(first + r, first + n - 1)], n)
-            other = (rank > r) & (label[lead] != label[node])
-            pairs.append(np.minimum(lead, node)[other] * len(sets) + np.maximum(lead, node)[other])
-        pairs = np.unique(np.concatenate(pairs))
-        pairs = pairs[~np.isin(pairs, seen, assume_unique=True)]
-        seen = np.concatenate([seen, pairs])
-        a, b = pairs // len(sets), pairs % len(sets)
-        good = _alike(values, at, size, a, b, num, den)
-        _merge(label, a[good], b[good])
-        stay = rank >= leaders
-        node, key = node[stay], key[stay]
-        leaders = min(2 * leaders, 16)
-    return label
-
-
+#: Values of a block of sets; a task holds two blocks.
+BLOCK_VALUES = 2_000_000
 def arrays(lists: pa.Array) -> list[np.ndarray]:
     flat, cut = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
     return [flat[a:b] for a, b in zip(cut[:-1], cut[1:])]
@@ -280,14 +198,15 @@ def link_components(members: DataFrame, sets: DataFrame, num: int, den: int, ban
     those into their bucket keys (sets x bands), the keys of members.
 
     Buckets that overlap form clusters of candidates. A cluster of bounded size goes to one
-    task, which compares members of shared buckets on their full sets (each shipped once). Larger clusters,
-    such as one of a third of all rows, are solved by links_by_rounds over all executors.
+    task, which compares its members on their full sets (each shipped once). Larger clusters,
+    such as one of a third of all rows, are solved by links_by_blocks over all executors.
     Returns (id, comp) for ids with a link; comp is the smallest id linked. A null key or id is in no bucket.
     """
     spark = members.sparkSession
     lead = members.groupBy("key").agg(F.min("id").alias("leader"))
     cluster = components(members.join(lead, "key").select(F.col("leader").alias("a"), F.col("id").alias("b")))
     cluster, (n_ids,) = save_seen(cluster.select("id", F.col("comp").alias("cluster")), "clusters", F.count(F.lit(1)))
+    every = cluster
     known = F.broadcast(cluster) if n_ids <= BROADCAST_IDS else cluster  # else both sides are shuffled
     sizes = sets.select("id", "n").join(known, "id").groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("v"))
     sizes, (n_large, values) = save_seen(
@@ -305,56 +224,57 @@ def link_components(members: DataFrame, sets: DataFrame, num: int, den: int, ban
         return found
     wide = sets.join(ids, "id", "left_semi").select("id", "s").dropDuplicates(["id"])
     wide = wide.mapInArrow(_as_arrays(unpack), "id long, s array<long>") if unpack is not arrays else wide
-    wide = save(wide, "wide")
-    return found.unionByName(links_by_rounds(save(members.join(ids, "id", "left_semi").select("key", "id"), "wide-members"), wide, num, den))
+    wide = save(wide.join(every, "id").select("cluster", "id", "s"), "wide")
+    return found.unionByName(links_by_blocks(save(members.join(ids, "id", "left_semi").select("key", "id"), "wide-members"), wide, num, den))
+
+
+def _compared(num: int, den: int):
+    """One pair of blocks (block, other, id, c, own, s): edges of the components of its links. c: ids known to be of one component."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids, c = t.column("id").to_numpy(), t.column("c").to_numpy()
+        s = Sets(arrays(t.column("s").chunk(0)), num, den)
+        by = np.argsort(c, kind="stable")
+        same = np.flatnonzero(c[by][1:] == c[by][:-1])
+        s.merge(by[same], by[same + 1])
+        was = s.label.copy()
+        own = t.column("own").to_numpy(zero_copy_only=False)
+        if t.column("block")[0].as_py() == t.column("other")[0].as_py():
+            s.compare_all(np.arange(len(ids)))
+        else:
+            s.compare_all(np.flatnonzero(own), np.flatnonzero(~own))
+        new = np.flatnonzero(s.label != was)
+        return pa.table({"a": ids[new], "b": ids[s.label[new]]})
+
+    return run
 
 
-def links_by_rounds(members: DataFrame, sets: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """As link_components, without any group in one task.
+def links_by_blocks(members: DataFrame, sets: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """As link_components, without any cluster in one task; members and sets have the cluster too.
 
-    A bucket's pairs are never all emitted. First each bucket's smallest id is compared with
-    the others (a star). Buckets whose ids are then in one component are done; in the others
-    up to LEADERS_PER_ROUND ids outside the largest component are compared with all ids of
-    other components and then leave the bucket. This repeats until every bucket has one
-    component left, so no link that could join two components is lost, whatever the size of
-    a bucket, and a bucket of n copies costs n comparisons.
+    First each bucket's smallest id is compared with the others (a star), so a bucket of n copies costs n comparisons. What is in a
+    bucket that still holds two components is pruned (sets of which too few values are in another set of the cluster have no link), dealt to blocks of BLOCK_VALUES values, and
+    every pair of blocks of a cluster is a task of its own, which compares all of its sets and returns the edges of their components, never pairs.
     """
     lead = members.groupBy("key").agg(F.min("id").alias("leader"))
-    starred = members.join(lead, "key").where("id <> leader")
-    tested = save(starred.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    comp = components(_verified(tested, sets, num, den))
-    rest = starred.select("key", "id")
-    while True:
-        named = rest.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("c"))
-        per = (
-            named.groupBy("key", "c")
-            .agg(F.count("*").alias("n"))
-            .groupBy("key")
-            .agg(F.count("*").alias("cs"), F.max_by("c", "n").alias("main"))
-            .where("cs > 1")
-        )
-        active, (n,) = save_seen(named.join(per.select("key", "main"), "key"), "active", F.count(F.lit(1)))
-        if not n:
-            return comp
-        strays = active.where("c <> main")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        leaders = strays.withColumn("r", rank).where(f"r <= {LEADERS_PER_ROUND}").select("key", F.col("id").alias("leader"), F.col("c").alias("lc"))
-        leaders = save(leaders, "leaders")
-        pairs = (
-            active.join(leaders, "key")
-            .where("c <> lc")
-            .select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-            .distinct()
-            .join(tested, ["a", "b"], "left_anti")
-        )
-        pairs = save(pairs, "pairs")
-        tested = tested.unionByName(pairs)
-        # new links join components: only the graph of components is solved again
-        new = _verified(pairs, sets, num, den)
-        a, b = comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
-        new = save(new.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "links")
-        over = components(new.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("id").alias("comp"), F.col("comp").alias("over"))
-        ends = new.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("ca").alias("comp")), F.struct(F.col("b").alias("id"), F.col("cb").alias("comp")))).alias("x"))
-        nodes = comp.unionByName(ends.select("x.id", "x.comp")).distinct()
-        comp = save(nodes.join(over, "comp", "left").select("id", F.coalesce("over", "comp").alias("comp")), "components")
-        rest = active.select("key", "id").join(leaders.select("key", F.col("leader").alias("id")), ["key", "id"], "left_anti")
+    starred = members.join(lead, "key")
+    pairs = save(starred.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    stars = save(_verified(pairs, sets, num, den), "stars")
+    comp = save(components(stars), "components")
+    named = starred.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("c"))
+    open_ = named.groupBy("key").agg((F.min("c") < F.max("c")).alias("open")).where("open").select("key")
+    active = named.join(open_, "key", "left_semi").groupBy("id").agg(F.min("c").alias("c"))
+    active, (n,) = save_seen(active.join(sets, "id").select("cluster", "id", "c", "s"), "active", F.count(F.lit(1)))
+    if not n:
+        return comp
+    values = active.select("cluster", "id", F.explode("s").alias("v"))
+    shared = values.groupBy("cluster", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cluster", "v")
+    shared = values.join(save(shared, "shared"), ["cluster", "v"]).groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    active = save(active.join(shared, "id").where(den * F.col("shared") >= num * F.size("s")).drop("shared"), "active")
+    blocks = active.groupBy("cluster").agg(F.ceil(F.sum(F.size("s")) / BLOCK_VALUES).cast("int").alias("blocks"))
+    dealt = active.join(blocks, "cluster").withColumn("at", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("at", "with").alias("block"), F.greatest("at", "with").alias("other"), "id", "c", (F.col("at") <= F.col("with")).alias("own"), "s")
+    found = dealt.groupBy("cluster", "block", "other").applyInArrow(_compared(num, den), "a long, b long")
+    return components(save(stars.unionByName(found), "links"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import scalar as S
-from ..operators import audit, eligibility, intervals, panels, samples, scoring, sequences, stats
+from ..operators import audit, eligibility, intervals, panels, ranks, samples, scoring, sequences, stats
 from ..params import Params
 from . import fixtures as X
 from .fixtures import sql, table
@@ -437,7 +437,20 @@ def census_rollup(spark, d):
 
 @query("SELECT event_type AS channel, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.5), 6) AS p50 FROM events GROUP BY ALL")
 def percentile_linear(spark, d):
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("channel")).agg(F.round(M.linear_percentile("value", 0.95), 6).alias("p95"), F.round(M.linear_percentile("value", 0.5), 6).alias("p50"))
+    p = ranks.percentiles(table(spark, d, "events"), ["event_type"], "value", [0.95, 0.5])
+    at = lambda q: F.round(F.max(F.when(F.col("q") == q, F.col("value"))), 6)
+    return p.groupBy(F.col("event_type").alias("channel")).agg(at(0.95).alias("p95"), at(0.5).alias("p50"))
+
+
+@query("""WITH r AS (SELECT l_linestatus AS status, l_extendedprice AS p FROM lineitem UNION ALL SELECT NULL, l_extendedprice FROM lineitem),
+s AS (SELECT status, quantile_cont(p, [0.0, 0.01, 0.5, 0.999, 1.0]) AS v FROM r GROUP BY status)
+SELECT status, q, round(price, 6) AS price FROM (SELECT status, unnest([0.0, 0.01, 0.5, 0.999, 1.0]::DOUBLE[]) AS q, unnest(v) AS price FROM s)""")
+def percentile_selection(spark, d):
+    """Prices by status, and of all rows as one group (status null): ranges of over 4,096 values are narrowed by counts."""
+    li, qs = table(spark, d, "lineitem"), [0.0, 0.01, 0.5, 0.999, 1.0]
+    each = ranks.percentiles(li, ["l_linestatus"], "l_extendedprice", qs, few=4096).withColumnRenamed("l_linestatus", "status")
+    every = ranks.percentiles(li, [], "l_extendedprice", qs, few=4096).withColumn("status", F.lit(None).cast("string"))
+    return each.unionByName(every).select("status", "q", F.round("value", 6).alias("price"))
 
 
 # --- baselines and selection ---
@@ -606,6 +619,31 @@ def bootstrap_interval(spark, d):
     return stats.bootstrap_mean(X.results(spark, d), ["regime", "representation"], "value", 500)
 
 
+_MEANS = f"""v AS (SELECT l_returnflag AS regime, l_orderkey * 8 + l_linenumber AS id, l_extendedprice / 1000 AS v FROM lineitem),
+w AS (SELECT regime, r, v, {ranks.counter_hash("id", "r")} AS x FROM v, (SELECT unnest(range({{n}})) AS r)),
+m AS (SELECT regime, r, sum({ranks.poisson_weight("x")} * v) / sum({ranks.poisson_weight("x")}) AS m FROM w GROUP BY ALL),
+s AS (SELECT regime, avg(v) AS mean, count(*) AS n FROM v GROUP BY ALL),
+b AS (SELECT regime, mean, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high, n FROM m JOIN s USING (regime) GROUP BY ALL)"""
+
+
+def _bootstrapped(spark, d, resamples):
+    li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("regime"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), (F.col("l_extendedprice") / 1000).alias("v"))
+    return ranks.bootstrap(li, ["regime"], "id", "v", resamples)
+
+
+@query("WITH " + _MEANS.format(n=100) + " SELECT regime, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, n FROM b")
+def bootstrap_weights(spark, d):
+    """Intervals of the mean score by regime, all 100 replicates in one pass."""
+    return _bootstrapped(spark, d, 100).withColumns(r6("mean", "low", "high"))
+
+
+@query("WITH " + _MEANS.format(n=40) + """ SELECT regime, round(sum(mean * 51713), 4) AS mean, round(sum(low * 51713), 4) AS low, round(sum(high * 51713), 4) AS high FROM b GROUP BY ROLLUP (regime)""")
+def stage_projection(spark, d):
+    """Bootstrapped means scaled to 51,713 windows, by regime and in total."""
+    p = stats.project_stages(_bootstrapped(spark, d, 40), "regime", 51713)
+    return p.withColumns({c: F.round(c, 4) for c in ("mean", "low", "high")})
+
+
 @query("SELECT n_regionkey, sha256(unhex(string_agg(printf('%016x', octet_length(encode(n_name))) || hex(encode(n_name)), '' ORDER BY n_name))) AS digest, count(*) AS n FROM nation GROUP BY ALL")
 def membership_digest(spark, d):
     return audit.membership_digest(table(spark, d, "nation"), ["n_regionkey"], "n_name")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import sequences, trees
 from ..sources import documents, streams
 from ..sources.shared import fresh
+from ..streaming import timed
 from .fixtures import table
 from .queries import query
 
@@ -121,3 +122,43 @@ def snapshot_rows(spark, d):
     rows = spark.read.parquet(path + "/index").join(held, "offset")
     head = header.select("n_rows", F.col("n_bytes").alias("total_bytes"), "digest")
     return rows.select("ordinal", "kind", "key", "offset", "n_bytes", "text").join(F.broadcast(head))
+
+
+# --- streams over files written from the tables ---
+
+
+def _streamed(spark, files, schema, build, sink):
+    """Runs a stream over all files of a folder to its end."""
+    key, value = timed.STATE_STORE
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        q = sink(build(spark.readStream.schema(schema).parquet(files))).option("checkpointLocation", fresh(spark, "stream")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+@query("""WITH f AS (SELECT user_id % 10 AS match_id, 2 * event_id AS frame FROM events WHERE event_type <> 'error')
+SELECT match_id, frame AS origin_frame, count(*) OVER w AS n_support, count(*) OVER w = 41 AS complete FROM f WINDOW w AS (PARTITION BY match_id ORDER BY frame RANGE BETWEEN 50 PRECEDING AND 30 FOLLOWING)""")
+def timed_windows(spark, d):
+    """Windows of a stream, ended by timers; a last frame of no match drives the clock past all of them."""
+    e = table(spark, d, "events").where("event_type <> 'error'").select((F.col("user_id") % 10).alias("match_id"), (F.col("event_id") * 2).alias("frame"))
+    last = e.agg(F.lit(-1).cast("long").alias("match_id"), (F.coalesce(F.max("frame"), F.lit(0)) + 100_000).alias("frame"))
+    files, out = fresh(spark, "frames"), fresh(spark, "windows")
+    e.unionByName(last).write.parquet(files)
+    _streamed(spark, files, e.schema, timed.support_timed, lambda r: r.writeStream.format("parquet").option("path", out).outputMode("append"))
+    return spark.read.schema(timed.OUT).parquet(out).where("match_id >= 0").withColumn("n_support", F.col("n_support").cast("long"))
+
+
+@query("""SELECT l_orderkey % 20 AS match_id, l_linestatus AS scene_id, count(*) AS candidates, count(CASE WHEN l_returnflag <> 'R' THEN 1 END) AS passing, grouping_id(l_orderkey % 20, l_linestatus)::BIGINT AS depth
+FROM lineitem GROUP BY ROLLUP (l_orderkey % 20, l_linestatus)""")
+def streamed_census(spark, d):
+    """A census kept by a stream in update mode, rolled up."""
+    li = table(spark, d, "lineitem").select((F.col("l_orderkey") % 20).alias("match_id"), F.col("l_linestatus").alias("scene_id"), (F.col("l_returnflag") != "R").alias("mask"))
+    levels, counters = ["match_id", "scene_id"], {"candidates": F.count("*"), "passing": F.count_if("mask")}
+    files, folder = fresh(spark, "points"), fresh(spark, "census")
+    li.repartition(3).write.parquet(files)
+    sink = lambda r: r.writeStream.outputMode("update").foreachBatch(timed.fold_updates(spark, folder, levels, list(counters)))
+    _streamed(spark, files, li.schema, lambda s: timed.census_stream(s, levels, counters), sink)
+    return timed.rolled_up(timed.newest(spark, folder, levels), levels, list(counters))

@@ -408,3 +408,28 @@ def test_pipeline(spark, sf):
         before = out
     hit = decontaminate.contamination(corpus_pipeline.table(spark, sf, "documents"), corpus_pipeline.table(spark, sf, "benchmark")).where("n_hit > 0")
     assert hit.join(before, "doc_id").count() == 0
+
+
+def test_pages_are_parsed_in_linear_time():
+    import time
+
+    took = []
+    for m in (20_000, 80_000):
+        began = time.process_time()
+        html_text.blocks_and_others("<article>" + "<div>" * m + "x</span>" * m)
+        html_text.blocks_and_others("<article><div>" + "<span>" * m + "<p>a</p>" * m)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 1
+
+
+def test_embedded_text_is_content_of_a_marked_article_only():
+    page = "<article><p>a<math><mi>x</mi></math> b</p><object>plain</object></article><p>after<svg><text>t</text></svg></p>"
+    assert html_text.blocks_and_others(page) == (["ax b", "plain"], True, ["after"])
+
+
+def test_no_pages_and_repeated_pages(spark):
+    rows = [(1, "http://h/a", "<article><p>one</p></article>"), (1, "http://h/a", "<article><p>one</p></article>"), (2, "http://h/b", None), (None, None, "<p>two</p>"), (3, "http://h/c", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = html_text.extract(pages)
+    assert sorted((str(x.page_id), x.text) for x in got.collect()) == [("1", "one"), ("1", "one"), ("2", ""), ("3", ""), ("None", "two")]
+    assert html_text.extract(pages.limit(0)).count() == 0

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,9 @@ BLOCKS = frozenset(
     "head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose text is never part of an article.
-LEFT_OUT = frozenset("head nav footer aside form dialog menu search button select option datalist object svg math canvas audio video".split()) | RAW
+LEFT_OUT = frozenset("head nav footer aside form dialog menu search button select option datalist".split()) | RAW
+#: Those whose text is part of an article only inside of a marked one.
+EMBEDDED = frozenset("object svg math canvas audio video".split())
 #: Classes, ids and roles that say the same.
 NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie "
@@ -71,7 +74,7 @@ def _tokens(attrs: str) -> list[tuple[str, str]]:
 
 
 def _left_out(name: str, tokens: list[tuple[str, str]], in_article: bool) -> bool:
-    if name in LEFT_OUT or name == "header" and not in_article:
+    if name in LEFT_OUT or not in_article and (name == "header" or name in EMBEDDED):
         return True
     if name in ("html", "body", "article", "main"):
         return False
@@ -115,6 +118,8 @@ def _pass(page: str, lifted: frozenset[int]) -> tuple[list[str], bool, list[str]
     out: list[tuple[int, bool]] = []  # place of each open element left out, and whether it is firm
     skip = inside = inner = 0  # open elements left out, of article, of main
     piece: list[str] = []
+    opened: Counter[str] = Counter()  # open elements by name
+    walls: list[int] = []  # places in the stack of open blocks
 
     def flush():
         if piece:
@@ -125,7 +130,10 @@ def _pass(page: str, lifted: frozenset[int]) -> tuple[list[str], bool, list[str]
 
     def pop():
         nonlocal skip, inside, inner
-        _, kind = stack.pop()
+        gone, kind = stack.pop()
+        opened[gone] -= 1
+        if walls and walls[-1] == len(stack):
+            walls.pop()
         if kind == 1:
             skip -= 1
             out.pop()
@@ -168,26 +176,22 @@ def _pass(page: str, lifted: frozenset[int]) -> tuple[list[str], bool, list[str]
             continue
         name = name.lower()
         if close:
-            depth = len(stack) - 1
-            while depth >= 0 and stack[depth][0] != name:
-                depth -= 1
             if name in BLOCKS:
                 flush()
-            if depth >= 0:
-                while len(stack) > depth:
+            if opened[name]:  # else the end tag has no element
+                while stack[-1][0] != name:
                     pop()
+                pop()
             continue
         if name in BLOCKS:
             flush()
-            if name == "body" and any(x == "head" for x, _ in stack):
+            if name == "body" and opened["head"]:
                 while stack and stack[-1][0] != "head":
                     pop()
                 pop()
             elif name in ("li", "p", "dd", "dt", "tr", "td", "th"):
                 # an open element of the kind ends, if only inline elements are open inside of it
-                depth = len(stack) - 1
-                while depth >= 0 and stack[depth][0] not in BLOCKS:
-                    depth -= 1
+                depth = walls[-1] if walls else -1
                 if depth >= 0 and stack[depth][0] == name:
                     while len(stack) > depth:
                         pop()
@@ -210,6 +214,9 @@ def _pass(page: str, lifted: frozenset[int]) -> tuple[list[str], bool, list[str]
             out.append((lt, _firm(name, tokens)))
         if kind > 1 and (kind == 3 or not any(firm for _, firm in out)):
             wraps.update(place for place, _ in out)
+        if name in BLOCKS:
+            walls.append(len(stack))
+        opened[name] += 1
         stack.append((name, kind))
         skip += kind == 1
         inside += kind == 2

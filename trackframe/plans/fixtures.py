@@ -28,7 +28,9 @@ SQL = {
       avg(l_extendedprice / 1000) AS value, count(*) AS windows FROM lineitem GROUP BY ALL)""",
     "ph": """ph AS (SELECT o_custkey AS k, o_orderkey AS id, (epoch(o_orderdate) // 86400)::BIGINT AS s, (epoch(o_orderdate) // 86400)::BIGINT + 30 AS e, year(o_orderdate) AS period FROM orders)""",
     "tg": "tg AS (SELECT vec_id, unnest(embedding)::DOUBLE AS truth, generate_subscripts(embedding, 1) AS target FROM embeddings)",
-    "hist": """hist AS (SELECT player_id, match_id, idx - 20 AS slot, CASE WHEN event_type <> 'signup' THEN x END AS x, CASE WHEN event_type <> 'signup' THEN y END AS y FROM sp WHERE idx BETWEEN 15 AND 20)""",
+    "hist": """hist AS (SELECT o.player_id, o.match_id, o.idx AS origin, s.idx - o.idx AS slot, CASE WHEN s.event_type <> 'signup' THEN s.x END AS x, CASE WHEN s.event_type <> 'signup' THEN s.y END AS y
+      FROM sp o JOIN (SELECT player_id, idx, event_type, x, y FROM sp UNION ALL SELECT player_id, -k, 'signup', NULL, NULL FROM (SELECT DISTINCT player_id FROM sp), (SELECT unnest(range(1, 6)) AS k)) s
+      ON s.player_id = o.player_id AND s.idx BETWEEN o.idx - 5 AND o.idx)""",
 }
 
 
@@ -90,6 +92,11 @@ def targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def history(spark: SparkSession, d: str) -> DataFrame:
-    p = sample_players(spark, d).where("idx between 15 and 20")
-    known = F.col("event_type") != "signup"
-    return p.select("player_id", "match_id", (F.col("idx") - 20).alias("slot"), F.when(known, F.col("x")).alias("x"), F.when(known, F.col("y")).alias("y"))
+    """The six slots up to each origin: every sample of a player is one. Slots before a player's first sample are there, without a position."""
+    p = sample_players(spark, d).withColumn("last", F.count("*").over(Window.partitionBy("player_id")) - 1)
+    long = lambda x: F.lit(x).cast("long")
+    own = F.transform(F.sequence("idx", F.least(F.col("idx") + 5, "last")), lambda o: F.struct(o.alias("origin"), (F.col("idx") - o).alias("slot"), F.lit(True).alias("real")))
+    before = F.flatten(F.transform(F.sequence(long(0), F.least(long(4), F.col("last"))), lambda o: F.transform(F.sequence(long(-5), -o - 1), lambda s: F.struct(o.alias("origin"), s.alias("slot"), F.lit(False).alias("real")))))
+    p = p.withColumn("s", F.explode(F.when(F.col("idx") == 0, F.concat(own, before)).otherwise(own)))
+    known = F.col("s.real") & (F.col("event_type") != "signup")
+    return p.select("player_id", "match_id", "s.origin", "s.slot", F.when(known, F.col("x")).alias("x"), F.when(known, F.col("y")).alias("y"))

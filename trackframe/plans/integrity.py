@@ -43,10 +43,10 @@ def membership_problems(spark, d):
 
 
 @query("""SELECT ps_part AS part_id, n, CASE WHEN n = 0 THEN 'none' WHEN n = 1 THEN 'one' ELSE 'many' END AS status FROM (
-  SELECT p_partkey AS ps_part, count(l_partkey) AS n FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber = 1) ON l_partkey = p_partkey GROUP BY p_partkey)""")
+  SELECT p_partkey AS ps_part, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey)""")
 def exact_lookup(spark, d):
     requests = table(spark, d, "part").select(F.col("p_partkey").alias("part_id"))
-    rows = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("part_id"))
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("part_id"))
     return constraints.exact_lookup(requests, rows, ["part_id"])
 
 
@@ -69,7 +69,7 @@ def disjoint_groupings(spark, d):
 
 
 @query("""WITH e AS (SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN 'Bad Id' WHEN s_suppkey % 10 = 1 THEN 'family.1' ELSE 'object.' || (s_suppkey - s_suppkey % 4) END AS id, 'family.' || (s_nationkey % 12) AS family_id FROM supplier),
-a AS (SELECT CASE WHEN c_custkey % 6 = 0 THEN 'family.2' ELSE 'alias.' || (c_custkey - c_custkey % 3) END AS alias, 'object.' || (c_custkey % 16) AS canonical_id FROM customer WHERE c_nationkey = 1),
+a AS (SELECT CASE WHEN c_custkey % 6 = 0 THEN 'family.2' ELSE 'alias.' || (c_custkey - c_custkey % 3) END AS alias, 'object.' || (c_custkey % 16) AS canonical_id FROM customer),
 f AS (SELECT DISTINCT 'family.' || (n_nationkey % 10) AS f FROM nation), i AS (SELECT DISTINCT id FROM e),
 v AS (SELECT id, 'not_canonical' AS problem FROM e WHERE id = 'Bad Id' UNION ALL SELECT id, 'unknown_family' FROM e WHERE family_id NOT IN (SELECT f FROM f) UNION ALL SELECT id, 'is_family' FROM e WHERE id IN (SELECT f FROM f)
   UNION ALL SELECT id, 'duplicate' FROM e WHERE id IN (SELECT id FROM e GROUP BY id HAVING count(*) > 1) UNION ALL SELECT alias, 'alias_target_missing' FROM a WHERE canonical_id NOT IN (SELECT id FROM i)
@@ -79,7 +79,7 @@ def registry_conflicts(spark, d):
     k = F.col("s_suppkey")
     e = table(spark, d, "supplier").select(F.when(k % 9 == 0, "Bad Id").when(k % 10 == 1, "family.1").otherwise(F.concat(F.lit("object."), (k - k % 4).cast("string"))).alias("id"), F.concat(F.lit("family."), (F.col("s_nationkey") % 12).cast("string")).alias("family_id"))
     c = F.col("c_custkey")
-    a = table(spark, d, "customer").where("c_nationkey = 1").select(F.when(c % 6 == 0, "family.2").otherwise(F.concat(F.lit("alias."), (c - c % 3).cast("string"))).alias("alias"), F.concat(F.lit("object."), (c % 16).cast("string")).alias("canonical_id"))
+    a = table(spark, d, "customer").select(F.when(c % 6 == 0, "family.2").otherwise(F.concat(F.lit("alias."), (c - c % 3).cast("string"))).alias("alias"), F.concat(F.lit("object."), (c % 16).cast("string")).alias("canonical_id"))
     f = table(spark, d, "nation").select(F.concat(F.lit("family."), (F.col("n_nationkey") % 10).cast("string")).alias("family_id"))
     return constraints.registry(e, f, a).groupBy("id", "problem").agg(F.count("*").alias("n"))
 
@@ -202,12 +202,12 @@ def evidence_counts(spark, d):
     return constraints.resolution_counts(_resolved(spark, d))
 
 
-@query("SELECT p_partkey AS record FROM part WHERE p_size % 3 <> 0 AND p_partkey % 4 <> 0 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 2)")
+@query("SELECT p_partkey AS record FROM part WHERE p_size % 3 <> 0 AND p_partkey % 4 <> 0 AND p_partkey IN (SELECT l_partkey FROM lineitem)")
 def catalogue_scan(spark, d):
     k = F.col("p_partkey")
     c = table(spark, d, "part").select(k.alias("record"), F.sha2(k.cast("string"), 256).alias("sha256"), F.when(F.col("p_size") % 3 == 0, "draft").otherwise("released").alias("status"),
         F.when(k % 4 == 0, F.lit("other")).otherwise(k.cast("string")).cast("binary").alias("content"))
-    want = table(spark, d, "lineitem").where("l_linenumber = 2").select(F.sha2(F.col("l_partkey").cast("string"), 256).alias("sha256"))
+    want = table(spark, d, "lineitem").select(F.sha2(F.col("l_partkey").cast("string"), 256).alias("sha256"))
     return constraints.catalogue_matches(c, want, "sha256", "status", ["released"], "content").select("record")
 
 

@@ -455,19 +455,19 @@ def percentile_selection(spark, d):
 
 # --- baselines and selection ---
 
-_FIT = """, f AS (SELECT player_id, count(x) AS n, regr_slope(x, slot) AS sx, regr_intercept(x, slot) AS ix, regr_slope(y, slot) AS sy, regr_intercept(y, slot) AS iy, arg_max(x, slot) FILTER (x IS NOT NULL) AS lx, arg_max(y, slot) FILTER (x IS NOT NULL) AS ly FROM hist GROUP BY ALL)"""
+_FIT = """, f AS (SELECT player_id, origin, count(x) AS n, regr_slope(x, slot) AS sx, regr_intercept(x, slot) AS ix, regr_slope(y, slot) AS sy, regr_intercept(y, slot) AS iy, arg_max(x, slot) FILTER (x IS NOT NULL) AS lx, arg_max(y, slot) FILTER (x IS NOT NULL) AS ly FROM hist GROUP BY ALL)"""
 
 
-@query(sql("sp", "hist") + _FIT + " SELECT player_id, step, round(CASE WHEN n >= 2 THEN ix + sx * step ELSE lx END, 6) AS pred_x, round(CASE WHEN n >= 2 THEN iy + sy * step ELSE ly END, 6) AS pred_y FROM (SELECT *, unnest(range(1, 16))::INT AS step FROM f)")
+@query(sql("sp", "hist") + _FIT + " SELECT player_id, origin, step, round(CASE WHEN n >= 2 THEN ix + sx * step ELSE lx END, 6) + 0.0 AS pred_x, round(CASE WHEN n >= 2 THEN iy + sy * step ELSE ly END, 6) + 0.0 AS pred_y FROM (SELECT *, unnest(range(1, 16))::INT AS step FROM f)")
 def constant_velocity(spark, d):
-    f = sequences.baseline_fit(X.history(spark, d), ["player_id"], "slot", "x", "y")
-    return sequences.extrapolate(f, 15).select("player_id", "step", F.round("pred_x", 6).alias("pred_x"), F.round("pred_y", 6).alias("pred_y"))
+    f = sequences.baseline_fit(X.history(spark, d), ["player_id", "origin"], "slot", "x", "y")
+    return sequences.extrapolate(f, 15).select("player_id", "origin", "step", (F.round("pred_x", 6) + 0.0).alias("pred_x"), (F.round("pred_y", 6) + 0.0).alias("pred_y"))
 
 
-@query(sql("sp", "hist") + _FIT + " SELECT player_id, step, lx AS pred_x, ly AS pred_y FROM (SELECT *, unnest(range(1, 16))::INT AS step FROM f)")
+@query(sql("sp", "hist") + _FIT + " SELECT player_id, origin, step, lx AS pred_x, ly AS pred_y FROM (SELECT *, unnest(range(1, 16))::INT AS step FROM f)")
 def persistence(spark, d):
-    f = sequences.baseline_fit(X.history(spark, d), ["player_id"], "slot", "x", "y")
-    return sequences.extrapolate(f, 15, "persistence").select("player_id", "step", "pred_x", "pred_y")
+    f = sequences.baseline_fit(X.history(spark, d), ["player_id", "origin"], "slot", "x", "y")
+    return sequences.extrapolate(f, 15, "persistence").select("player_id", "origin", "step", "pred_x", "pred_y")
 
 
 @query(sql("sp") + """, b AS (SELECT player_id, idx, x, min(x) OVER (PARTITION BY player_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM sp),
@@ -519,13 +519,13 @@ def truth_panel(spark, d):
     return t.groupBy(*by).agg(F.count("truth_x").alias("n_truth")).join(panels.scoreable(t, by), by)
 
 
-@query(sql("sp", "hist") + """, t AS (SELECT player_id, slot, CASE WHEN x IS NOT NULL THEN x ELSE 0 END AS x, CASE WHEN y IS NOT NULL THEN y ELSE 0 END AS y, CASE WHEN x IS NOT NULL THEN 1.0 ELSE 0 END AS p FROM hist)
-SELECT player_id, 3 * count(*) AS width, round(sum(x + 2 * y + 3 * p), 6) AS mark, round(arg_max(x, slot), 6) AS last_x FROM t GROUP BY ALL""")
+@query(sql("sp", "hist") + """, t AS (SELECT player_id, origin, slot, CASE WHEN x IS NOT NULL THEN x ELSE 0 END AS x, CASE WHEN y IS NOT NULL THEN y ELSE 0 END AS y, CASE WHEN x IS NOT NULL THEN 1.0 ELSE 0 END AS p FROM hist)
+SELECT player_id, origin, 3 * count(*) AS width, round(sum(x + 2 * y + 3 * p), 6) AS mark, round(arg_max(x, slot), 6) AS last_x FROM t GROUP BY ALL""")
 def track_features(spark, d):
-    f = panels.track_features(X.history(spark, d), ["player_id"])
+    f = panels.track_features(X.history(spark, d), ["player_id", "origin"])
     triple = F.sequence(F.lit(1), F.size("features"), F.lit(3))
     mark = F.aggregate(triple, F.lit(0.0), lambda s, i: s + F.element_at("features", i) + 2 * F.element_at("features", i + 1) + 3 * F.element_at("features", i + 2))
-    return f.select("player_id", F.size("features").cast("long").alias("width"), F.round(mark, 6).alias("mark"), F.round(F.element_at("features", -3), 6).alias("last_x"))
+    return f.select("player_id", "origin", F.size("features").cast("long").alias("width"), F.round(mark, 6).alias("mark"), F.round(F.element_at("features", -3), 6).alias("last_x"))
 
 
 # --- integrity ---
@@ -663,19 +663,19 @@ def receipt_chain(spark, d):
     return audit.hash_chain(table(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", "role")
 
 
-@query(sql("sp", "hist") + """, v AS (SELECT match_id, player_id, slot, 3 * (slot + 5) + k AS i, CASE WHEN x IS NULL THEN 0.0 WHEN k = 0 THEN x WHEN k = 1 THEN y ELSE 1.0 END::DOUBLE AS v FROM hist, (SELECT unnest([0, 1, 2]) AS k)),
-w AS (SELECT match_id, player_id FROM hist GROUP BY ALL HAVING count(*) = 6), j AS (SELECT unnest(range(8)) AS j),
-e AS (SELECT v.match_id, v.player_id, j, greatest(0, sum(v * ((i * 7 + j * 3) % 11 - 5) / 10.0::DOUBLE) + (j % 3) / 10.0::DOUBLE) AS c FROM v JOIN w USING (match_id, player_id), j GROUP BY v.match_id, v.player_id, j),
-c AS (SELECT match_id, j, sum(CASE WHEN player_id % 3 <> 0 THEN c ELSE 0 END) / greatest(count(CASE WHEN player_id % 3 <> 0 THEN 1 END), 1) AS m FROM e GROUP BY ALL)
-SELECT match_id, player_id, o AS i, round(s + (o % 4) / 10.0::DOUBLE, 5) AS v FROM (SELECT match_id, player_id, o, sum(e.c * ((j * 5 + o * 3) % 13 - 6) / 10.0::DOUBLE + m * (((j + 8) * 5 + o * 3) % 13 - 6) / 10.0::DOUBLE) AS s FROM e JOIN c USING (match_id, j), (SELECT unnest(range(30)) AS o) GROUP BY match_id, player_id, o)""")
+@query(sql("sp", "hist") + """, v AS (SELECT match_id, origin, player_id, slot, 3 * (slot + 5) + k AS i, CASE WHEN x IS NULL THEN 0.0 WHEN k = 0 THEN x WHEN k = 1 THEN y ELSE 1.0 END::DOUBLE AS v FROM hist, (SELECT unnest([0, 1, 2]) AS k)),
+j AS (SELECT unnest(range(8)) AS j),
+e AS (SELECT v.match_id, v.origin, v.player_id, j, greatest(0, sum(v * ((i * 7 + j * 3) % 11 - 5) / 10.0::DOUBLE) + (j % 3) / 10.0::DOUBLE) AS c FROM v, j GROUP BY v.match_id, v.origin, v.player_id, j),
+c AS (SELECT match_id, origin, j, sum(CASE WHEN player_id % 3 <> 0 THEN c ELSE 0 END) / greatest(count(CASE WHEN player_id % 3 <> 0 THEN 1 END), 1) AS m FROM e GROUP BY ALL)
+SELECT match_id, origin, player_id, o AS i, round((s + (o % 4) / 10.0::DOUBLE) * 0.739085133::DOUBLE, 5) AS v FROM (SELECT match_id, origin, player_id, o, sum(e.c * ((j * 5 + o * 3) % 13 - 6) / 10.0::DOUBLE + m * (((j + 8) * 5 + o * 3) % 13 - 6) / 10.0::DOUBLE) AS s FROM e JOIN c USING (match_id, origin, j), (SELECT unnest(range(30)) AS o) GROUP BY match_id, origin, player_id, o)""")
 def deep_sets_forward(spark, d):
     import numpy as np
 
     i, j, o = np.arange(18)[:, None], np.arange(8), np.arange(30)
     w = {"encoder": ((i * 7 + j * 3) % 11 - 5) / 10, "encoder_bias": j % 3 / 10, "head": ((np.arange(16)[:, None] * 5 + o * 3) % 13 - 6) / 10, "head_bias": o % 4 / 10}
-    f = panels.track_features(X.history(spark, d), ["match_id", "player_id"]).withColumn("observed", F.col("player_id") % 3 != 0)
-    p = panels.deep_sets(f.where(F.size("features") == 18), w, ["match_id"])
-    return p.select("match_id", "player_id", F.posexplode("prediction").alias("i", "v")).withColumns({"i": F.col("i").cast("long"), "v": F.round("v", 5)})
+    f = panels.track_features(X.history(spark, d), ["match_id", "origin", "player_id"]).withColumn("observed", F.col("player_id") % 3 != 0)
+    p = panels.deep_sets(f, w, ["match_id", "origin"])  # a scene: the players of a match at one origin
+    return p.select("match_id", "origin", "player_id", F.posexplode("prediction").alias("i", "v")).withColumns({"i": F.col("i").cast("long"), "v": F.round(F.col("v") * 0.739085133, 5)})  # a scale on which no value lies between two roundings
 
 
 # the same under the names of a time when the others read parts of their tables

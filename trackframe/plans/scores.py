@@ -116,12 +116,12 @@ def baseline_match_scores(spark, d):
     return e.groupBy("match_id", "model").agg(F.round(F.avg("ade"), 6).alias("ade"), F.count("*").alias("windows"))
 
 
-@query(sql("sp", "hist") + """, f AS (SELECT player_id, count(x) AS n, regr_slope(x, slot) AS sx, regr_intercept(x, slot) AS ix, regr_slope(y, slot) AS sy, regr_intercept(y, slot) AS iy, arg_max(x, slot) FILTER (x IS NOT NULL) AS lx, arg_max(y, slot) FILTER (x IS NOT NULL) AS ly FROM hist GROUP BY ALL)
-SELECT player_id, step, round(CASE WHEN n >= 2 THEN ix + sx * step ELSE lx END - lx, 6) AS dx, round(CASE WHEN n >= 2 THEN iy + sy * step ELSE ly END - ly, 6) AS dy FROM (SELECT *, unnest(range(1, 16))::INT AS step FROM f)""")
+@query(sql("sp", "hist") + """, f AS (SELECT player_id, origin, count(x) AS n, regr_slope(x, slot) AS sx, regr_intercept(x, slot) AS ix, regr_slope(y, slot) AS sy, regr_intercept(y, slot) AS iy, arg_max(x, slot) FILTER (x IS NOT NULL) AS lx, arg_max(y, slot) FILTER (x IS NOT NULL) AS ly FROM hist GROUP BY ALL)
+SELECT player_id, origin, step, round(CASE WHEN n >= 2 THEN ix + sx * step ELSE lx END - lx, 6) + 0.0 AS dx, round(CASE WHEN n >= 2 THEN iy + sy * step ELSE ly END - ly, 6) + 0.0 AS dy FROM (SELECT *, unnest(range(1, 16))::INT AS step FROM f)""")
 def baseline_displacement(spark, d):
-    f = sequences.baseline_fit(X.history(spark, d), ["player_id"], "slot", "x", "y")
+    f = sequences.baseline_fit(X.history(spark, d), ["player_id", "origin"], "slot", "x", "y")
     p = sequences.displaced(sequences.extrapolate(f, 15), "last_x", "last_y")
-    return p.select("player_id", "step", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
+    return p.select("player_id", "origin", "step", (F.round("dx", 6) + 0.0).alias("dx"), (F.round("dy", 6) + 0.0).alias("dy"))
 
 
 # --- quality blocks ---

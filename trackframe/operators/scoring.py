@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
@@ -77,6 +77,6 @@ def channel_errors(long: DataFrame, channel: str, prediction: str, truth: str, r
     return out.withColumn("quality", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("sre")))).withColumn("enough", F.col("n") >= least)
 
 
-def dense_paths(points: DataFrame, by: Sequence[str], last_step: int) -> DataFrame:
-    """ADE, FDE and XY-RMSE of dense panels: every step of every entity counts."""
+def dense_paths(points: DataFrame, by: Sequence[str], last_step: int | Column) -> DataFrame:
+    """ADE, FDE and XY-RMSE of dense panels: every step of every entity counts. last_step: one for all panels, or a column."""
     return points.groupBy(*by).agg(M.ade("distance").alias("ade"), M.fde("distance", F.col("step") == last_step).alias("fde"), M.xy_rmse("squared").alias("rmse"))

@@ -267,13 +267,15 @@ def normalize_xy(spark, d):
 
 
 @query(sql("scp") + """, o AS (SELECT window_id, scene_id, truth_x AS x0, truth_y AS y0 FROM scp WHERE step = 1)
-SELECT match_id, round(sum((truth_x - x0) / 52.5::DOUBLE), 6) AS dx, round(sum((truth_y - y0) / 34.0::DOUBLE), 6) AS dy, true AS same FROM scp JOIN o USING (window_id, scene_id) GROUP BY ALL""")
+SELECT match_id, round(sum((truth_x - x0) / 52.5::DOUBLE), 6) AS dx, round(sum((truth_y - y0) / 34.0::DOUBLE), 6) AS dy,
+  bool_and(abs((truth_x - x0) / 52.5::DOUBLE * 52.5::DOUBLE + x0 + CASE WHEN match_id % 5 = 2 AND step = 2 THEN 1e-6 ELSE 0 END - truth_x) < 1e-9 AND abs((truth_y - y0) / 34.0::DOUBLE * 34.0::DOUBLE + y0 - truth_y) < 1e-9) AS same FROM scp JOIN o USING (window_id, scene_id) GROUP BY ALL""")
 def displacement_roundtrip(spark, d):
     p = X.scene_points(spark, d)
     o = p.where("step = 1").select("window_id", "scene_id", F.col("truth_x").alias("x0"), F.col("truth_y").alias("y0"))
     dx, dy = S.displacement("truth_x", "truth_y", "x0", "y0")
     j = p.join(o, ["window_id", "scene_id"]).withColumn("dx", dx).withColumn("dy", dy)
     bx, by = S.absolute("dx", "dy", "x0", "y0")
+    bx = bx + F.when((F.col("match_id") % 5 == 2) & (F.col("step") == 2), 1e-6).otherwise(0.0)  # some don't come back
     near = (F.abs(bx - F.col("truth_x")) < 1e-9) & (F.abs(by - F.col("truth_y")) < 1e-9)
     return j.groupBy("match_id").agg(F.round(F.sum("dx"), 6).alias("dx"), F.round(F.sum("dy"), 6).alias("dy"), F.bool_and(near).alias("same"))
 
@@ -376,11 +378,11 @@ def micro_vs_macro(spark, d):
     return scoring.micro_and_macro(X.scored_points(spark, d)).select("match_id", F.round("ade_micro", 6).alias("ade_micro"), F.round("ade_macro", 6).alias("ade_macro"))
 
 
-@query(sql("scp") + """, e AS (SELECT match_id, step, sqrt((pred_x - truth_x) ** 2 + (pred_y - truth_y) ** 2) AS d, (pred_x - truth_x) ** 2 + (pred_y - truth_y) ** 2 AS q FROM scp)
-SELECT match_id, round(avg(d), 6) AS ade, round(avg(CASE WHEN step = 3 THEN d END), 6) AS fde, round(sqrt(sum(q) / (2 * count(q))), 6) AS rmse FROM e WHERE step <= 3 GROUP BY ALL""")
+@query(sql("scp") + """, e AS (SELECT match_id, step = max(step) OVER (PARTITION BY window_id, scene_id) AS final, sqrt((pred_x - truth_x) ** 2 + (pred_y - truth_y) ** 2) AS d, (pred_x - truth_x) ** 2 + (pred_y - truth_y) ** 2 AS q FROM scp)
+SELECT match_id, round(avg(d), 6) AS ade, round(avg(CASE WHEN final THEN d END), 6) AS fde, round(sqrt(sum(q) / (2 * count(q))), 6) AS rmse FROM e GROUP BY ALL""")
 def dense_path_metrics(spark, d):
-    p = scoring.with_errors(X.scene_points(spark, d).where("step <= 3"))
-    return scoring.dense_paths(p, ["match_id"], 3).withColumns(r6(*scoring.METRICS))
+    p = scoring.with_errors(X.scene_points(spark, d).withColumn("last", F.max("step").over(Window.partitionBy("window_id", "scene_id"))))
+    return scoring.dense_paths(p, ["match_id"], F.col("last")).withColumns(r6(*scoring.METRICS))
 
 
 # --- results ---
@@ -536,10 +538,10 @@ def leakage_check(spark, d):
     return audit.leakage(table(spark, d, "lineitem"), "l_suppkey", "l_linestatus")
 
 
-@query("SELECT (SELECT count(*) FROM documents WHERE doc_id % 7 = 0)::BIGINT AS missing, 0::BIGINT AS unexpected, (SELECT count(*) FROM documents WHERE doc_id % 11 = 0 AND doc_id % 7 <> 0)::BIGINT AS repeated")
+@query("SELECT (SELECT count(*) FROM documents WHERE doc_id % 7 = 0)::BIGINT AS missing, (SELECT count(*) FROM documents WHERE doc_id % 13 = 0)::BIGINT AS unexpected, (SELECT count(*) FROM documents WHERE doc_id % 11 = 0 AND doc_id % 7 <> 0)::BIGINT AS repeated")
 def partition_check(spark, d):
     docs = table(spark, d, "documents").select("doc_id")
-    return audit.partition_check(docs, [docs.where("doc_id % 7 <> 0"), docs.where("doc_id % 11 = 0 and doc_id % 7 <> 0")], "doc_id")
+    return audit.partition_check(docs, [docs.where("doc_id % 7 <> 0"), docs.where("doc_id % 11 = 0 and doc_id % 7 <> 0"), docs.where("doc_id % 13 = 0").select((-1 - F.col("doc_id")).alias("doc_id"))], "doc_id")
 
 
 @query("""SELECT doc_id, 'missing' AS problem FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'unexpected' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)

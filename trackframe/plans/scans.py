@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import sequences, trees
-from ..sources import documents, streams
+from ..functions import scalar as S
+from ..operators import eligibility, sequences, trees
+from ..sources import documents, files, streams
 from ..sources.shared import fresh
 from ..streaming import timed
 from .fixtures import table
@@ -162,3 +163,77 @@ def streamed_census(spark, d):
     sink = lambda r: r.writeStream.outputMode("update").foreachBatch(timed.fold_updates(spark, folder, levels, list(counters)))
     _streamed(spark, files, li.schema, lambda s: timed.census_stream(s, levels, counters), sink)
     return timed.rolled_up(timed.newest(spark, folder, levels), levels, list(counters))
+
+
+# --- strict readers over files written from the tables ---
+
+_GOOD = """'{"frame":' || event_id || ',"timestamp":"00:00:0' || event_id % 10 || '.00","period":1,"ball_data":null,"possession":{"group":null,"player_id":' || user_id || '},"image_corners_projection":null,"player_data":[{"player_id":' || user_id || ',"x":1.5,"y":null,"is_detected":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || '}]}'"""
+_LINE = f"CASE event_id % 40 WHEN 1 THEN '' WHEN 2 THEN '{{}}' WHEN 3 THEN replace({_GOOD}, '\"period\":1', '\"period\":1,\"period\":2') WHEN 4 THEN replace({_GOOD}, '\"x\":1.5', '\"x\":true') WHEN 5 THEN replace({_GOOD}, '\"frame\":', '\"frame\":1e0') WHEN 6 THEN replace({_GOOD}, '\"x\":1.5', '\"x\":NaN') WHEN 7 THEN {_GOOD} || repeat(' ', 2000) WHEN 8 THEN 'no' ELSE {_GOOD} END"
+
+
+@query("""WITH t AS (SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) - 1 AS ordinal,
+  CASE event_id % 40 WHEN 1 THEN 'blank' WHEN 2 THEN 'keys' WHEN 3 THEN 'keys' WHEN 4 THEN 'type' WHEN 5 THEN 'type' WHEN 6 THEN 'keys' WHEN 7 THEN 'too_long' WHEN 8 THEN 'keys' END AS problem FROM events)
+SELECT ordinal, problem, CASE WHEN problem IS NULL THEN event_id END AS frame, CASE WHEN problem IS NULL THEN user_id END AS player_id, CASE WHEN problem IS NULL THEN event_id % 2 = 0 END AS is_detected FROM t""")
+def tracking_files(spark, d):
+    """Frames written as lines, some of them broken, and read strictly with their ordinals; the files stay as they were."""
+    path = fresh(spark, "tracking")
+    # one file: a file's lines have its own ordinals
+    table(spark, d, "events").select("event_id", F.expr(_LINE).alias("value")).repartition(1).sortWithinPartitions("event_id").select("value").write.text(path)
+    before = files.identity(spark, path)
+    rows, rejects = files.read_tracking_ordered(spark, path, max_length=1000, block=BLOCK)
+    good = rows.select("ordinal", F.lit(None).cast("string").alias("problem"), "frame", F.col("possession.player_id").alias("player_id"), F.col("player_data")[0]["is_detected"].alias("is_detected"))
+    none = F.lit(None)
+    both = good.unionByName(rejects.select("ordinal", "problem", none.cast("long").alias("frame"), none.cast("long").alias("player_id"), none.cast("boolean").alias("is_detected")))
+    files.unchanged(spark, path, before)
+    return both
+
+
+@query("""WITH t AS (SELECT o_orderkey AS k, year(o_orderdate) AS period, o_custkey AS a, o_custkey + o_orderkey % 90 - 5 AS b FROM orders)
+SELECT k AS source, period::INTEGER AS period, CASE WHEN k % 10 <> 3 THEN a END AS frame_start, b AS frame_end, k % 10 <> 3 AND b >= 0 AND a < b AS accepted FROM t""")
+def phase_files(spark, d):
+    """Phases written as CSV and read back strictly: whole numbers, start before end."""
+    o = table(spark, d, "orders")
+    start = F.when(F.col("o_orderkey") % 10 == 3, "x").otherwise(F.col("o_custkey").cast("string"))
+    rows = o.select(F.col("o_orderkey").alias("source"), F.year("o_orderdate").alias("period"), start.alias("frame_start"), (F.col("o_custkey") + F.col("o_orderkey") % 90 - 5).alias("frame_end"))
+    path = fresh(spark, "phases")
+    rows.write.option("header", True).csv(path)
+    good, bad = files.read_phases(spark, path, keep=("source",))
+    number = lambda c: F.col(c).try_cast("long").alias(c)
+    bad = bad.select(number("source"), F.col("period").cast("int").alias("period"), number("frame_start"), number("frame_end"), F.lit(False).alias("accepted"))
+    return good.select(number("source"), "period", "frame_start", "frame_end", F.lit(True).alias("accepted")).unionByName(bad)
+
+
+# --- scalar forms ---
+
+
+@query("""WITH t AS (SELECT event_id, value, event_id % 5 AS k, event_type FROM events)
+SELECT event_id, round(value / 100 * 52.5::DOUBLE, 6) AS x, round(value / 100 * 34.0::DOUBLE, 6) AS y, round(CASE WHEN k < 2 THEN value + k ELSE value END, 6) AS p, CASE WHEN k IN (1, 2) THEN k END::INTEGER AS period,
+  CASE WHEN k = 0 THEN event_type ELSE substr(repeat(event_type, k), 1, 12) || CASE WHEN length(event_type) * k > 12 THEN '...' ELSE '' END END AS note, CASE WHEN k = 4 THEN sha256(event_type) END AS oid, CASE WHEN k = 4 THEN event_id END AS size FROM t""")
+def scalar_forms(spark, d):
+    """De-normalised coordinates, reconstructed predictions, period names, bounded notes, pointer texts."""
+    k, v = F.col("event_id") % 5, F.col("value")
+    x, y = S.physical(v / 100, v / 100)
+    name = F.when(k == 0, "period_0").when(k == 3, "half_3").when(k == 4, "period_x").otherwise(F.concat(F.lit("period_"), k.cast("string")))
+    note = F.when(k == 0, F.col("event_type")).otherwise(F.expr("repeat(event_type, int(event_id % 5))"))
+    oid = F.sha2("event_type", 256)
+    pointer = F.concat(F.when(k == 4, "version https://git-lfs.github.com/spec/v1\n").otherwise("version 2\n"), F.lit("oid sha256:"), oid, F.lit("\nsize "), F.col("event_id").cast("string"), F.lit("\n"))
+    p = S.pointer_fields(pointer)
+    form = F.when(k < 2, "origin_relative_displacement").otherwise("absolute")
+    return table(spark, d, "events").select(
+        "event_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(S.reconstructed(v, k, form), 6).alias("p"), S.period_number(name).alias("period"),
+        F.when(k == 0, F.col("event_type")).otherwise(S.bounded(note, 12)).alias("note"), p["oid"].alias("oid"), p["size"].alias("size"),
+    )
+
+
+@query("""WITH c AS (SELECT l_orderkey AS k, l_linestatus AS s, CASE WHEN l_linenumber = 1 THEN -1 ELSE l_linenumber END AS i, unnest([l_returnflag || '_CODE', CASE WHEN l_partkey % 3 = 0 THEN 'A_CODE' ELSE 'Z_CODE' END]) AS code FROM lineitem),
+u AS (SELECT DISTINCT k, s, i, code FROM c)
+SELECT k AS window_id, s AS side, string_agg(i || ':' || code, ' ' ORDER BY i, code) AS issues, arg_min(i || ':' || code, (i, code)) AS first_issue, arg_max(i || ':' || code, (i, code)) AS last_issue FROM u GROUP BY ALL""")
+def issue_order(spark, d):
+    """Issues of a window: once each, those of no sample first, then by sample and code; the first and the last one."""
+    li = table(spark, d, "lineitem")
+    index = F.when(F.col("l_linenumber") > 1, F.col("l_linenumber"))
+    codes = F.array(F.concat("l_returnflag", F.lit("_CODE")), F.when(F.col("l_partkey") % 3 == 0, "A_CODE").otherwise("Z_CODE"))
+    s = li.select(F.col("l_orderkey").alias("window_id"), F.col("l_linestatus").alias("side"), index.alias("idx"), codes.alias("codes"))
+    i = eligibility.issues(s, ["window_id", "side"], [F.col("codes")])
+    text = F.transform("issues", lambda x: F.concat_ws(":", x["sample_index"].cast("string"), x["code"]))
+    return i.select("window_id", "side", F.array_join(text, " ").alias("issues"), text[0].alias("first_issue"), F.element_at(text, -1).alias("last_issue"))

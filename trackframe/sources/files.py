@@ -47,9 +47,9 @@ def read_tracking_ordered(spark: SparkSession, path: str, max_length: int = 1 <<
     """read_tracking() with each line's place in its file: ordinal (from 0, rejects counted) and offset (of its first byte), however the file is cut
     into blocks. Order checks run on the ordinal; a line that is too long isn't held."""
     lines = streams.lines(spark, streams.streams(path), block, max_length).withColumnRenamed("stream", "file")
-    long = F.col("value").isNull()
+    lines = lines.withColumn("__long", F.col("value").isNull())
     text = F.when(F.is_valid_utf8("value"), F.col("value").cast("string"))
-    return _frames(lines.withColumn("value", F.coalesce(text, F.lit("?"))), max_length, ["file", "ordinal", "offset"], long)
+    return _frames(lines.withColumn("value", F.coalesce(text, F.lit("?"))), max_length, ["file", "ordinal", "offset"], F.col("__long"))
 
 
 def _frames(lines: DataFrame, max_length: int, keep: list[str], long=None) -> tuple[DataFrame, DataFrame]:
@@ -112,19 +112,19 @@ def appearances(meta: DataFrame) -> DataFrame:
     return p.select("match_id", "player_id", F.regexp_extract("t.name", r"^period_(\d+)$", 1).try_cast("int").alias("period"), "t.start_frame", "t.end_frame")
 
 
-def read_phases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_phases(spark: SparkSession, path: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Phase intervals of a CSV file as (rows, rejects): whole numbers, start before end. A header that lacks a column or
-    has one twice is an error, as is a ragged row."""
+    has one twice is an error, as is a ragged row. keep: other columns that accepted rows keep, as text."""
     raw = spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
     names = ("period", "frame_start", "frame_end")
-    lost = set(names) - set(raw.columns)  # Spark renames both of two equal names
+    lost = {*names, *keep} - set(raw.columns)  # Spark renames both of two equal names
     if lost:
         raise ValueError(f"the header has no single {sorted(lost)}")
     ok = F.lit(True)
     for c in names:
         ok &= F.coalesce(F.col(c).rlike(r"^\d+$"), F.lit(False))
     typed = raw.withColumn("ok", ok & (F.col("frame_start").try_cast("long") < F.col("frame_end").try_cast("long")))
-    rows = typed.where("ok").select(F.col("period").cast("int"), F.col("frame_start").cast("long"), F.col("frame_end").cast("long"))
+    rows = typed.where("ok").select(*keep, F.col("period").cast("int"), F.col("frame_start").cast("long"), F.col("frame_end").cast("long"))
     return rows, typed.where("not coalesce(ok, false)").drop("ok")
 
 

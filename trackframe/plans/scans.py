@@ -171,19 +171,20 @@ _GOOD = """'{"frame":' || event_id || ',"timestamp":"00:00:0' || event_id % 10 |
 _LINE = f"CASE event_id % 40 WHEN 1 THEN '' WHEN 2 THEN '{{}}' WHEN 3 THEN replace({_GOOD}, '\"period\":1', '\"period\":1,\"period\":2') WHEN 4 THEN replace({_GOOD}, '\"x\":1.5', '\"x\":true') WHEN 5 THEN replace({_GOOD}, '\"frame\":', '\"frame\":1e0') WHEN 6 THEN replace({_GOOD}, '\"x\":1.5', '\"x\":NaN') WHEN 7 THEN {_GOOD} || repeat(' ', 2000) WHEN 8 THEN 'no' ELSE {_GOOD} END"
 
 
-@query("""WITH t AS (SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) - 1 AS ordinal,
+@query("""WITH t AS (SELECT event_id, user_id, user_id // 10 AS match_id, row_number() OVER (PARTITION BY user_id // 10 ORDER BY event_id) - 1 AS ordinal,
   CASE event_id % 40 WHEN 1 THEN 'blank' WHEN 2 THEN 'keys' WHEN 3 THEN 'keys' WHEN 4 THEN 'type' WHEN 5 THEN 'type' WHEN 6 THEN 'keys' WHEN 7 THEN 'too_long' WHEN 8 THEN 'keys' END AS problem FROM events)
-SELECT ordinal, problem, CASE WHEN problem IS NULL THEN event_id END AS frame, CASE WHEN problem IS NULL THEN user_id END AS player_id, CASE WHEN problem IS NULL THEN event_id % 2 = 0 END AS is_detected FROM t""")
+SELECT match_id, ordinal, problem, CASE WHEN problem IS NULL THEN event_id END AS frame, CASE WHEN problem IS NULL THEN user_id END AS player_id, CASE WHEN problem IS NULL THEN event_id % 2 = 0 END AS is_detected FROM t""")
 def tracking_files(spark, d):
-    """Frames written as lines, some of them broken, and read strictly with their ordinals; the files stay as they were."""
+    """Frames written as lines, some of them broken, a file a match, and read strictly with their ordinals; the files stay as they were."""
     path = fresh(spark, "tracking")
-    # one file: a file's lines have its own ordinals
-    table(spark, d, "events").select("event_id", F.expr(_LINE).alias("value")).repartition(1).sortWithinPartitions("event_id").select("value").write.text(path)
+    e = table(spark, d, "events").select("event_id", F.floor(F.col("user_id") / 10).alias("match"), F.expr(_LINE).alias("value"))
+    e.repartition("match").sortWithinPartitions("match", "event_id").select("value", "match").write.partitionBy("match").text(path)
     before = files.identity(spark, path)
     rows, rejects = files.read_tracking_ordered(spark, path, max_length=1000, block=BLOCK)
-    good = rows.select("ordinal", F.lit(None).cast("string").alias("problem"), "frame", F.col("possession.player_id").alias("player_id"), F.col("player_data")[0]["is_detected"].alias("is_detected"))
+    match = F.regexp_extract("file", r"match=(\d+)/", 1).cast("long").alias("match_id")
+    good = rows.select(match, "ordinal", F.lit(None).cast("string").alias("problem"), "frame", F.col("possession.player_id").alias("player_id"), F.col("player_data")[0]["is_detected"].alias("is_detected"))
     none = F.lit(None)
-    both = good.unionByName(rejects.select("ordinal", "problem", none.cast("long").alias("frame"), none.cast("long").alias("player_id"), none.cast("boolean").alias("is_detected")))
+    both = good.unionByName(rejects.select(match, "ordinal", "problem", none.cast("long").alias("frame"), none.cast("long").alias("player_id"), none.cast("boolean").alias("is_detected")))
     files.unchanged(spark, path, before)
     return both
 

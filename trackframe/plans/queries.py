@@ -669,7 +669,7 @@ def receipt_chain(spark, d):
 j AS (SELECT unnest(range(8)) AS j),
 e AS (SELECT v.match_id, v.origin, v.player_id, j, greatest(0, sum(v * ((i * 7 + j * 3) % 11 - 5) / 10.0::DOUBLE) + (j % 3) / 10.0::DOUBLE) AS c FROM v, j GROUP BY v.match_id, v.origin, v.player_id, j),
 c AS (SELECT match_id, origin, j, sum(CASE WHEN player_id % 3 <> 0 THEN c ELSE 0 END) / greatest(count(CASE WHEN player_id % 3 <> 0 THEN 1 END), 1) AS m FROM e GROUP BY ALL)
-SELECT match_id, origin, player_id, o AS i, round((s + (o % 4) / 10.0::DOUBLE) * 0.739085133::DOUBLE, 5) AS v FROM (SELECT match_id, origin, player_id, o, sum(e.c * ((j * 5 + o * 3) % 13 - 6) / 10.0::DOUBLE + m * (((j + 8) * 5 + o * 3) % 13 - 6) / 10.0::DOUBLE) AS s FROM e JOIN c USING (match_id, origin, j), (SELECT unnest(range(30)) AS o) GROUP BY match_id, origin, player_id, o)""")
+SELECT match_id, origin, player_id, o AS i, round((s + (o % 4) / 10.0::DOUBLE) * 0.739085133::DOUBLE, 5) + 0.0 AS v FROM (SELECT match_id, origin, player_id, o, sum(e.c * ((j * 5 + o * 3) % 13 - 6) / 10.0::DOUBLE + m * (((j + 8) * 5 + o * 3) % 13 - 6) / 10.0::DOUBLE) AS s FROM e JOIN c USING (match_id, origin, j), (SELECT unnest(range(30)) AS o) GROUP BY match_id, origin, player_id, o)""")
 def deep_sets_forward(spark, d):
     import numpy as np
 
@@ -677,7 +677,7 @@ def deep_sets_forward(spark, d):
     w = {"encoder": ((i * 7 + j * 3) % 11 - 5) / 10, "encoder_bias": j % 3 / 10, "head": ((np.arange(16)[:, None] * 5 + o * 3) % 13 - 6) / 10, "head_bias": o % 4 / 10}
     f = panels.track_features(X.history(spark, d), ["match_id", "origin", "player_id"]).withColumn("observed", F.col("player_id") % 3 != 0)
     p = panels.deep_sets(f, w, ["match_id", "origin"])  # a scene: the players of a match at one origin
-    return p.select("match_id", "origin", "player_id", F.posexplode("prediction").alias("i", "v")).withColumns({"i": F.col("i").cast("long"), "v": F.round(F.col("v") * 0.739085133, 5)})  # a scale on which no value lies between two roundings
+    return p.select("match_id", "origin", "player_id", F.posexplode("prediction").alias("i", "v")).withColumns({"i": F.col("i").cast("long"), "v": F.round(F.col("v") * 0.739085133, 5) + 0.0})  # a scale on which no value lies between two roundings
 
 
 # the same under the names of a time when the others read parts of their tables

@@ -70,3 +70,14 @@ def test_containment_in_one_match_of_many_overlapping_intervals(spark):
     p = spark.range(-10, 3 * n, 1).select(F.lit(1).alias("k"), F.col("id").alias("f"))
     assert I.union(i, ["k"], "a", "b").collect() == [(1, 0, 2 * n - 1)]
     assert I.contained(p, i, ["k"], "f", "a", "b").count() == 2 * n - 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlaps_broadcast_no_bins(spark):
+    a, b = spark.range(50).selectExpr("id % 3 k", "id a", "id + 20 b"), spark.range(50).selectExpr("id % 3 k", "id c", "id + 90 d")
+    for found in (I.overlapping(a, b, ["k"], "a", "b", "c", "d"), I.clip(a, b.toDF("k", "a", "b"), ["k"], "a", "b")):
+        assert "Broadcast" not in _plan(found)
+    assert I.overlapping(a, b, ["k"], "a", "b", "c", "d").count() == sum(x % 3 == y % 3 and x < y + 90 and y < x + 20 for x in range(50) for y in range(50))

@@ -4,7 +4,8 @@ appearances are closed.
 Joins bin the frame axis. An interval of 2^l to 2^(l+1) - 1 frames is of level l and lies in at most three bins of 2^l frames; one of two
 overlapping intervals is of the other's level or a higher one, so the shorter one looks it up in the few bins of that level
 that it touches itself. Keys are (group, level, bin): a long match, or a single one, is spread over its bins, and what meets in a bin has about a bin's length, so that
-pairs that are compared are as many as those that overlap, up to a small factor.
+pairs that are compared are as many as those that overlap, up to a small factor. Spark's estimates don't count the rows that the bins
+add, so that it would broadcast tables of any length: these joins are sorted ones.
 """
 
 from __future__ import annotations
@@ -50,8 +51,8 @@ def overlapping(left: DataFrame, right: DataFrame, by: Sequence[str], a: str, b:
     first = F.greatest(_bin(F.col(a), F.col("__l")), _bin(F.col(c), F.col("__l")))  # a pair meets in its first common bin only
     on = (F.col(a) < F.col(d)) & (F.col(c) < F.col(b)) & (F.col("__bin") == first)
     keys, columns = [*by, "__l", "__bin"], [*left.columns, *[x for x in right.columns if x not in by]]
-    up = _looking(left, a, b, right, (c, d), True).join(_own(right, c, d), keys).where(on).select(*columns)
-    down = _own(left, a, b).join(_looking(right, c, d, left, (a, b), False), keys).where(on).select(*columns)
+    up = _looking(left, a, b, right, (c, d), True).join(_own(right, c, d).hint("merge"), keys).where(on).select(*columns)
+    down = _own(left, a, b).join(_looking(right, c, d, left, (a, b), False).hint("merge"), keys).where(on).select(*columns)
     return up.unionByName(down)
 
 

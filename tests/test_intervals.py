@@ -81,3 +81,10 @@ def test_overlaps_broadcast_no_bins(spark):
     for found in (I.overlapping(a, b, ["k"], "a", "b", "c", "d"), I.clip(a, b.toDF("k", "a", "b"), ["k"], "a", "b")):
         assert "Broadcast" not in _plan(found)
     assert I.overlapping(a, b, ["k"], "a", "b", "c", "d").count() == sum(x % 3 == y % 3 and x < y + 90 and y < x + 20 for x in range(50) for y in range(50))
+
+
+def test_points_broadcast_no_bins(spark):
+    p, i = spark.range(50).selectExpr("id % 3 k", "id f"), spark.range(9).selectExpr("id % 3 k", "id a", "id + 5 b")
+    found = I.contained(p, i, ["k"], "f", "a", "b")
+    assert "Broadcast" not in _plan(found)
+    assert found.count() == sum(any(x % 3 == y % 3 and y <= x < y + 5 for y in range(9)) for x in range(50))

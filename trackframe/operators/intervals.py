@@ -68,7 +68,7 @@ def _located(points: DataFrame, covered: DataFrame, by: Sequence[str], at: str,
     """Rows of points in an interval of union(), with its a and b: at most once each."""
     p = points.withColumn("__at", F.col(at).cast("long")).withColumn("__next", F.col("__at") + 1).where("__at is not null")
     p = _looking(p, "__at", "__next", covered, (a, b), True)
-    return p.join(_own(covered, a, b), [*by, "__l", "__bin"]).where((F.col("__at") >= F.col(a)) & (F.col("__at") < F.col(b))).drop("__l", "__bin", "__at", "__next")
+    return p.join(_own(covered, a, b).hint("merge"), [*by, "__l", "__bin"]).where((F.col("__at") >= F.col(a)) & (F.col("__at") < F.col(b))).drop("__l", "__bin", "__at", "__next")
 
 
 def contained(points: DataFrame, intervals: DataFrame, by: Sequence[str], at: str, start: str, end: str, closed: bool = False) -> DataFrame:

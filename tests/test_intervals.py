@@ -88,3 +88,14 @@ def test_points_broadcast_no_bins(spark):
     found = I.contained(p, i, ["k"], "f", "a", "b")
     assert "Broadcast" not in _plan(found)
     assert found.count() == sum(any(x % 3 == y % 3 and y <= x < y + 5 for y in range(9)) for x in range(50))
+
+
+def test_location_looks_up_a_row_once_a_level(spark):
+    r = random.Random(8)
+    rows = [(r.choice([1, 2, None]), a, a + r.choice([-1, 0, 4, 30, 31])) for a in (r.randint(-300, 300) for _ in range(80))] * 2
+    periods = [(r.choice([1, 2, None]), a, a + r.choice([-1, 0, 5, 31, 70, 400])) for a in (r.randint(-300, 300) for _ in range(60))]
+    p, q = spark.createDataFrame(rows, "k int, a long, b long"), spark.createDataFrame(periods, "k int, s long, e long")
+    found = I.locate(p, q, ["k"], "a", "b", "s", "e")
+    want = sorted(((k, a, b, sum(k == x and k is not None and s <= a <= b <= e for x, s, e in periods)) for k, a, b in rows), key=str)
+    assert sorted((tuple(x) for x in found.collect()), key=str) == want and sum(x[3] for x in want) > 50
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(sequence") == 1  # only the periods are spread over their bins

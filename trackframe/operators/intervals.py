@@ -34,12 +34,12 @@ def _own(df: DataFrame, start: str, end: str) -> DataFrame:
     return df.withColumn("__l", _level(F.col(start), F.col(end))).withColumn("__bin", _bins(F.col(start), F.col(end), F.col("__l")))
 
 
-def _looking(df: DataFrame, start: str, end: str, others: DataFrame, other: tuple[str, str], same: bool) -> DataFrame:
-    """A row for each bin that an interval touches at each level of the others above its own (or its own too): adds __l, __bin."""
+def _looking(df: DataFrame, start: str, end: str, others: DataFrame, other: tuple[str, str], same: bool, first: bool = False) -> DataFrame:
+    """A row for each bin that an interval touches (or its first frame does) at each level of the others above its own (or its own too): adds __l, __bin."""
     levels = others.select(_level(F.col(other[0]), F.col(other[1])).alias("l")).agg(F.sort_array(F.collect_set("l")).alias("l")).scalar()  # 63 at most
     own = _level(F.col(start), F.col(end))
     df = df.withColumn("__own", own).withColumn("__l", F.explode(levels)).where((F.col("__l") > F.col("__own")) | (F.lit(same) & (F.col("__l") == F.col("__own"))))
-    return df.drop("__own").withColumn("__bin", _bins(F.col(start), F.col(end), F.col("__l")))
+    return df.drop("__own").withColumn("__bin", _bin(F.col(start), F.col("__l")) if first else _bins(F.col(start), F.col(end), F.col("__l")))
 
 
 def overlapping(left: DataFrame, right: DataFrame, by: Sequence[str], a: str, b: str, c: str, d: str) -> DataFrame:
@@ -112,11 +112,13 @@ def first_uncovered(spans: DataFrame, intervals: DataFrame, by: Sequence[str], s
 
 
 def locate(rows: DataFrame, periods: DataFrame, by: Sequence[str], a: str, b: str, p_start: str, p_end: str) -> DataFrame:
-    """Adds n_periods: in how many intervals of its group each row lies wholly (1 is required)."""
-    p = periods.select(*by, F.col(p_start).alias("__s"), F.col(p_end).alias("__e"), (F.col(p_end) + 1).alias("__e1"))
-    spans = rows.select(*by, a, b).distinct().withColumn("__b1", F.col(b) + 1)
-    both = overlapping(spans, p, by, a, "__b1", "__s", "__e1").where((F.col(a) >= F.col("__s")) & (F.col(b) <= F.col("__e")))
-    n = both.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("n_periods"))
+    """Adds n_periods: in how many intervals of its group each row lies wholly (1 is required).
+
+    Such an interval is of the row's level or a higher one, and has the row's first frame in just one of its bins."""
+    p = periods.select(*by, F.col(p_start).alias("__s"), (F.col(p_end) + 1).alias("__e")).where("__s < __e")
+    spans = rows.select(*by, F.col(a).alias("__a"), (F.col(b) + 1).alias("__b")).distinct().where("__a < __b")
+    both = _looking(spans, "__a", "__b", p, ("__s", "__e"), True, first=True).join(_own(p, "__s", "__e").hint("merge"), [*by, "__l", "__bin"])
+    n = both.where("__a >= __s and __b <= __e").groupBy(*by, F.col("__a").alias(a), (F.col("__b") - 1).alias(b)).agg(F.count(F.lit(1)).alias("n_periods"))
     return rows.join(n, [*by, a, b], "left").select(*rows.columns, F.coalesce("n_periods", F.lit(0)).alias("n_periods"))
 
 

@@ -34,24 +34,32 @@ wi AS (SELECT match_id, window_id, cell, stratum, avg(ade) AS ade, avg(fde) AS f
 ma AS (SELECT match_id, cell, stratum, avg(ade) AS ade, avg(fde) AS fde, avg(rmse) AS rmse, count(*) AS windows, sum(scenes)::BIGINT AS scenes, sum(points)::BIGINT AS points, sum(finals)::BIGINT AS finals FROM wi GROUP BY ALL)"""
 
 
-def _cell_points(spark, d):
-    """Points of the first three steps for each of 18 cells, with errors and the scene's quality."""
-    i = F.col("i") / 100.0
+def _base_points(spark, d):
+    """Points of the first three steps, with the scene's quality and the predictions that all cells scale."""
     p = X.scene_points(spark, d).where(F.col("step") <= LAST)
     k = (F.col("window_id") + F.col("l_linenumber")) % 7
     p = p.withColumn("q", F.when(k == 0, "unclassified").when(k == 1, "with_provider_extrapolation").otherwise("detected_only"))
-    p = p.withColumnsRenamed({"pred_x": "base_x", "pred_y": "base_y"})
-    names = [(f"{r}/{t}/{s}",) for r in ("ball", "history", "opponent") for t in ("absolute", "displacement") for s in "abc"]
-    cells = spark.createDataFrame([(n, i + 1) for i, (n,) in enumerate(names)], "cell string, i int")
-    rows = campaign.predicted_cells(p, cells, F.col("base_x") * (1 + i), F.col("base_y") * (1 + i), ["cell", "i"])
+    return p.withColumnsRenamed({"pred_x": "base_x", "pred_y": "base_y"})
+
+
+def _cells(spark):
+    names = [f"{r}/{t}/{s}" for r in ("ball", "history", "opponent") for t in ("absolute", "displacement") for s in "abc"]
+    return spark.createDataFrame([(n, i + 1) for i, n in enumerate(names)], "cell string, i int")
+
+
+def _scaled(base):
+    by = 1 + F.col("i") / 100.0
+    return base("base_x") * by, base("base_y") * by
+
+
+def _cell_points(spark, d):
+    """_base_points() for each of 18 cells, with errors."""
+    rows = campaign.predicted_cells(_base_points(spark, d), _cells(spark), *_scaled(F.col), ["cell", "i"])
     return scoring.with_errors(rows, mask="mask")
 
 
 def _match_strata(spark, d):
-    points = _cell_points(spark, d)
-    by = ["match_id", "window_id", "scene_id", "cell"]
-    scenes = campaign.scene_strata(points, by, "step", "q", HORIZONS, LAST)
-    return campaign.match_strata(campaign.window_strata(scenes, ["match_id", "window_id", "cell"]), ["match_id", "cell"])
+    return campaign.cell_strata(_base_points(spark, d), _cells(spark), ["base_x", "base_y"], _scaled, ["cell", "i"], "match_id", "window_id", "scene_id", "step", "q", "mask", HORIZONS, LAST)
 
 
 @query(sql("scp") + _CELLS + " SELECT match_id, cell, stratum, round(ade, 6) AS ade, round(fde, 6) AS fde, round(rmse, 6) AS rmse, windows, scenes, points, finals FROM ma")

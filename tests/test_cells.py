@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackframe.operators import campaign, scoring
+from trackframe.plans import scores
 
 CELLS = [("a", 1), ("b", 2), ("c", 3)]
 HORIZONS = {"early": (1, 1), "middle": (2, 2), "late": (3, 3)}
@@ -42,3 +43,16 @@ def test_cells_that_differ_fail(spark):
         _new(spark, p, lambda c: (F.when(F.col("i") != 2, c("bx")), c("by"))).collect()
     with pytest.raises(Exception, match="two points"):
         _new(spark, p.union(p)).collect()
+
+
+def _without_scores(spark, sf, tmp_path):
+    """lineitem in which match 6 has no scoreable scene."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    li.withColumn("l_returnflag", F.when(F.col("l_orderkey") % 20 == 6, "R").otherwise(F.col("l_returnflag"))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+def test_a_match_without_scores_has_all_its_rows(spark, sf, tmp_path):
+    found = scores.optional_strata(spark, _without_scores(spark, sf, tmp_path))
+    assert found.where("match_id = 6").groupBy("status").count().collect() == [("not_scoreable", 18 * 8)]
+    assert found.count() == 20 * 18 * 8

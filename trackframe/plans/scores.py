@@ -73,8 +73,9 @@ SELECT g.match_id, g.cell, g.stratum, coalesce(windows, 0)::BIGINT AS windows, c
 FROM g LEFT JOIN ma USING (match_id, cell, stratum)""")
 def optional_strata(spark, d):
     scores = _match_strata(spark, d)
+    matches = table(spark, d, "lineitem").select((F.col("l_orderkey") % 20).alias("match_id")).distinct()
     strata = F.array(*[F.lit(s) for s in ("all", *HORIZONS, *campaign.QUALITIES, "never")])
-    keys = scores.select("match_id", "cell").distinct().withColumn("stratum", F.explode(strata))
+    keys = matches.crossJoin(_cells(spark).select("cell")).withColumn("stratum", F.explode(strata))
     return campaign.completed(scores, keys, ["match_id", "cell", "stratum"]).select("match_id", "cell", "stratum", "windows", "points", "status")
 
 

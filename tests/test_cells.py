@@ -56,3 +56,9 @@ def test_a_match_without_scores_has_all_its_rows(spark, sf, tmp_path):
     found = scores.optional_strata(spark, _without_scores(spark, sf, tmp_path))
     assert found.where("match_id = 6").groupBy("status").count().collect() == [("not_scoreable", 18 * 8)]
     assert found.count() == 20 * 18 * 8
+
+
+def test_records_and_their_baseline_are_scored_once(spark, sf):
+    found = scores.result_records(spark, sf)
+    assert "lineitem.parquet" not in found._jdf.queryExecution().optimizedPlan().toString() and not [f for f in found.inputFiles() if "lineitem" in f]
+    assert found.count() == 20 * 18 and {x.match_id for x in found.where("not denominators_equal").collect()} == {3}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import safe_ratio
 from ..operators import arrays, campaign, constraints, eligibility, intervals, quality, scoring, sequences, stats
 from ..params import Params
+from ..sources.shared import staged
 from . import fixtures as X
 from . import population
 from .fixtures import sql, table
@@ -81,7 +82,7 @@ def optional_strata(spark, d):
 
 @query(sql("scp") + _CELLS + """ SELECT match_id, cell, windows, scenes, points, finals, match_id <> 3 AS denominators_equal FROM ma WHERE stratum = 'all'""")
 def result_records(spark, d):
-    scores = _match_strata(spark, d)
+    scores = staged(_match_strata(spark, d), "scores")  # a few rows, which the baseline needs too
     base = scores.where("stratum = 'all'").groupBy("match_id").agg(*[F.max(c).alias(c) for c in campaign.COUNTS])
     base = base.withColumn("windows", F.col("windows") + F.when(F.col("match_id") == 3, 1).otherwise(0))
     return campaign.result_records(scores, base, "match_id").select("match_id", "cell", *campaign.COUNTS, "denominators_equal")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import PITCH, slots_features
@@ -12,17 +12,30 @@ from ..functions.scalar import PITCH, slots_features
 
 def truth_panel(origin_players: DataFrame, players: DataFrame, by: list[str], future: int = 15, stride: int = 2) -> DataFrame:
     """Each player of an origin frame at its future steps: truth_x, truth_y null where unobserved, origin_x, origin_y."""
-    o = origin_players.select(*by, "origin_frame", "player_id", F.col("x").alias("origin_x"), F.col("y").alias("origin_y"))
-    o = o.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(future)))).withColumn("frame", F.col("origin_frame") + F.col("step") * stride)
-    t = players.select(*by, "player_id", "frame", F.col("x").alias("truth_x"), F.col("y").alias("truth_y"))
-    whole = F.col("truth_x").isNotNull() & F.col("truth_y").isNotNull()
-    j = o.join(t, [*by, "player_id", "frame"], "left")
-    return j.withColumns({"truth_x": F.when(whole, F.col("truth_x")), "truth_y": F.when(whole, F.col("truth_y"))})
+    keys = [*by, "player_id"]
+    o = origin_players.select(*keys, F.col("origin_frame").alias("__at"), F.struct("origin_frame", F.col("x").alias("origin_x"), F.col("y").alias("origin_y")).alias("__o"))
+    t = players.select(*keys, F.col("frame").alias("__at"), F.struct(F.col("frame").alias("at"), F.col("x").alias("truth_x"), F.col("y").alias("truth_y")).alias("__t"))
+    # a player's rows are sorted once, and each origin sees those of its steps: rows of origins times steps aren't shuffled
+    ahead = Window.partitionBy(*keys).orderBy("__at").rangeBetween(stride, future * stride)
+    j = o.unionByName(t, allowMissingColumns=True).withColumn("__t", F.collect_list("__t").over(ahead)).where("__o is not null")
+    j = j.select(*keys, "__o.*", "__t", F.explode(F.sequence(F.lit(1), F.lit(future))).alias("step")).withColumn("frame", F.col("origin_frame") + F.col("step") * stride)
+    known = F.lit(True)
+    for c in keys:
+        known &= F.col(c).isNotNull()
+    here = F.filter("__t", lambda x: (x["at"] == F.col("frame")) & known)
+    j = j.select(*keys, "frame", "origin_frame", "origin_x", "origin_y", "step", F.explode_outer(here).alias("__t"))
+    whole = F.col("__t.truth_x").isNotNull() & F.col("__t.truth_y").isNotNull()
+    return j.withColumns({"truth_x": F.when(whole, F.col("__t.truth_x")), "truth_y": F.when(whole, F.col("__t.truth_y"))}).drop("__t")
+
+
+def has_last(last: int = 15) -> Column:
+    """Aggregate: whether there is any truth at the last step."""
+    return F.coalesce(F.bool_or((F.col("step") == last) & F.col("truth_x").isNotNull()), F.lit(False))
 
 
 def scoreable(panel: DataFrame, by: list[str], last: int = 15) -> DataFrame:
     """Whether a scene has any truth at its last step."""
-    return panel.groupBy(*by).agg(F.coalesce(F.bool_or((F.col("step") == last) & F.col("truth_x").isNotNull()), F.lit(False)).alias("scoreable"))
+    return panel.groupBy(*by).agg(has_last(last).alias("scoreable"))
 
 
 def displacement_panel(panel: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackframe.operators import campaign, scoring
-from trackframe.plans import scores
+from trackframe.plans import fixtures, scores
 
 CELLS = [("a", 1), ("b", 2), ("c", 3)]
 HORIZONS = {"early": (1, 1), "middle": (2, 2), "late": (3, 3)}
@@ -71,3 +71,8 @@ def test_second_derivation_is_one_aggregation(spark):
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().replace("Join Cross", "")
     want = _old(spark, _points(spark)).where("stratum = 'all'")
     assert campaign.tolerance_differences(want, found, ["m", "cell"], campaign.METRICS, 1e-9).count() == 0 and found.count() == 12
+
+
+def test_partitions_grow_with_the_table(spark):
+    li = spark.range(100).select(F.col("id").alias("l_orderkey"))
+    assert fixtures.parts(li, 10) == 10 and fixtures.parts(li) == spark.sparkContext.defaultParallelism

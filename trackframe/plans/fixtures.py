@@ -55,9 +55,15 @@ def gappy_players(spark: SparkSession, d: str) -> DataFrame:
     return sample_players(spark, d).where("event_type <> 'error'").withColumn("frame", F.col("idx") * 2)
 
 
+def parts(df: DataFrame, rows: int = 500_000) -> int:
+    """How many partitions hold about so many rows each, one a core at least: what a task holds doesn't grow with the table."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def scene_points(spark: SparkSession, d: str) -> DataFrame:
     # one shuffle serves the numbering, the scenes and the windows: all keep the order key
-    li = table(spark, d, "lineitem").repartition("l_orderkey")
+    li = table(spark, d, "lineitem")
+    li = li.repartition(parts(li), "l_orderkey")
     order = Window.partitionBy("l_orderkey", "l_linestatus").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate")
     keep = 1 - F.col("l_discount")
     return li.select(

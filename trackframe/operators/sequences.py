@@ -41,9 +41,23 @@ def support(df: DataFrame, by: Sequence[str], frame: str, history: int = 25, fut
 
 def slots(origins: DataFrame, samples: DataFrame, by: Sequence[str], origin: str, frame: str, history: int = 25, future: int = 15, stride: int = 2) -> DataFrame:
     """Grid form of support(): each origin's slots -history..future, left joined to samples."""
-    grid = origins.withColumn("slot", F.explode(F.sequence(F.lit(-history), F.lit(future)))).withColumn("__f", F.col(origin) + F.col("slot") * stride)
-    s = samples.withColumnRenamed(frame, "__f").withColumn("present", F.lit(True))
-    return grid.join(s, [*by, "__f"], "left").withColumn("present", F.coalesce("present", F.lit(False))).withColumnRenamed("__f", "slot_frame")
+    kept = [c for c in samples.columns if c not in (*by, frame)]
+    mine = [c for c in origins.columns if c not in by]
+    o = origins.select(*by, F.col(origin).cast("long").alias("__at"), F.struct(*mine).alias("__o"))
+    s = samples.select(*by, F.col(frame).cast("long").alias("__at"), F.struct(F.col(frame).cast("long").alias("__at"), *kept).alias("__s"))
+    # a group's rows are sorted once, and each origin sees the samples around it: rows of origins times slots aren't shuffled
+    near = Window.partitionBy(*by).orderBy("__at").rangeBetween(-history * stride, future * stride)
+    j = o.unionByName(s, allowMissingColumns=True).withColumn("__s", F.collect_list("__s").over(near)).where("__o is not null")
+    known = F.lit(True)
+    for c in by:
+        known &= F.col(c).isNotNull()  # as in a join, nulls are no group
+    every = F.sequence(F.lit(-history), F.lit(future))
+    met = F.transform(F.filter("__s", lambda x: known & ((x["__at"] - F.col("__at")) % stride == 0)), lambda x: F.struct(((x["__at"] - F.col("__at")) / stride).cast("int").alias("slot"), x.alias("s")))
+    j = j.withColumn("__met", met)
+    gaps = F.transform(F.array_except(every, F.transform("__met", lambda x: x["slot"])), lambda k: F.struct(k.alias("slot"), F.lit(None).cast(s.schema["__s"].dataType).alias("s")))
+    j = j.select(*by, "__o", F.explode(F.concat("__met", gaps)).alias("__x"))
+    at = (F.col(f"__o.{origin}") + F.col("__x.slot") * stride).alias("slot_frame")
+    return j.select(*by, at, *[F.col("__o")[c].alias(c) for c in mine], "__x.slot", *[F.col("__x.s")[c].alias(c) for c in kept], F.col("__x.s").isNotNull().alias("present"))
 
 
 def adjacent_changes(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:

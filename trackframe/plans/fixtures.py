@@ -43,7 +43,9 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def sample_players(spark: SparkSession, d: str) -> DataFrame:
+    # one shuffle serves the numbering and what is asked of a player's own samples
     e = table(spark, d, "events")
+    e = e.repartition(parts(e), "user_id")
     idx = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     return e.select(
         F.col("user_id").alias("player_id"), (F.col("user_id") % 10).alias("match_id"), (F.floor(F.col("user_id") / 10) % 2).alias("team"), "ts", "event_id", "event_type",

@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from trackframe.operators import eligibility, samples
+from trackframe.plans import population
 from trackframe.plans.population import produce
 from trackframe.sources.synthetic import match_frames
 
@@ -77,3 +79,34 @@ def test_phase_problems_exclude(spark):
     assert reasons[160] == ["PHASE_INTERVAL_INVALID", "PHASE_MATCH_ID_MISMATCH", "PHASE_SOURCE_IDENTITY_MISMATCH"]
     w["phases"] = w["phases"].limit(1)
     assert {r.origin_frame: r.exclusion_reasons for r in produce(**w, release="r")[0].collect()}[160] == []
+
+
+def test_players_stay_within_their_samples(spark):
+    """No row a player and sample is joined or sorted."""
+    found, _ = produce(**world(spark))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Generate explode(players" in x]
+
+
+def test_duplicates_and_unlisted_players(spark):
+    w = world(spark)
+    twice = F.concat("player_data", F.filter("player_data", lambda p: p["player_id"] == 2))
+    w["frames"] = w["frames"].withColumn("player_data", F.when(F.col("frame") == 160, twice).otherwise(F.col("player_data")))
+    w["roster"] = w["roster"].where("player_id <> 5").unionByName(w["roster"].where("player_id = 6"))
+    own = {(r.source_frame, x.player_id): x.disposition for r in dispositions(w) for x in r.own}
+    for f in (158, 160):
+        assert own[f, 5] == "PLAYER_TEAM_IDENTITY_CONFLICT" and own[f, 6] == "DUPLICATE_PLAYER_ID" and own[f, 1] == "valid"
+    assert (own[158, 2], own[160, 2]) == ("valid", "DUPLICATE_PLAYER_ID")
+
+
+def test_two_samples_of_a_frame(spark):
+    w = world(spark)
+    w["frames"] = w["frames"].unionByName(w["frames"].where("frame = 160"))
+    rows = dispositions(w)
+    assert [len(r.everyone) for r in rows if r.source_frame in (158, 160)] in ([16, 32, 32], [32, 32, 16], [32, 16, 32])
+    assert {x.disposition for r in rows if r.source_frame == 160 for x in r.own} == {"DUPLICATE_PLAYER_ID"}
+
+
+def dispositions(w):
+    matches = eligibility.metadata_problems(w["matches"])
+    return population.judged(samples.canonical(w["frames"]), matches, w["roster"], w["periods"], w["appearances"]).collect()

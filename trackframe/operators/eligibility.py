@@ -6,6 +6,8 @@ players with an ordered disposition, then aggregated to the window in one pass f
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +76,14 @@ def roster_known(roster: DataFrame, appearances: DataFrame) -> DataFrame:
     return r.join(a, "match_id", "left").select("match_id", (F.col("ok") & ~F.coalesce("bad", F.lit(False))).alias("roster_known"))
 
 
+def roster_whole(roster: str, appearances: str) -> Column:
+    """roster_known() of arrays of a match's rows; null without a roster."""
+    ids = F.transform(roster, lambda x: x["player_id"])
+    whole = F.forall(roster, lambda x: F.coalesce((x["player_id"] > 0) & (x["team_id"] > 0), F.lit(False)))
+    bad = F.exists(appearances, lambda x: F.coalesce(x["start_frame"] > x["end_frame"], F.lit(True)) | x["period"].isNull())
+    return F.when(F.size(roster) > 0, whole & (F.size(F.array_distinct(ids)) == F.size(ids)) & ~bad)
+
+
 def period_problems(periods: DataFrame) -> DataFrame:
     """match_id, period, period_codes of bounds (match_id, period, start_frame, end_frame)."""
     w = Window.partitionBy("match_id").orderBy("start_frame", "end_frame", "period")
@@ -125,21 +135,22 @@ def slot_codes(slots: DataFrame) -> DataFrame:
     )
 
 
-def player_disposition(p: Params = DEFAULTS) -> Column:
+def player_disposition(p: Params = DEFAULTS, col: Callable[[str], Column] = F.col) -> Column:
     """First reason why a player's row doesn't count, in the order of the checks; valid otherwise.
 
     Columns: n_same (rows of the player in the sample), team_ok, is_detected, x, y, pitch_length,
-    pitch_width, in_appearance (null: unknown)."""
-    missing = F.col("x").isNull() | F.col("y").isNull()
+    pitch_width, in_appearance (null: unknown); col gives each by its name."""
+    x, y = col("x"), col("y")
+    missing = x.isNull() | y.isNull()
     return (
-        F.when(F.col("n_same") > 1, "DUPLICATE_PLAYER_ID")
-        .when(~F.coalesce("team_ok", F.lit(False)), "PLAYER_TEAM_IDENTITY_CONFLICT")
-        .when(F.col("is_detected").isNull(), "INVALID_DETECTION_FLAG")
+        F.when(col("n_same") > 1, "DUPLICATE_PLAYER_ID")
+        .when(~F.coalesce(col("team_ok"), F.lit(False)), "PLAYER_TEAM_IDENTITY_CONFLICT")
+        .when(col("is_detected").isNull(), "INVALID_DETECTION_FLAG")
         .when(missing, "PLAYER_COORDINATES_MISSING")
-        .when(~is_finite("x") | ~is_finite("y"), "NONFINITE_COORDINATE")
-        .when(implausible("x", "y", "pitch_length", "pitch_width", p.player_factor), "COORDINATE_IMPLAUSIBLE")
-        .when(F.coalesce(~F.col("in_appearance"), F.lit(False)), "PLAYER_OUTSIDE_APPEARANCE")
-        .when(~in_pitch("x", "y", "pitch_length", "pitch_width"), "PLAYER_POSITION_OUTSIDE_PITCH")
+        .when(~is_finite(x) | ~is_finite(y), "NONFINITE_COORDINATE")
+        .when(implausible(x, y, col("pitch_length"), col("pitch_width"), p.player_factor), "COORDINATE_IMPLAUSIBLE")
+        .when(F.coalesce(~col("in_appearance"), F.lit(False)), "PLAYER_OUTSIDE_APPEARANCE")
+        .when(~in_pitch(x, y, col("pitch_length"), col("pitch_width")), "PLAYER_POSITION_OUTSIDE_PITCH")
         .otherwise("valid")
     )
 

@@ -357,7 +357,9 @@ def comparison_values(spark, d):
 def _raw_matches(spark, d):
     """Each user is a match whose events are its frames (with gaps where one is an error), fourteen players and faults by event id."""
     i, t, n = F.col("event_id"), F.col("event_type"), F.col("idx")
-    f = X.gappy_players(spark, d).withColumnsRenamed({"match_id": "m", "player_id": "match_id"})
+    f = X.gappy_players(spark, d).select((F.col("player_id") + 1).alias("match_id"), "event_id", "event_type", "idx", "frame", "x", "y")
+    # what is done with a match's frames, their players within them, is done where they lie: none of it is shuffled
+    f = f.repartition(X.parts(table(spark, d, "events"), 100_000), "match_id")
 
     def player(k):
         x = F.when((k == 1) & (i % 41 == 0), 200.0).when((k == 14) & (i % 47 == 0), 60.0).otherwise(2.0 * k + 0.01 * F.col("frame"))
@@ -373,18 +375,18 @@ def _raw_matches(spark, d):
     )
     ids = f.select("match_id").distinct()
     m = F.col("match_id")
-    matches = ids.select((m + 1).alias("match_id"), F.lit(100).cast("long").alias("home"), F.when(m % 7 == 0, 100).otherwise(200).cast("long").alias("away"), F.lit(105.0).alias("pitch_length"), F.lit(68.0).alias("pitch_width"))
+    matches = ids.select("match_id", F.lit(100).cast("long").alias("home"), F.when((m - 1) % 7 == 0, 100).otherwise(200).cast("long").alias("away"), F.lit(105.0).alias("pitch_length"), F.lit(68.0).alias("pitch_width"))
     k = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(14).cast("long")))
-    roster = ids.select((m + 1).alias("match_id"), k.alias("player_id"))
+    roster = ids.select("match_id", k.alias("player_id"))
     roster = roster.withColumns({"team_id": F.when(F.col("player_id") <= 7, 100).otherwise(F.when((F.col("match_id") - 1) % 7 == 0, 100).otherwise(200)).cast("long"), "group": F.when(F.col("player_id") <= 7, "home team").otherwise("away team")})
     last = F.when((F.col("player_id") == 3) & ((F.col("match_id") - 1) % 5 == 1), 60).otherwise(79).cast("long")
     spans = F.array(F.struct(F.lit(1).alias("period"), F.lit(0).cast("long").alias("start_frame"), last.alias("end_frame")), F.struct(F.lit(2).alias("period"), F.lit(80).cast("long").alias("start_frame"), F.lit(100000).cast("long").alias("end_frame")))
     appearances = roster.select("match_id", "player_id", F.inline(spans))
     bounds = F.array(*[F.struct(F.lit(a).alias("period"), F.lit(b).cast("long").alias("start_frame"), F.lit(c).cast("long").alias("end_frame")) for a, b, c in ((1, 0, 80), (2, 80, 130))])
-    periods = ids.select((m + 1).alias("match_id"), F.inline(bounds))
+    periods = ids.select("match_id", F.inline(bounds))
     plays = F.array(*[F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end")) for a, b in ((0, 50), (50, 110))])
-    phases = ids.select((m + 1).alias("match_id"), F.inline(plays))
-    return frames.withColumn("match_id", m + 1), matches, roster, periods, appearances, phases
+    phases = ids.select("match_id", F.inline(plays))
+    return frames, matches, roster, periods, appearances, phases
 
 
 def _produced(h: int, f: int) -> str:

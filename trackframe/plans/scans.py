@@ -180,11 +180,9 @@ def tracking_files(spark, d):
     e = table(spark, d, "events").select("event_id", F.floor(F.col("user_id") / 10).alias("match"), F.expr(_LINE).alias("value"))
     e.repartition("match").sortWithinPartitions("match", "event_id").select("value", "match").write.partitionBy("match").text(path)
     before = files.identity(spark, path)
-    rows, rejects = files.read_tracking_ordered(spark, path, max_length=1000, block=BLOCK)
+    lines = files.tracking_lines(spark, path, max_length=1000, block=BLOCK)
     match = F.regexp_extract("file", r"match=(\d+)/", 1).cast("long").alias("match_id")
-    good = rows.select(match, "ordinal", F.lit(None).cast("string").alias("problem"), "frame", F.col("possession.player_id").alias("player_id"), F.col("player_data")[0]["is_detected"].alias("is_detected"))
-    none = F.lit(None)
-    both = good.unionByName(rejects.select(match, "ordinal", "problem", none.cast("long").alias("frame"), none.cast("long").alias("player_id"), none.cast("boolean").alias("is_detected")))
+    both = lines.select(match, "ordinal", "problem", "r.frame", F.col("r.possession.player_id").alias("player_id"), F.col("r.player_data")[0]["is_detected"].alias("is_detected"))
     files.unchanged(spark, path, before)
     return both
 

@@ -40,19 +40,25 @@ def read_tracking(spark: SparkSession, path: str, max_length: int = 1 << 20) ->
     an inner object with other keys (type).
 
     Row order is not kept by a DataFrame: ``frame_order`` checks need read_tracking_ordered()."""
-    return _frames(spark.read.text(path).withColumn("file", F.col("_metadata.file_path")), max_length, ["file"])
+    return _split(_frames(spark.read.text(path).withColumn("file", F.col("_metadata.file_path")), max_length), ["file"])
 
 
 def read_tracking_ordered(spark: SparkSession, path: str, max_length: int = 1 << 20, block: int = streams.BLOCK) -> tuple[DataFrame, DataFrame]:
     """read_tracking() with each line's place in its file: ordinal (from 0, rejects counted) and offset (of its first byte), however the file is cut
     into blocks. Order checks run on the ordinal; a line that is too long isn't held."""
+    return _split(tracking_lines(spark, path, max_length, block), ["file", "ordinal", "offset"])
+
+
+def tracking_lines(spark: SparkSession, path: str, max_length: int = 1 << 20, block: int = streams.BLOCK) -> DataFrame:
+    """The lines of read_tracking_ordered(), those it accepts and those it rejects, where both are wanted of one pass: file, ordinal, offset, value,
+    problem (null: accepted) and r, the frame of an accepted line."""
     lines = streams.lines(spark, streams.streams(path), block, max_length).withColumnRenamed("stream", "file")
     lines = lines.withColumn("__long", F.col("value").isNull())
     text = F.when(F.is_valid_utf8("value"), F.col("value").cast("string"))
-    return _frames(lines.withColumn("value", F.coalesce(text, F.lit("?"))), max_length, ["file", "ordinal", "offset"], F.col("__long"))
+    return _frames(lines.withColumn("value", F.coalesce(text, F.lit("?"))), max_length, F.col("__long")).select("file", "ordinal", "offset", "value", "problem", "r")
 
 
-def _frames(lines: DataFrame, max_length: int, keep: list[str], long=None) -> tuple[DataFrame, DataFrame]:
+def _frames(lines: DataFrame, max_length: int, long=None) -> DataFrame:
     lines = lines.withColumn("v", F.try_parse_json("value"))
     typed = F.lit(True)
     for name, pattern in FRAME_TYPES.items():
@@ -64,7 +70,10 @@ def _frames(lines: DataFrame, max_length: int, keep: list[str], long=None) -> tu
         .when(F.col("v").isNull(), "json")
         .when(~typed, "type")
     )
-    parsed = lines.withColumn("problem", problem).withColumn("r", F.from_json("value", FRAME_DDL))
+    return lines.withColumn("problem", problem).withColumn("r", F.when(F.col("problem").isNull(), F.from_json("value", FRAME_DDL)))
+
+
+def _split(parsed: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     return parsed.where("problem is null").select(*keep, "r.*"), parsed.where("problem is not null").select(*keep, "value", "problem")
 
 

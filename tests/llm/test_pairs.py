@@ -5,7 +5,9 @@ import time
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 
 from trackframe.llm import common, pairs
 
@@ -81,3 +83,32 @@ def test_a_large_cluster_goes_by_blocks(spark, monkeypatch, values):
         least[c] = min(i, least.get(c, i))
     assert all(got.get(i, i) == least[c] for i, c in zip(ids, root))
     assert len(set(least.values())) == 150 + 100 + 1 + 1
+
+
+def test_pairs_of_blocks_of_one_cluster_are_dealt_to_many_tasks(spark, monkeypatch):
+    """Also where the rows of a cluster lie together after a sorted join."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        monkeypatch.setattr(common, "BLOCK_VALUES", 2000)
+        tasks, own = [], common.save
+
+        def told(num, den):
+            def run(t):
+                return pa.table({"a": pa.array([TaskContext.get().partitionId()], pa.int64()), "b": t.column("block").slice(0, 1).cast(pa.int64())})
+
+            return run
+
+        def save(df, name):
+            if name == "links":
+                tasks.extend(r.a for r in df.collect())
+            return own(df, name)
+
+        monkeypatch.setattr(common, "_compared", told)
+        monkeypatch.setattr(common, "save", save)
+        sets = family(120, 150)
+        rows = [(1, i, s.tolist()) for i, s in enumerate(sets)]
+        members = spark.createDataFrame([(5, i) for i in range(len(sets))], "key long, id long")
+        common.links_by_blocks(members, spark.createDataFrame(rows, "cluster long, id long, s array<long>"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(tasks) == 66 and len(set(tasks)) > 10  # eleven blocks

@@ -135,6 +135,29 @@ def test_line_dedup_is_that_of_brute_force(spark, tmp_path, monkeypatch, rounds)
     assert sorted((str(r.doc_id), r.n_lines, r.n_removed, r.kept_sha256) for r in got) == brute_lines(rows)
 
 
+def test_lines_that_stay_are_not_shuffled_for_what_goes(spark, monkeypatch):
+    """What the lines are joined with to find those that go has a row for each line of a class of two or more only."""
+    said, own = {}, lines.save_seen
+
+    def seen(df, name, *sums):
+        said[name] = own(df, name, *sums)
+        return said[name]
+
+    monkeypatch.setattr(lines, "save_seen", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = "the same line of the same words as ever"
+        docs = frame(spark, [(i, f"{text}\n{hashlib.md5(b'%d' % i).hexdigest()}") for i in range(60)] + [(99, text + "!")])
+        gone = lines.duplicate_lines(docs)
+        plan = gone._jdf.queryExecution().executedPlan().toString()
+        rows = {r.doc_id: len(r.gone) for r in gone.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1  # of the marks, by document
+    assert rows == dict.fromkeys([*range(1, 60), 99], 1) and said["keep"][1] == [2]
+
+
+
 def test_line_stage_drops_emptied_documents_only(spark):
     rows = [(1, "a line that is long enough to count\nand another line of this document"), (2, "a line that is long enough to count"), (3, None), (4, "")]
     got = lines.drop_lines(spark, frame(spark, rows), "")
